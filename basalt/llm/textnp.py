@@ -50,10 +50,11 @@ class Words:
 
     __slots__ = ("bounds", "buf", "data", "ends", "starts")
 
-    def __init__(self, docs: list[bytes]):
+    def __init__(self, docs: list[bytes], between: np.ndarray = WS):
+        """between: which bytes separate words; the space must."""
         self.data = b" " + b" ".join(docs) + b" "
         self.buf = np.frombuffer(self.data, np.uint8)
-        solid = (~WS[self.buf]).view(np.int8)
+        solid = (~between[self.buf]).view(np.int8)
         edge = np.diff(solid)
         self.starts = np.flatnonzero(edge == 1) + 1
         self.ends = np.flatnonzero(edge == -1) + 1
