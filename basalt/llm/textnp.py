@@ -19,6 +19,7 @@ WS[[0x20, 9, 10, 11, 12, 13]] = True
 _rng = np.random.default_rng(20240607)
 BYTE = _rng.integers(1, 2**63, 256, dtype=np.int64).astype(U64) | U64(1)
 BYTE[WS] = 0
+ANY = _rng.integers(1, 2**63, 256, dtype=np.int64).astype(U64) | U64(1)
 BYTE_LOWER = BYTE.copy()
 BYTE_LOWER[65:91] = BYTE[97:123]
 BASE = U64(0x9E3779B97F4A7C15)
@@ -119,3 +120,17 @@ def slices(sizes, most: int) -> Iterator[slice]:
         total += n
     if start < len(sizes):
         yield slice(start, len(sizes))
+
+
+def prefix_sums(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Running polynomial sums over all bytes, and the inverse powers that make spans comparable; see ``span``."""
+    p, q = powers(len(buf) + 1)
+    total = np.empty(len(buf) + 1, U64)
+    total[0] = 0
+    np.cumsum(ANY[buf] * p[:-1], out=total[1:])
+    return total, q
+
+
+def span(total: np.ndarray, q: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hashes of the byte strings [a, b)."""
+    return mix((total[b] - total[a]) * q[a] + (b - a).astype(U64))
