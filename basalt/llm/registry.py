@@ -1,14 +1,16 @@
 """Queries of the training-data operators, and the DuckDB SQL of those that SQL can express."""
 
-from . import chat_format, mixing, packing, quality_rules, substring_dedup, toxicity
+from . import chat_format, lm_scoring, mixing, packing, quality_rules, substring_dedup, suffix_dedup, toxicity
 
 QUERIES = {
     "op2_quality_rules": quality_rules.query,
     "op3_chat_format": chat_format.query,
     "op5_best_fit_packing": packing.query,
     "op6_substring_dedup": substring_dedup.query,
+    "op7_lm_scoring": lm_scoring.query,
     "op8_source_mixing": mixing.query,
     "op9_toxicity": toxicity.query,
+    "op10_suffix_dedup": suffix_dedup.query,
 }
 ORACLES = {
     "op2_quality_rules": quality_rules.SQL,
