@@ -1,10 +1,12 @@
 """Queries of the training-data operators, and the DuckDB SQL of those that SQL can express."""
 
-from . import chat_format, lm_scoring, mixing, packing, quality_rules, substring_dedup, suffix_dedup, toxicity
+from . import chat_format, embedding_dedup, jaccard_join, lm_scoring, mixing, packing, quality_rules, substring_dedup, suffix_dedup, toxicity
 
 QUERIES = {
+    "op1_ngram_jaccard_join": jaccard_join.query,
     "op2_quality_rules": quality_rules.query,
     "op3_chat_format": chat_format.query,
+    "op4_embedding_near_dedup": embedding_dedup.query,
     "op5_best_fit_packing": packing.query,
     "op6_substring_dedup": substring_dedup.query,
     "op7_lm_scoring": lm_scoring.query,
