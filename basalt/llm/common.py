@@ -25,10 +25,19 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives lost executors and cuts the lineage."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Reliable checkpoint: survives lost executors and cuts the lineage; shuffle files that led to it are then dropped."""
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    before = spark.conf.get(CLEAN_UP, "false")
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -36,8 +45,5 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets the JVM notice unreferenced shuffles, so that Spark's cleaner frees their files between phases."""
-    import gc
-
-    gc.collect()
+    """Lets the JVM notice unreferenced shuffles."""
     spark.sparkContext._jvm.System.gc()

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textnp
-from .common import SLICE_BYTES, cut, release, shuffle_partitions, table
+from .common import SLICE_BYTES, cut, shuffle_partitions, table
 from .components import components
 from .packed import pack, pack_sorted, range_cuts, unpack, unpack_sorted
 
@@ -292,7 +292,6 @@ def join(docs: DataFrame, k: int = 4, threshold: Fraction = Fraction(85, 100)) -
         counts[r.chunk * SKETCH_CHUNK : (r.chunk + 1) * SKETCH_CHUNK] = unpack(r.counts, np.int64)
     prefixes = Prefixes(np.minimum(counts, 2**31 - 1).astype(np.int32), t)
     met = cut(cols.mapInArrow(_entries(k, prefixes, ranges), _ENTRY).groupBy("range").applyInPandas(_meet(t), "a long, b long, crowd boolean"))
-    release(spark)
     crowd = components(met.filter("crowd").select("a", "b"))
     in_crowd = crowd.select("id", F.col("component").alias("crowd_id"))
     # Pairs within one crowd are compared there.
@@ -306,7 +305,6 @@ def join(docs: DataFrame, k: int = 4, threshold: Fraction = Fraction(85, 100)) -
     wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).unionByName(in_crowd.select("id")).distinct()
     # Only the sets of candidates are kept; where ids repeat, all rows of the id.
     packed = cut(cols.join(wanted, cols["doc_id"] == wanted["id"], "left_semi").mapInArrow(_packed_sets(k), "doc_id long, shingles binary"))
-    release(spark)
     x, y = packed.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), packed.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
     linked = pairs.join(x, "a").join(y, "b").mapInArrow(_verify(t), "a long, b long")
     # Crowds: blocks by (crowd, size level, hash); a task has block i of a level with block j >= i of it, or with one of the next level.
@@ -323,7 +321,6 @@ def join(docs: DataFrame, k: int = 4, threshold: Fraction = Fraction(85, 100)) -
     )
     crowded = placed.select("doc_id", "crowd_id", F.explode(tasks).alias("t")).join(packed, "doc_id").groupBy("crowd_id", "t").applyInPandas(_compare(t), "a long, b long")
     edges = components(linked.unionByName(crowded))
-    release(spark)
     # A class takes the component of its smallest document; classes of one are their own.
     names = sets.filter("n > 0 AND doc_id IS NOT NULL")
     classes = names.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).filter("c > 1")

@@ -26,24 +26,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textnp
-from .common import SLICE_BYTES, cut, release, shuffle_partitions, table
-from .packed import pack, pack_sorted, range_cuts, unpack, unpack_sorted
+from .common import SLICE_BYTES, cut, shuffle_partitions, table
+from .packed import gather, pack, pack_sorted, range_cuts, scatter, unpack, unpack_sorted
 
 WIDTH = 20
 #: Bytes of text whose windows a map task sorts together.
-BUFFER_BYTES = 12 << 20
+BUFFER_BYTES = 6 << 20
 NULL_ID = -(2**63)
-_BLOCK = "range int, doc_id long, hashes binary, checks binary, ids binary, starts binary"
-_SCHEMA = pa.schema([("range", pa.int32()), ("doc_id", pa.int64())] + [(c, pa.binary()) for c in ("hashes", "checks", "ids", "starts")])
-
-
-def by_document(ids: np.ndarray, starts: np.ndarray) -> list[tuple[int, bytes]]:
-    """(doc_id, starts as int32 bytes) of positions in any order."""
-    order = np.lexsort((starts, ids))
-    ids, data = ids[order], starts[order].astype("<i4").tobytes()
-    at = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1]))) if len(ids) else np.empty(0, int)
-    ends = np.append(at[1:], len(ids))
-    return [(int(ids[a]), data[4 * a : 4 * b]) for a, b in zip(at, ends)]
+_BLOCK = "range int, bucket int, hashes binary, checks binary, ids binary, starts binary"
+_SCHEMA = pa.schema([("range", pa.int32()), ("bucket", pa.int32())] + [(c, pa.binary()) for c in ("hashes", "checks", "ids", "starts")])
 
 
 def _windows(keys: np.ndarray, docs: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -67,7 +58,7 @@ def _blocks(width: int, ranges: int):
         first = np.concatenate(([True], h[1:] != h[:-1])) if len(h) else np.empty(0, bool)
         origin = np.flatnonzero(first)[np.cumsum(first) - 1] if len(h) else first
         later = ~first & ((ids != ids[origin]) | (starts != starts[origin]))
-        rows = [(k % ranges, k, None, None, None, data) for k, data in by_document(ids[later], starts[later])]
+        rows = [(b, b, None, None, *packed) for b, *packed in scatter(ids[later], [starts[later]], ranges)]
         h, ids, starts = h[first], ids[first], starts[first]
         checks = (textnp.mix(h * np.uint64(0x2545F4914F6CDD1D) + np.uint64(99)) & np.uint64(255)).astype(np.uint8)
         cuts = range_cuts(h, ranges)
@@ -92,35 +83,45 @@ def _blocks(width: int, ranges: int):
     return run
 
 
-def _later(group: pd.DataFrame) -> pd.DataFrame:
-    """Of one hash range: every occurrence of a hash but the first, by document."""
-    local = group[group["hashes"].isna()]
-    out = list(zip(local["doc_id"].astype("int64"), local["starts"]))
-    blocks = group[group["hashes"].notna()]
-    if len(blocks):
-        h = np.concatenate([unpack_sorted(x) for x in blocks["hashes"]])
-        check = np.concatenate([np.frombuffer(x, np.uint8) for x in blocks["checks"]])
-        ids = np.concatenate([unpack(x, np.int64) for x in blocks["ids"]])
-        starts = np.concatenate([unpack(x, np.int32) for x in blocks["starts"]])
-        order = np.argsort(h, kind="stable")
-        same = h[order[1:]] == h[order[:-1]]
-        many = np.zeros(len(h), bool)
-        many[order[1:][same]] = many[order[:-1][same]] = True
-        at = np.flatnonzero(many)
-        at = at[np.lexsort((starts[at], ids[at], check[at], h[at]))]
-        first = np.concatenate(([True], (h[at[1:]] != h[at[:-1]]) | (check[at[1:]] != check[at[:-1]]))) if len(at) else np.empty(0, bool)
-        if len(at):
-            origin = at[np.flatnonzero(first)[np.cumsum(first) - 1]]
-            keep = at[(ids[at] != ids[origin]) | (starts[at] != starts[origin])]
-            out += by_document(ids[keep], starts[keep])
-    return pd.DataFrame({"doc_id": pd.Series([k for k, _ in out], dtype="int64"), "starts": [x for _, x in out]})
+def _later(ranges: int):
+    """Of one hash range: every occurrence of a hash but the first, packed by bucket of documents."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        local = group[group["hashes"].isna()]
+        out = list(zip(local["bucket"].astype(int), local["ids"], local["starts"]))
+        blocks = group[group["hashes"].notna()]
+        if len(blocks):
+            h = np.concatenate([unpack_sorted(x) for x in blocks["hashes"]])
+            check = np.concatenate([np.frombuffer(x, np.uint8) for x in blocks["checks"]])
+            ids = np.concatenate([unpack(x, np.int64) for x in blocks["ids"]])
+            starts = np.concatenate([unpack(x, np.int32) for x in blocks["starts"]])
+            order = np.argsort(h, kind="stable")
+            same = h[order[1:]] == h[order[:-1]]
+            many = np.zeros(len(h), bool)
+            many[order[1:][same]] = many[order[:-1][same]] = True
+            at = np.flatnonzero(many)
+            at = at[np.lexsort((starts[at], ids[at], check[at], h[at]))]
+            if len(at):
+                first = np.concatenate(([True], (h[at[1:]] != h[at[:-1]]) | (check[at[1:]] != check[at[:-1]])))
+                origin = at[np.flatnonzero(first)[np.cumsum(first) - 1]]
+                keep = at[(ids[at] != ids[origin]) | (starts[at] != starts[origin])]
+                out += scatter(ids[keep], [starts[keep]], ranges)
+        return pd.DataFrame(out, columns=["bucket", "ids", "starts"])
+
+    return run
+
+
+def _by_document(group: pd.DataFrame) -> pd.DataFrame:
+    ids, starts = gather(list(group["ids"]), [list(group["starts"])], [np.int32])
+    return pd.DataFrame({"doc_id": ids, "starts": starts})
 
 
 def repeated_starts(docs: DataFrame, width: int = WIDTH, ranges: int | None = None) -> DataFrame:
-    """doc_id, starts (int32 bytes): starts of windows whose words also start earlier; several rows to a document."""
-    ranges = ranges or 4 * shuffle_partitions(docs.sparkSession)
+    """doc_id, starts (int32 bytes): starts of windows whose words also start earlier; one row to a document that has any."""
+    ranges = ranges or shuffle_partitions(docs.sparkSession)
     blocks = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_blocks(width, ranges), _BLOCK)
-    return blocks.groupBy("range").applyInPandas(_later, "doc_id long, starts binary")
+    found = cut(blocks.groupBy("range").applyInPandas(_later(ranges), "bucket int, ids binary, starts binary"))
+    return found.groupBy("bucket").applyInPandas(_by_document, "doc_id long, starts binary")
 
 
 def intervals(starts: np.ndarray, width: int, n: int) -> np.ndarray:
@@ -130,41 +131,39 @@ def intervals(starts: np.ndarray, width: int, n: int) -> np.ndarray:
     return np.stack([np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)], axis=1)
 
 
-def _removed(width: int):
+def _removed(width: int, keep_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n_words, n_removed, kept = [], [], []
-            for text, lists in zip(textnp.texts(b.column("text")), b.column("lists").to_pylist()):
-                words, gone = text.split(), 0
-                if lists:
-                    spans = intervals(np.frombuffer(b"".join(lists), "<i4"), width, len(words))
-                    left, at = [], 0
-                    for x, y in spans.tolist():
-                        left += words[at:x]
-                        at, gone = y, gone + y - x
-                    n, words = len(words), left + words[at:]
-                else:
+            docs, starts, keys = textnp.texts(b.column("text")), b.column("starts").to_pylist(), b.column("doc_id")
+            for s in textnp.slices([len(d) for d in docs], SLICE_BYTES):
+                rows = []
+                for text, at in zip(docs[s], starts[s]):
+                    words, gone = text.split(), 0
                     n = len(words)
-                n_words.append(n)
-                n_removed.append(gone)
-                kept.append(b" ".join(words).decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string()), pa.array([hashlib.sha256(k.encode()).hexdigest() for k in kept])], names=["doc_id", "n_words", "n_removed", "kept_text", "kept_sha256"])
+                    if at:
+                        left, end = [], 0
+                        for x, y in intervals(np.frombuffer(at, "<i4"), width, n).tolist():
+                            left += words[end:x]
+                            end, gone = y, gone + y - x
+                        words = left + words[end:]
+                    kept = b" ".join(words)
+                    rows.append((n, gone, kept.decode("utf-8", "replace") if keep_text else None, hashlib.sha256(kept).hexdigest()))
+                n, gone, kept, digest = zip(*rows)
+                yield pa.RecordBatch.from_arrays([keys.slice(s.start, s.stop - s.start), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string()), pa.array(digest)], names=["doc_id", "n_words", "n_removed", "kept_text", "kept_sha256"])
 
     return run
 
 
-def dedup(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_text, kept_sha256."""
-    starts = cut(repeated_starts(docs, width))
-    release(docs.sparkSession)
-    lists = starts.groupBy("doc_id").agg(F.collect_list("starts").alias("lists")).withColumnRenamed("doc_id", "key")  # as long as the document at most
+def dedup(docs: DataFrame, width: int = WIDTH, keep_text: bool = True) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_text (null unless asked for), kept_sha256."""
+    starts = repeated_starts(docs, width).withColumnRenamed("doc_id", "key")
     cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    joined = cols.join(lists, F.coalesce(F.col("doc_id"), F.lit(NULL_ID)) == F.col("key"), "left").select("doc_id", "text", "lists")
-    return joined.mapInArrow(_removed(width), "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string")
+    joined = cols.join(starts, F.coalesce(F.col("doc_id"), F.lit(NULL_ID)) == F.col("key"), "left").select("doc_id", "text", "starts")
+    return joined.mapInArrow(_removed(width, keep_text), "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    return dedup(table(spark, sf_dir, "documents"), keep_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 SQL = r"""

@@ -34,27 +34,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bloom, textnp
-from .common import SLICE_BYTES, cut, release, shuffle_partitions, table
-from .packed import pack, pack_sorted, range_cuts, unpack, unpack_sorted
+from .common import SLICE_BYTES, cut, shuffle_partitions, table
+from .packed import gather, pack, pack_sorted, range_cuts, scatter, unpack, unpack_sorted
 from .substring_dedup import NULL_ID
 
 LENGTH = 200
-BUFFER_BYTES = 12 << 20
-_BLOCK = "range int, doc_id long, spans binary, ranks binary, names binary, ids binary, starts binary, counts binary, many binary"
-_SCHEMA = pa.schema([("range", pa.int32()), ("doc_id", pa.int64())] + [(c, pa.binary()) for c in ("spans", "ranks", "names", "ids", "starts", "counts", "many")])
-_FOUND = "doc_id long, spans binary, ask binary"
+BUFFER_BYTES = 8 << 20
+_BLOCK = "range int, bucket int, ranks binary, names binary, ids binary, starts binary, counts binary, many binary"
+_SCHEMA = pa.schema([("range", pa.int32()), ("bucket", pa.int32())] + [(c, pa.binary()) for c in ("ranks", "names", "ids", "starts", "counts", "many")])
+_FOUND = "bucket int, ask boolean, ids binary, starts binary, counts binary"
 _NO = np.empty(0, np.int64)
 
 
-def spans_by_document(ids: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> list[tuple[int, bytes]]:
-    """(doc_id, (start, count) pairs as int32 bytes)."""
-    if not len(ids):
-        return []
-    order = np.lexsort((starts, ids))
-    ids = ids[order]
-    data = np.stack([starts[order], counts[order]], 1).astype("<i4").tobytes()
-    at = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
-    return [(int(ids[a]), data[8 * a : 8 * b]) for a, b in zip(at, np.append(at[1:], len(ids)))]
+def spans(ids: np.ndarray, starts: np.ndarray, counts: np.ndarray, buckets: int) -> list[tuple]:
+    """(bucket, ids, starts, counts): runs of positions, packed by bucket of documents."""
+    return scatter(ids, [starts.astype(np.int32), counts.astype(np.int16)], buckets)
 
 
 def runs(docs: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, ...]:
@@ -107,13 +101,13 @@ def _send(rank, name, ids, starts, counts, ranges: int) -> Iterator[pa.RecordBat
         first = np.concatenate(([True], (rank[1:] != rank[:-1]) | (name[1:] != name[:-1])))
         copies = np.diff(np.append(np.flatnonzero(first), len(rank)))
         many = np.repeat(copies > 1, copies)
-        rows = [(k % ranges, k, data, *[None] * 6) for k, data in spans_by_document(ids[many], starts[many], counts[many])]
+        rows = [(b, b, None, None, *packed, None) for b, *packed in spans(ids[many], starts[many], counts[many], ranges)]
         many = (copies > 1).astype(np.uint8)
         rank, name, ids, starts, counts = (x[first] for x in (rank, name, ids, starts, counts))
         cuts = range_cuts(rank, ranges)
         for r in np.flatnonzero(np.diff(cuts)).tolist():
             s = slice(cuts[r], cuts[r + 1])
-            rows.append((r, None, None, pack_sorted(rank[s]), pack(name[s]), pack(ids[s]), pack(starts[s].astype(np.int32)), pack(counts[s].astype(np.int16)), pack(many[s])))
+            rows.append((r, None, pack_sorted(rank[s]), pack(name[s]), pack(ids[s]), pack(starts[s].astype(np.int32)), pack(counts[s].astype(np.int16)), pack(many[s])))
     for i in range(0, len(rows), 4096):
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[i : i + 4096]), _SCHEMA)], schema=_SCHEMA)
 
@@ -156,36 +150,58 @@ def _gather(group: pd.DataFrame):
     more[order[1:][same]] = more[order[:-1][same]] = True
     at = np.flatnonzero(more)
     at = at[np.lexsort((rest[2][at], rest[1][at], rest[0][at], rank[at]))]
-    return [(int(k), v) for k, v in zip(local["doc_id"], local["spans"])], rank[at], *(x[at] for x in rest)
+    return list(zip(local["bucket"].astype(int), local["ids"], local["starts"], local["counts"])), rank[at], *(x[at] for x in rest)
 
 
 def _groups(new: np.ndarray) -> np.ndarray:
     return np.cumsum(new) - 1
 
 
-def _runs_found(group: pd.DataFrame) -> pd.DataFrame:
-    """Round 2: runs that are repeated as a whole (spans), and those that must list their positions (ask)."""
-    local, rank, name, ids, starts, counts, many = _gather(group)
-    found, ask = local, []
-    if len(rank):
-        new_rank = np.concatenate(([True], rank[1:] != rank[:-1]))
-        new_name = new_rank | np.concatenate(([True], name[1:] != name[:-1]))
-        g, s = _groups(new_name), _groups(new_rank)
-        whole = (np.bincount(g) > 1)[g] | (np.bincount(g, many) > 0)[g]
-        found = local + spans_by_document(ids[whole], starts[whole], counts[whole])
-        differ = new_name & (np.bincount(s, new_name) > 1)[s]
-        ask = spans_by_document(ids[differ], starts[differ], counts[differ])
-    return pd.DataFrame({"doc_id": pd.Series([k for k, _ in found] + [k for k, _ in ask], dtype="int64"), "spans": [v for _, v in found] + [None] * len(ask), "ask": [None] * len(found) + [v for _, v in ask]})
+def _told(found: list[tuple], ask: list[tuple] = ()) -> pd.DataFrame:
+    return pd.DataFrame([(b, k, *x) for k, rows in ((False, found), (True, ask)) for b, *x in rows], columns=["bucket", "ask", "ids", "starts", "counts"])
+
 
+def _runs_found(buckets: int):
+    """Round 2: runs that are repeated as a whole, and those that must list their positions (ask)."""
 
-def _positions_found(group: pd.DataFrame) -> pd.DataFrame:
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        found, rank, name, ids, starts, counts, many = _gather(group)
+        ask = []
+        if len(rank):
+            new_rank = np.concatenate(([True], rank[1:] != rank[:-1]))
+            new_name = new_rank | np.concatenate(([True], name[1:] != name[:-1]))
+            g, s = _groups(new_name), _groups(new_rank)
+            whole = (np.bincount(g) > 1)[g] | (np.bincount(g, many) > 0)[g]
+            found = found + spans(ids[whole], starts[whole], counts[whole], buckets)
+            differ = new_name & (np.bincount(s, new_name) > 1)[s]
+            ask = spans(ids[differ], starts[differ], counts[differ], buckets)
+        return _told(found, ask)
+
+    return run
+
+
+def _positions_found(buckets: int):
     """Round 3: positions whose pair of ranks occurs again."""
-    found, rank, name, ids, starts, counts, many = _gather(group)
-    if len(rank):
-        g = _groups(np.concatenate(([True], (rank[1:] != rank[:-1]) | (name[1:] != name[:-1]))))
-        again = (np.bincount(g) > 1)[g] | (np.bincount(g, many) > 0)[g]
-        found = found + spans_by_document(ids[again], starts[again], counts[again])
-    return pd.DataFrame({"doc_id": pd.Series([k for k, _ in found], dtype="int64"), "spans": [v for _, v in found], "ask": pd.Series([None] * len(found), dtype=object)})
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        found, rank, name, ids, starts, counts, many = _gather(group)
+        if len(rank):
+            g = _groups(np.concatenate(([True], (rank[1:] != rank[:-1]) | (name[1:] != name[:-1]))))
+            again = (np.bincount(g) > 1)[g] | (np.bincount(g, many) > 0)[g]
+            found = found + spans(ids[again], starts[again], counts[again], buckets)
+        return _told(found)
+
+    return run
+
+
+def _by_document(group: pd.DataFrame) -> pd.DataFrame:
+    ids, data = gather(list(group["ids"]), [list(group["starts"]), list(group["counts"])], [np.int32, np.int16])
+    return pd.DataFrame({"key": ids, "spans": data})
+
+
+def _documents(found: DataFrame) -> DataFrame:
+    """key, spans: (first, count) int32 pairs; one row to a document."""
+    return found.select("bucket", "ids", "starts", "counts").groupBy("bucket").applyInPandas(_by_document, "key long, spans binary")
 
 
 def _asked(filter_bits: np.ndarray):
@@ -202,15 +218,15 @@ def _pair_blocks(length: int, ranges: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, n = [], 0
         for b in batches:
-            for k, d, lists in zip(b.column("key").to_pylist(), textnp.texts(b.column("text")), b.column("ask").to_pylist()):
-                a = np.frombuffer(b"".join(lists), "<i4").reshape(-1, 2).astype(np.int64)
+            for k, d, spans_ in zip(b.column("key").to_pylist(), textnp.texts(b.column("text")), b.column("spans").to_pylist()):
+                a = np.frombuffer(spans_, "<i4").reshape(-1, 2).astype(np.int64)
                 a = a[a[:, 0] + a[:, 1] + length - 1 <= len(d)]
                 ends = np.cumsum(a[:, 1])
                 at = np.repeat(a[:, 0] - ends + a[:, 1], a[:, 1]) + np.arange(ends[-1] if len(ends) else 0)
                 rank, name = doubled(d, at, length)
                 parts.append((rank, name, np.full(len(at), k, np.int64), at, np.ones(len(at), np.int64)))
                 n += len(at)
-                if n >= 1_500_000:
+                if n >= 1_000_000:
                     yield from _send(*(np.concatenate(x) for x in zip(*parts)), ranges)
                     parts, n = [], 0
         if parts:
@@ -220,20 +236,17 @@ def _pair_blocks(length: int, ranges: int):
 
 
 def repeated(docs: DataFrame, length: int = LENGTH, ranges: int | None = None) -> DataFrame:
-    """doc_id, spans: (first, count) int32 pairs of the repeated positions; several rows to a document."""
+    """key (doc_id), spans: (first, count) int32 pairs of the repeated positions; one row to a document that has any."""
     spark = docs.sparkSession
-    ranges = ranges or 4 * shuffle_partitions(spark)
+    ranges = ranges or shuffle_partitions(spark)
     cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = cut(cols.mapInArrow(_seed_blocks(length, ranges), _BLOCK).groupBy("range").applyInPandas(_runs_found, _FOUND))
-    release(spark)
-    ask = found.filter(F.col("ask").isNotNull())
-    bits = bloom.build(ask.select("doc_id"))
+    found = cut(cols.mapInArrow(_seed_blocks(length, ranges), _BLOCK).groupBy("range").applyInPandas(_runs_found(ranges), _FOUND))
+    ask = cut(_documents(found.filter("ask")))
+    bits = bloom.build(ask.select("key"))
     some = cols.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("key"), "text").mapInArrow(_asked(bits), "key long, text string")
-    lists = ask.groupBy("doc_id").agg(F.collect_list("ask").alias("ask"))  # as long as the document at most
-    pairs = some.join(lists, some["key"] == lists["doc_id"]).select("key", "text", "ask").mapInArrow(_pair_blocks(length, ranges), _BLOCK)
-    doubled_ = cut(pairs.groupBy("range").applyInPandas(_positions_found, _FOUND))
-    release(spark)
-    return found.filter(F.col("spans").isNotNull()).unionByName(doubled_).select("doc_id", "spans")
+    pairs = some.join(ask, "key").select("key", "text", "spans").mapInArrow(_pair_blocks(length, ranges), _BLOCK)
+    doubled_ = cut(pairs.groupBy("range").applyInPandas(_positions_found(ranges), _FOUND))
+    return _documents(found.filter("NOT ask").unionByName(doubled_))
 
 
 def removal(spans: np.ndarray, length: int, n: int) -> np.ndarray:
@@ -246,33 +259,33 @@ def removal(spans: np.ndarray, length: int, n: int) -> np.ndarray:
     return np.stack([np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)], 1)
 
 
-def _removed(length: int):
+def _removed(length: int, keep: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for text, lists in zip(textnp.texts(b.column("text")), b.column("lists").to_pylist()):
-                kept, gone, k = text, 0, 0
-                if lists:
-                    spans = np.frombuffer(b"".join(lists), "<i4").reshape(-1, 2).astype(np.int64)
-                    out = removal(spans[spans[:, 0] < len(text)], length, len(text))
-                    cuts = [0, *out.ravel().tolist(), len(text)]
-                    kept = b"".join(text[x:y] for x, y in zip(cuts[::2], cuts[1::2]))
-                    gone, k = len(text) - len(kept), len(out)
-                rows.append((len(text), gone, k, kept, hashlib.sha256(kept).hexdigest()))
-            if rows:
+            docs, found, keys = textnp.texts(b.column("text")), b.column("spans").to_pylist(), b.column("doc_id")
+            for s in textnp.slices([len(d) for d in docs], SLICE_BYTES):
+                rows = []
+                for text, data in zip(docs[s], found[s]):
+                    kept, gone, k = text, 0, 0
+                    if data:
+                        runs_ = np.frombuffer(data, "<i4").reshape(-1, 2).astype(np.int64)
+                        out = removal(runs_[runs_[:, 0] < len(text)], length, len(text))
+                        cuts = [0, *out.ravel().tolist(), len(text)]
+                        kept = b"".join(text[x:y] for x, y in zip(cuts[::2], cuts[1::2]))
+                        gone, k = len(text) - len(kept), len(out)
+                    rows.append((len(text), gone, k, kept if keep else None, hashlib.sha256(kept).hexdigest()))
                 n, gone, k, kept, digest = zip(*rows)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(k, pa.int64()), pa.array(kept, pa.binary()), pa.array(digest)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
+                yield pa.RecordBatch.from_arrays([keys.slice(s.start, s.stop - s.start), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(k, pa.int64()), pa.array(kept, pa.binary()), pa.array(digest)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
 
     return run
 
 
-def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes), kept_sha256."""
-    lists = repeated(docs, length).groupBy("doc_id").agg(F.collect_list("spans").alias("lists")).withColumnRenamed("doc_id", "key")
+def dedup(docs: DataFrame, length: int = LENGTH, keep: bool = True) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes; null unless asked for), kept_sha256."""
     cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    joined = cols.join(lists, F.coalesce(F.col("doc_id"), F.lit(NULL_ID)) == F.col("key"), "left").select("doc_id", "text", "lists")
-    return joined.mapInArrow(_removed(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
+    joined = cols.join(repeated(docs, length), F.coalesce(F.col("doc_id"), F.lit(NULL_ID)) == F.col("key"), "left").select("doc_id", "text", "spans")
+    return joined.mapInArrow(_removed(length, keep), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return dedup(table(spark, sf_dir, "documents"), keep=False).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
