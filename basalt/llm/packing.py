@@ -31,8 +31,8 @@ from .common import SLICE_BYTES, cut, table
 
 CAPACITY = 2048
 END_ID = 0
-#: Words whose ids a worker remembers, and the longest of them in bytes.
-CACHE_WORDS, CACHE_BYTES = 300_000, 64
+#: Words whose ids a worker remembers, about 50 bytes each.
+CACHE_WORDS = 2_000_000
 
 Bin = tuple[tuple[tuple[int, int], ...], int]  # ((length, how often), ...), number of such bins
 
@@ -41,7 +41,8 @@ class WordIds:
     """Token ids of whole texts through a cache of words.
 
     The tokenizer lower-cases, composes and splits between white space only, so a text's ids are those
-    of its words, one after the other; special strings have no white space in them.
+    of its words, one after the other; special strings have no white space in them. Words are looked up by
+    their 64-bit hashes in sorted arrays; of CACHE_WORDS words two share a hash with a probability of 1e-7.
     """
 
     def __init__(self, path: str):
@@ -52,49 +53,64 @@ class WordIds:
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[bytes, int] = {}
-        self.pool = np.empty(1 << 16, np.uint32)
-        self.start, self.n = [], []
-        self.used = 0
-
-    def _add(self, words: list[bytes]) -> None:
-        for w, e in zip(words, self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)):
-            ids = e.ids
-            while self.used + len(ids) > len(self.pool):
-                self.pool = np.concatenate((self.pool, np.empty_like(self.pool)))
-            self.pool[self.used : self.used + len(ids)] = ids
-            self.index[w] = len(self.start)
-            self.start.append(self.used)
-            self.n.append(len(ids))
-            self.used += len(ids)
+        self.known = np.empty(0, np.uint64)
+        self.start, self.n = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.pool, self.used = np.empty(1 << 16, np.uint32), 0
+
+    def _add(self, hashes: np.ndarray, words: list[str]) -> None:
+        """hashes: ascending, none of them known."""
+        ids = [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+        n = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter((i for x in ids for i in x), np.uint32, int(n.sum()))
+        while self.used + len(flat) > len(self.pool):
+            self.pool = np.concatenate((self.pool, np.empty_like(self.pool)))
+        self.pool[self.used : self.used + len(flat)] = flat
+        at = np.searchsorted(self.known, hashes)
+        self.start = np.insert(self.start, at, self.used + np.cumsum(n) - n)
+        self.n = np.insert(self.n, at, n)
+        self.known = np.insert(self.known, at, hashes)
+        self.used += len(flat)
 
     def encode(self, docs: list[bytes]) -> list[np.ndarray]:
-        if len(self.index) > CACHE_WORDS:
+        if len(self.known) > CACHE_WORDS or self.used > 8 * CACHE_WORDS:
             self.clear()
-        split = [d.split() for d in docs]  # bytes.split() parts at 0x20 and 0x09-0x0D only
-        words = [w for ws in split for w in ws]
-        self._add([w for w in set(words) if w not in self.index])
-        at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-        n, start = np.array(self.n, np.int64)[at], np.array(self.start, np.int64)[at]
+        w = textnp.Words(docs)
+        u, first, inverse = np.unique(w.hashes(), return_index=True, return_inverse=True)
+        at = np.searchsorted(self.known, u)
+        new = np.ones(len(u), bool)
+        inner = at < len(self.known)
+        new[inner] = self.known[at[inner]] != u[inner]
+        if new.any():
+            f = first[new]
+            self._add(u[new], [w.data[a:b].decode("utf-8", "replace") for a, b in zip(w.starts[f].tolist(), w.ends[f].tolist())])
+            at = np.searchsorted(self.known, u)
+        n, start = self.n[at][inverse], self.start[at][inverse]
         ends = np.cumsum(n)
         ids = self.pool[np.repeat(start - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
-        for w in [w for w in self.index if len(w) > CACHE_BYTES]:
-            del self.index[w]
-        cuts = np.concatenate(([0], np.cumsum([len(ws) for ws in split])))
-        ends = np.concatenate(([0], ends))
-        return [ids[ends[a] : ends[b]] for a, b in zip(cuts[:-1], cuts[1:])]
+        ends = np.concatenate(([0], ends))[w.bounds]
+        return [ids[a:b] for a, b in zip(ends[:-1], ends[1:])]
+
+
+_coders: dict[str, WordIds] = {}
+
+
+def coder(path: str) -> WordIds:
+    """One to a worker process, so that its words last over tasks."""
+    if path not in _coders:
+        _coders[path] = WordIds(path)
+    return _coders[path]
 
 
 def _pieces(path: str, capacity: int):
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("part", pa.int32()), ("k", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, seen, part = WordIds(path), defaultdict(int), TaskContext.get().partitionId()
+        words, seen, part = coder(path), defaultdict(int), TaskContext.get().partitionId()
         for batch in batches:
             docs, keys = textnp.texts(batch.column("text")), batch.column("doc_id").to_pylist()
             rows = []
             for s in textnp.slices([len(d) for d in docs], SLICE_BYTES):
-                for key, ids in zip(keys[s], coder.encode(docs[s])):
+                for key, ids in zip(keys[s], words.encode(docs[s])):
                     ids = np.append(ids, np.uint32(END_ID)).astype("<u4")
                     for i in range(0, len(ids), capacity):
                         x = ids[i : i + capacity]
