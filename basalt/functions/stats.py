@@ -10,11 +10,12 @@ Z95 = 1.959963985
 
 
 def wilson(hits: Column, n: Column, z: float = Z95) -> tuple[Column, Column]:
-    """Bounds of the Wilson interval of hits of n; null for n = 0."""
-    hits, n = hits.cast("double"), F.nullif(n.cast("double"), F.lit(0.0))
-    p, z2 = hits / n, z * z
-    middle, spread = p + z2 / (2 * n), z * F.sqrt(p * (1 - p) / n + z2 / (4 * n * n))
-    return F.greatest(F.lit(0.0), (middle - spread) / (1 + z2 / n)), F.least(F.lit(1.0), (middle + spread) / (1 + z2 / n))
+    """Bounds of the Wilson interval of hits of n; (0, 1) for n = 0."""
+    some = F.nullif(n.cast("double"), F.lit(0.0))
+    p, z2 = hits.cast("double") / some, z * z
+    middle, spread = p + z2 / (2 * some), z * F.sqrt(p * (1 - p) / some + z2 / (4 * some * some))
+    bound = lambda x: x / (1 + z2 / some)
+    return F.coalesce(F.greatest(F.lit(0.0), bound(middle - spread)), F.lit(0.0)), F.coalesce(F.least(F.lit(1.0), bound(middle + spread)), F.lit(1.0))
 
 
 def percent_rank_of_ties(df: DataFrame, value: str, out: str, by: tuple[str, ...] = ()) -> DataFrame:
@@ -24,9 +25,10 @@ def percent_rank_of_ties(df: DataFrame, value: str, out: str, by: tuple[str, ...
     w = Window.partitionBy(*(keys or [F.lit(0)]))
     below = F.coalesce(F.sum("_c").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     n = F.sum("_c").over(w)
-    ranks = counts.select(*keys, value, F.when(n > 1, (below + (F.col("_c") - 1) / 2.0) / (n - 1)).otherwise(F.lit(0.5)).alias(out))
-    on = [df[c].eqNullSafe(ranks[c]) for c in [*keys, value]]
-    return df.join(ranks, on).select(*(df[c] for c in df.columns), ranks[out])
+    named = [F.col(c).alias(f"_k{i}") for i, c in enumerate([*keys, value])]
+    ranks = counts.select(*named, F.when(n > 1, (below + (F.col("_c") - 1) / 2.0) / (n - 1)).otherwise(F.lit(0.5)).alias(out))
+    on = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate([*keys, value])]
+    return df.join(ranks, on).select(*df.columns, out)
 
 
 def nearest_rank(df: DataFrame, value: str, p: float, by: tuple[str, ...] = ()) -> DataFrame:

@@ -81,9 +81,9 @@ def run_detectors(spark: SparkSession, facts: Facts, only: tuple[str, ...] | Non
         missing = [t for t in d.needs if t not in facts]
         lost = [k for k in d.edge_kinds if k not in kinds]
         if missing or lost:
-            cover.append((d.id, "sin-capacidad" if missing else "sin-aristas", missing + lost))
+            cover.append((d.id, "no-aplicable" if missing else "sin-aristas", missing + lost))
             continue
-        cover.append((d.id, "ejecutado", []))
+        cover.append((d.id, "corrio", []))
         f = d.run(facts, d.thresholds | (thresholds or {}).get(d.id, {}))
         f = f if d.cap is None else capped(f.withColumn("id", F.concat_ws("#", "file", "symbol", "variant")), d.cap).drop("id")
         out = f if out is None else out.unionByName(f)

@@ -15,7 +15,7 @@ GROUP_MIN, DEGENERATE_MIN, DEGENERATE_MEDIAN = 5, 20, 0.7
 DEGENERATE_CONFIDENCE, INFERRED_CONFIDENCE, INFERRED_SHARE = 0.5, 0.7, 0.5
 STORED, PAGE = 5000, 200
 #: Coverage statuses from worst to best.
-STATUS = ("error", "presupuesto-agotado", "sin-capacidad", "sin-aristas", "sin-metricas", "no-aplicable", "ejecutado")
+STATUS = ("error", "presupuesto-agotado", "no-aplicable", "sin-grafo", "sin-aristas", "sin-metricas", "corrio")
 
 
 def reach_index(files: DataFrame) -> DataFrame:
