@@ -1,49 +1,16 @@
-"""Session, table and checkpoint helpers shared by the training-data operators."""
+"""Helpers shared by the training-data operators."""
 
 from __future__ import annotations
 
-import tempfile
+from pyspark.sql import SparkSession
 
-from pyspark.sql import DataFrame, SparkSession
+from ..functions.session import checkpoint_dir, cut, table
+
+__all__ = ["SLICE_BYTES", "checkpoint_dir", "cut", "shuffle_partitions", "table"]
 
 #: Bytes of text handled at once by the numpy code; whole documents only, so one longer document is one slice.
 SLICE_BYTES = 1 << 20
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; only a session without one (tests) gets a folder of its own."""
-    sc = spark.sparkContext
-    now = sc.getCheckpointDir()
-    if now:
-        return now
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="basalt-checkpoint-"))
-    return sc.getCheckpointDir()
-
-
-CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives lost executors and cuts the lineage; shuffle files that led to it are then dropped."""
-    spark = df.sparkSession
-    checkpoint_dir(spark)
-    before = spark.conf.get(CLEAN_UP, "false")
-    spark.conf.set(CLEAN_UP, "true")
-    try:
-        return df.select("*").checkpoint(eager=True)
-    finally:
-        spark.conf.set(CLEAN_UP, before)
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
-
-
-def release(spark: SparkSession) -> None:
-    """Lets the JVM notice unreferenced shuffles."""
-    spark.sparkContext._jvm.System.gc()

@@ -287,5 +287,28 @@ def dedup(docs: DataFrame, length: int = LENGTH, keep: bool = True) -> DataFrame
     return joined.mapInArrow(_removed(length, keep), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
 
 
+def _cut_texts(length: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for text, data in zip(textnp.texts(b.column("text")), b.column("spans").to_pylist()):
+                if data:
+                    runs_ = np.frombuffer(data, "<i4").reshape(-1, 2).astype(np.int64)
+                    cuts = [0, *removal(runs_[runs_[:, 0] < len(text)], length, len(text)).ravel().tolist(), len(text)]
+                    text = b"".join(text[x:y] for x, y in zip(cuts[::2], cuts[1::2]))
+                out.append(text.decode("utf-8", "ignore"))
+            names = [c for c in b.schema.names if c not in ("spans", "key")]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if c == "text" else b.column(c) for c in names], names=names)
+
+    return run
+
+
+def clean(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """docs with the repeated bytes cut from ``text``; code points that a cut parts are dropped, null texts become empty."""
+    docs = docs.withColumn("text", F.col("text").cast("string")).drop("spans", "key")
+    joined = docs.join(repeated(docs, length), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)) == F.col("key"), "left")
+    return joined.mapInArrow(_cut_texts(length), docs.schema)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(table(spark, sf_dir, "documents"), keep=False).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
