@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -26,48 +27,62 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
-from .components import components
+from ..operators.components import components
+from .common import cut, shuffle_partitions, table
 from .jaccard_join import forest
 
 COSINE = 0.9
-EXPECTED, RANDOM = 7.0, 4.0
+EXPECTED, RANDOM = 10.0, 8.0
 MOST_CODE = 4096
 BLOCK = 2048
 SEED = 20240611
 
 
-def _tail(z: float) -> float:
-    return math.erfc(z / math.sqrt(2)) / 2
+@lru_cache(maxsize=None)
+def _marginal(dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Grid, and probability that one coordinate of a random unit vector of that dimension reaches each point."""
+    t = np.linspace(-1, 1, 20001)
+    f = np.exp((dim - 3) / 2 * np.log(np.maximum(1 - t * t, 1e-300)))
+    upper = np.cumsum(f[::-1])[::-1]
+    return t, upper / upper[0]
 
 
-def _both(z: float, rho: float) -> float:
-    """Probability that two normal numbers of correlation rho both exceed z."""
-    x = np.linspace(z, z + 8, 4001)
-    y = np.exp(-x * x / 2) / math.sqrt(2 * math.pi) * np.array([_tail((z - rho * v) / math.sqrt(1 - rho * rho)) for v in x])
-    return float(((y[1:] + y[:-1]) / 2).sum() * (x[1] - x[0]))
+def _tail(height: float, dim: int) -> float:
+    return float(np.interp(height, *_marginal(dim)))
 
 
-def cap(n: int, cosine: float = COSINE) -> tuple[float, int]:
-    """(height in standard deviations, code words for each half) for n vectors."""
-    z = 2.0
+def _both(height: float, dim: int, rho: float) -> float:
+    """Probability that a random direction is within the cap of two unit vectors of cosine rho."""
+    t = np.linspace(height, 1 - 1e-9, 2000)
+    f = np.exp((dim - 3) / 2 * np.log(1 - t * t))
+    grid, _ = _marginal(dim)
+    f /= np.exp((dim - 3) / 2 * np.log(np.maximum(1 - grid * grid, 1e-300))).sum() * (grid[1] - grid[0])
+    given = np.interp((height - rho * t) / (math.sqrt(1 - rho * rho) * np.sqrt(1 - t * t)), *_marginal(dim - 1))
+    return float((f * given).sum() * (t[1] - t[0]))
+
+
+def cap(n: int, dim: int, cosine: float = COSINE) -> tuple[float, int]:
+    """(cap height, code words for each half) for n vectors; very low dimensions have one cap, the whole sphere."""
+    if dim < 4:
+        return -2.0, 1
+    height = 0.0
     while True:
-        p, q = _tail(z), _both(z, cosine)
+        p, q = _tail(height, dim), _both(height, dim, cosine)
         code = math.ceil(math.sqrt(EXPECTED / q))
         if n * code * code * p * p <= RANDOM or code >= MOST_CODE:
-            return z, code
-        z += 0.05
+            return height, code
+        height += 0.01
 
 
 class Codes:
-    def __init__(self, dim: int, z: float, words: int):
+    def __init__(self, dim: int, height: float, words: int):
         r = np.random.default_rng(SEED + dim)
         self.turn = np.linalg.qr(r.standard_normal((dim, dim)))[0]
         self.half = (dim + 1) // 2
         a, b = (r.standard_normal((words, k)) for k in (self.half, dim - self.half))
         unit = lambda x, k: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30) * math.sqrt(k / dim)
         self.a, self.b = unit(a, self.half), unit(b, dim - self.half)
-        self.height, self.words, self.dim = z / math.sqrt(dim), words, dim
+        self.height, self.words, self.dim = height, words, dim
 
     def filters(self, x: np.ndarray) -> list[np.ndarray]:
         """For unit rows, the numbers of all filters above the cap height."""
@@ -77,80 +92,106 @@ class Codes:
         for u, v in zip(s, t):
             i, j = np.flatnonzero(u >= self.height - v.max()), np.flatnonzero(v >= self.height - u.max())
             p, q = np.nonzero(u[i][:, None] + v[j][None, :] >= self.height)
-            out.append((self.dim * self.words + i[p]) * self.words + j[q])
+            out.append((i[p] * self.words + j[q]).astype(np.int32))
         return out
 
 
-def _filters(z: float, words: int):
+def unit(rows) -> np.ndarray:
+    x = np.stack(rows).astype(np.float64)
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
+
+
+def _filters(n: int, cosine: float):
     codes: dict[int, Codes] = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, weight, vectors = (b.column(c).to_pylist() for c in ("rep", "weight", "v"))
-            found: list = [None] * len(ids)
+            vectors = [np.array(v) for v in b.column("v").to_pylist()]
+            found: list = [None] * len(vectors)
             for dim in {len(v) for v in vectors}:
                 at = [i for i, v in enumerate(vectors) if len(v) == dim]
                 if dim not in codes:
-                    codes[dim] = Codes(dim, z, words)
+                    codes[dim] = Codes(dim, *cap(n, dim, cosine))
                 for s in range(0, len(at), 512):
-                    for i, f in zip(at[s : s + 512], codes[dim].filters(np.array([vectors[i] for i in at[s : s + 512]]))):
-                        found[i] = np.sort(f).tolist()
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(weight, pa.int64()), b.column("v"), pa.array(found, pa.list_(pa.int64()))], names=["rep", "weight", "v", "filters"])
+                    for i, f in zip(at[s : s + 512], codes[dim].filters(unit([vectors[i] for i in at[s : s + 512]]))):
+                        found[i] = np.sort(f)
+            if vectors:
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("rep", "weight", "v")), pa.array(found, pa.list_(pa.int32()))], names=["rep", "weight", "v", "filters"])
 
     return run
 
 
+def _links(f: int, cross: bool, ids, w, part, x: np.ndarray, filters: list, cosine: float):
+    """Links first met under filter f: weights by vector, and a spanning forest."""
+    links = x @ x.T >= cosine
+    np.fill_diagonal(links, False)
+    if cross:
+        links &= part[:, None] != part[None, :]
+    if not links.any():
+        return None
+    lower = [fs[fs < f] for fs in filters]
+    every, at = np.unique(np.concatenate(lower), return_inverse=True)
+    if len(every):
+        met = np.zeros((len(ids), len(every)), np.float32)
+        met[np.repeat(np.arange(len(ids)), [len(fs) for fs in lower]), at] = 1
+        links &= met @ met.T < 0.5
+    return (links * w[None, :]).sum(1), forest(links, ids)
+
+
+_KEYS = ["dim", "f", "i", "j"]
+
+
 def _meet(cosine: float):
-    """Links first met under this filter between its blocks i and j: weights by vector, and a spanning forest."""
-
-    def run(key, group: pd.DataFrame) -> pd.DataFrame:
-        f, task = int(key[0]), key[1]
-        i, j = (task["i"], task["j"]) if isinstance(task, dict) else tuple(task)
-        ids, w, part = group["rep"].to_numpy(), group["weight"].to_numpy(), group["part"].to_numpy()
-        x = np.stack(group["v"].to_numpy()).astype(np.float64)
-        links = x @ x.T >= cosine
-        np.fill_diagonal(links, False)
-        if i != j:
-            links &= part[:, None] != part[None, :]
-        lower = [[g for g in fs if g < f] for fs in group["filters"]]
-        every = {g: k for k, g in enumerate(sorted({g for fs in lower for g in fs}))}
-        if every and links.any():
-            met = np.zeros((len(ids), len(every)), np.float32)
-            for r, fs in enumerate(lower):
-                met[r, [every[g] for g in fs]] = 1
-            links &= met @ met.T < 0.5
-        n = (links * w[None, :]).sum(1)
-        some = np.flatnonzero(n)
-        edges = forest(links, ids) if len(some) else []
-        a = np.concatenate([ids[some], np.array([e[0] for e in edges], np.int64)])
-        return pd.DataFrame({"a": a.astype(np.int64), "b": pd.Series([None] * len(some) + [e[1] for e in edges], dtype="Int64"), "n": pd.Series([*n[some].tolist(), *[None] * len(edges)], dtype="Int64")})
+    """Over rows sorted by filter and blocks; a group is two blocks at most."""
+
+    def group(g: pd.DataFrame) -> list[tuple]:
+        ids = g["rep"].to_numpy()
+        if len(ids) < 2:
+            return []
+        _, f, i, j = g.iloc[0][_KEYS]
+        found = _links(int(f), i != j, ids, g["weight"].to_numpy(), g["part"].to_numpy(), unit(g["v"].to_numpy()), list(g["filters"]), cosine)
+        if found is None:
+            return []
+        return [(int(ids[k]), None, int(found[0][k])) for k in np.flatnonzero(found[0])] + [(a, b, None) for a, b in found[1]]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        show = lambda rows: pd.DataFrame({"a": pd.Series([r[0] for r in rows], dtype="int64"), "b": pd.Series([r[1] for r in rows], dtype="Int64"), "n": pd.Series([r[2] for r in rows], dtype="Int64")})
+        for b in batches:
+            if not len(b):
+                continue
+            b = b if held is None else pd.concat([held, b], ignore_index=True)
+            k = b[_KEYS].to_numpy()
+            at = [0, *(np.flatnonzero((k[1:] != k[:-1]).any(1)) + 1).tolist()]
+            yield show([r for x, y in zip(at[:-1], at[1:]) for r in group(b.iloc[x:y])])
+            held = b.iloc[at[-1] :]
+        if held is not None:
+            yield show(group(held))
 
     return run
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     """vec_id, n_links, component_id, kept."""
-    raw = F.transform(F.col("embedding"), lambda c: c.cast("double"))
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), raw.alias("e"))
-    norm = F.sqrt(F.aggregate("e", F.lit(0.0), lambda s, c: s + c * c))
-    sound = F.coalesce(F.forall("e", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < 1e150)) & (norm > 0) & F.col("vec_id").isNotNull(), F.lit(False))
-    good = rows.filter(sound).withColumn("key", F.transform("e", lambda c: c + 0.0))
-    classes = cut(good.groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight")).withColumn("e", F.col("key")).select("rep", "weight", "key", F.transform("e", lambda c: c / norm).alias("v")))
-    z, words = cap(max(2, classes.count()), cosine)
-    filtered = cut(classes.select("rep", "weight", "v").mapInArrow(_filters(z, words), "rep long, weight long, v array<double>, filters array<long>"))
-    entries = filtered.select("rep", F.explode("filters").alias("f"))
-    sizes = entries.groupBy("f").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("c")).filter("c > 1")
-    placed = entries.join(sizes, "f").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    kind = "float" if vectors.schema["embedding"].dataType.elementType.simpleString() == "float" else "double"
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(f"array<{kind}>").alias("e"))
+    squares = F.aggregate("e", F.lit(0.0), lambda s, c: s + c.cast("double") * c)
+    sound = F.coalesce(F.forall("e", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < 1e150)) & (squares > 0) & F.col("vec_id").isNotNull(), F.lit(False))
+    good = rows.filter(sound).select("vec_id", F.transform("e", lambda c: c + F.lit(0).cast(kind)).alias("v"))  # -0 is 0
+    classes = cut(good.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight")))
+    filtered = cut(classes.select("rep", "weight", "v").mapInArrow(_filters(max(2, classes.count()), cosine), f"rep long, weight long, v array<{kind}>, filters array<int>"))
+    entries = filtered.select("rep", F.size("v").alias("dim"), F.explode("filters").alias("f"))
+    sizes = entries.groupBy("dim", "f").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("c")).filter("c > 1")
+    placed = entries.join(sizes, ["dim", "f"]).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     tasks = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(F.col("part"), j).alias("i"), F.greatest(F.col("part"), j).alias("j")))
-    met = placed.select("rep", "f", "part", F.explode(tasks).alias("t")).join(filtered, "rep")
-    links = cut(met.groupBy("f", "t").applyInPandas(_meet(cosine), "a long, b long, n long"))
+    met = placed.select("rep", "dim", "f", "part", F.explode(tasks).alias("t")).select("rep", "dim", "f", "part", "t.i", "t.j").join(filtered, "rep")
+    links = cut(met.repartition(shuffle_partitions(vectors.sparkSession), *_KEYS).sortWithinPartitions(*_KEYS).mapInPandas(_meet(cosine), "a long, b long, n long"))
     counts = links.filter("n IS NOT NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
     found = components(links.filter("b IS NOT NULL").select("a", "b"))
     # Members of a class: only classes of several rows need the join by vector, salted against very common ones.
     salts = 16
-    several = classes.filter("weight > 1").select("key", "rep", "weight", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    members = good.select("vec_id", "key", F.pmod(F.hash("vec_id"), F.lit(salts)).alias("salt")).join(several, ["key", "salt"], "left").select("vec_id", F.coalesce("rep", "vec_id").alias("rep"), F.coalesce("weight", F.lit(1)).alias("weight"))
+    several = classes.filter("weight > 1").select("v", "rep", "weight", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    members = good.select("vec_id", "v", F.pmod(F.hash("vec_id"), F.lit(salts)).alias("salt")).join(several, ["v", "salt"], "left").select("vec_id", F.coalesce("rep", "vec_id").alias("rep"), F.coalesce("weight", F.lit(1)).alias("weight"))
     told = members.join(counts, "rep", "left").join(found.withColumnRenamed("id", "rep"), "rep", "left").select("vec_id", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     bad = rows.filter(~sound).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return told.unionByName(bad).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
