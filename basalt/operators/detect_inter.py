@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.session import cut
 from ..functions.text import common_prefix_length, dirname, segments
 from .components import components
 from .detect import detector, findings
@@ -81,13 +82,19 @@ def shortest_cycles(edges: DataFrame, members: DataFrame, most: int = 12) -> Dat
     """component, length of the shortest cycle through its least member, by a frontier of one label per member."""
     m = members.select(F.col("id"), "component")
     inner = edges.join(m.select(F.col("id").alias("src"), "component"), "src").join(m.select(F.col("id").alias("dst"), F.col("component").alias("c2")), "dst").filter("component = c2").select("component", "src", "dst")
-    seen = m.filter("id = component").select("component", "id", F.lit(0).alias("d"))
+    inner = cut(inner)
+    front = m.filter("id = component").select("component", "id").distinct()
+    seen, closed = front, None
     for step in range(1, most + 1):
-        new = inner.join(seen.filter(F.col("d") == step - 1).select("component", F.col("id").alias("src")), ["component", "src"]).select("component", F.col("dst").alias("id")).distinct()
-        closed = new.filter("id = component").select("component", "id", F.lit(step).alias("d"))
-        new = new.join(seen.select("component", "id"), ["component", "id"], "left_anti").withColumn("d", F.lit(step))
-        seen = seen.unionByName(new).unionByName(closed)
-    return seen.filter("id = component AND d > 0").groupBy("component").agg(F.min("d").alias("length"))
+        new = cut(inner.join(front.withColumnRenamed("id", "src"), ["component", "src"]).select("component", F.col("dst").alias("id")).distinct())
+        if new.isEmpty():
+            break
+        back = new.filter("id = component").select("component", F.lit(step).alias("length"))
+        closed = back if closed is None else cut(closed.unionByName(back))
+        # A component that is closed needs no further steps.
+        front = cut(new.join(seen, ["component", "id"], "left_anti").join(closed.select("component"), "component", "left_anti"))
+        seen = cut(seen.unionByName(front))
+    return (closed if closed is not None else front.select("component", F.lit(0).alias("length")).limit(0)).groupBy("component").agg(F.min("length").alias("length"))
 
 
 @detector("unstable-dependency", INTER, "arquitectura", ("nodes", "edges"), cap=40, gap=0.3)
