@@ -215,7 +215,7 @@ def scattered_instantiation(facts, t):
     family = kin.select(F.col("src").alias("dst")).unionByName(kin.select("dst")).distinct()
     stored = facts["edges"].filter("kind = 'stores'").select("dst").distinct()
     g = e.join(busy, "src_file", "left_anti").join(family, "dst", "left_anti").join(stored, "dst", "left_semi")
-    if "members" in facts:
+    if "type_id" in getattr(facts.get("members"), "columns", ()):
         g = g.join(facts["members"].filter("kind = 'method'").select(F.col("type_id").alias("dst")).distinct(), "dst", "left_semi")
     g = g.groupBy("dst", "dst_file").agg(F.count_distinct("src_file").alias("n")).filter(F.col("n") >= t["sites"])
     return findings(g, "scattered-instantiation", 30 + F.col("n") * 5, file="dst_file", symbol="dst", files="n")
@@ -243,7 +243,7 @@ def parallel_hierarchies(facts, t):
     return findings(j.join(facts["nodes"].select(F.col("id").alias("a"), "file"), "a"), "parallel-hierarchies", 40.0, symbol="a", variant=F.col("b"), size="size")
 
 
-@detector("concrete-over-abstraction", INTER, "arquitectura", ("nodes", "edges", "members"), cap=150)
+@detector("concrete-over-abstraction", INTER, "arquitectura", ("nodes", "edges", "members", "member_uses"), cap=150)
 def concrete_over_abstraction(facts, t):
     """uses: client file, type, member. Clients whose used members of a class are all in one of its interfaces."""
     used = facts["member_uses"].select("file", "type_id", "member").distinct()
