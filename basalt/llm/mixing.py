@@ -1,15 +1,15 @@
 """Mixing sources to target weights by pivotal dependent rounding.
 
 Every document of a source should be taken ``target / source_size`` times. The whole part of that
-ratio is granted at once; the fractional copy probability is rounded by the pivotal method: two
-fractional documents exchange expected words, in a random direction, until one of them is
-integral. Every exchange keeps the expected words of the pair, so a source misses its target only by
-the rounding of the one document that is left last. Documents meet in decreasing order of size, so
-that the last one is small. Rounding runs per (source, bucket), and the one residual of
-each bucket goes on to the next level of a reduction tree with FANIN buckets to a node, until one node
-for each source is left.
-
-Random numbers are hashes of the two document ids, and buckets depend on ids and counts alone: reruns
+ratio is granted at once; the fractional copy probability is rounded by the pivotal method. In
+decreasing order of size each document meets the smaller ones that are still fractional: it becomes
+integral, in a random direction, and the expected words that it gains or gives go from or to those
+partners in proportion to their sizes. So every exchange keeps the expected words, and a source misses
+its target by no more than its last and smallest documents. Rounding runs per (source, bucket); the smallest
+documents of each bucket stay fractional and go on to the next level of a reduction tree with FANIN
+buckets to a node, until one node for each source is left.
+
+Random numbers are hashes of document ids, and buckets depend on ids and counts alone: reruns
 and other partitionings give the same rows. Null texts have size 0 and are taken 0 times; null
 sources form one source, the last; equal rows are separate documents; an empty table gives no
 rows. Further columns of the input are ignored.
@@ -34,6 +34,8 @@ MOST_COPIES = 2.0
 #: Documents of a source to a bucket, about; buckets to a node of the tree.
 BUCKET_DOCS = 4096
 FANIN = 32
+#: Share of a bucket's documents, its smallest, that stays fractional until the next level; and their least number.
+RESERVE, LEAST_RESERVE = 1 / 16, 8
 _NEAR = 1e-12
 
 
@@ -64,36 +66,35 @@ def _unit(a: int, b: int, seed: int) -> float:
     return (x ^ (x >> 31)) / 2.0**64
 
 
-def pivot(ids: list[int], sizes: list[int], probs: list[float], seed: int, last: bool) -> list[float]:
-    """Pivotal rounding of the probabilities in the given order; all but one become 0 or 1, and that one too if ``last``."""
-    out = list(probs)
-    c = -1
-    for i, p in enumerate(out):
-        if not _NEAR < p < 1 - _NEAR:
-            out[i] = float(round(p))
-            continue
-        if c < 0:
-            c = i
-            continue
-        a, b, pc = sizes[c], sizes[i], out[c]
-        up, down = min(a * (1 - pc), b * p), min(a * pc, b * (1 - p))
-        move = up if _unit(ids[c], ids[i], seed) * (up + down) < down else -down
-        out[c], out[i] = pc + move / a, p - move / b
-        for k in (c, i):
-            if not _NEAR < out[k] < 1 - _NEAR:
-                out[k] = float(round(out[k]))
-        left = [k for k in (c, i) if 0 < out[k] < 1]
-        c = left[0] if left else -1
-    if last and c >= 0:
-        out[c] = 1.0 if out[c] >= 0.5 else 0.0
-    return out
+def pivot(ids: list[int], sizes: list[int], mass: float, reserve: int, seed: int) -> tuple[list[float], float]:
+    """Rounds all but the last ``reserve`` documents of a descending order; (0, 1 or the common probability of the rest, words left over).
+
+    ``mass`` is the expected words of all. Those not yet rounded share one probability, as exchanges are spread by size. Where
+    one outcome cannot be made good by the smaller documents, the other is taken.
+    """
+    out, rest, n = [], sum(sizes), len(sizes) - reserve
+    for i in range(n):
+        a = sizes[i]
+        p = mass / rest if rest else 0.0
+        too_much, too_little = a > mass + _NEAR, mass > rest - a + _NEAR
+        take = a > 0 and (2 * mass >= a if too_much and too_little else too_little or (not too_much and _unit(ids[i], i, seed) < p))
+        out.append(1.0 if take else 0.0)
+        mass -= a * take
+        rest -= a
+    p = min(1.0, max(0.0, mass / rest)) if rest else 0.0
+    return out + [p] * reserve, mass - p * rest
 
 
 def _round(level: int, last: bool):
-    def run(groups: Iterator[pd.DataFrame]) -> pd.DataFrame:
-        g = groups.sort_values(["size", "doc_id"], ascending=[False, True], kind="stable", na_position="last")
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        g = group.sort_values(["size", "doc_id"], ascending=[False, True], kind="stable", na_position="last")
         ids = [0 if x is None or x != x else int(x) & 0x7FFFFFFFFFFFFFFF for x in g["doc_id"].astype(object)]
-        return g.assign(prob=pivot(ids, g["size"].tolist(), g["prob"].tolist(), level + 1, last))
+        reserve = 0 if last else min(len(g), max(LEAST_RESERVE, int(len(g) * RESERVE)))
+        prob, left = pivot(ids, g["size"].tolist(), float((g["prob"] * g["size"]).sum() + g["extra"].sum()), reserve, level + 1)
+        extra = [0.0] * len(g)
+        if reserve:
+            extra[-1] = left
+        return g.assign(prob=prob, extra=extra, settled=[True] * (len(g) - reserve) + [False] * reserve)
 
     return run
 
@@ -107,15 +108,16 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     levels = max(1, math.ceil(math.log(max(1, most_docs / BUCKET_DOCS), FANIN))) if most_docs > BUCKET_DOCS else 0
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     whole = F.floor(ratio + _NEAR)
-    wanted = sizes.join(per.drop("n_docs"), "source_key").withColumns({"whole": whole, "prob": F.when(F.col("size") > 0, F.greatest(F.lit(0.0), ratio - whole)).otherwise(F.lit(0.0))})
-    level0 = F.pmod(F.xxhash64("doc_id"), F.lit(FANIN**levels))
-    live = wanted.withColumn("bucket", level0)
+    # A row of each source for each bucket: the join is then dealt by (source, bucket) as the rounding is, and a large source is spread.
+    buckets = FANIN**levels
+    spread = per.select("source_key", "source_size", "target", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("bucket"))
+    dealt = sizes.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int")).join(spread, ["source_key", "bucket"])
+    live = dealt.withColumns({"whole": whole, "prob": F.when(F.col("size") > 0, F.greatest(F.lit(0.0), ratio - whole)).otherwise(F.lit(0.0)), "extra": F.lit(0.0), "settled": F.lit(False)})
     done = []
     for level in range(levels + 1):
         live = cut(live.groupBy("source_key", "bucket").applyInPandas(_round(level, level == levels), live.schema))
-        settled = (F.col("prob") <= 0) | (F.col("prob") >= 1)
-        done.append(live.filter(settled))
-        live = live.filter(~settled).withColumn("bucket", F.floor(F.col("bucket") / FANIN))
+        done.append(live.filter("settled"))
+        live = live.filter("NOT settled").withColumn("bucket", F.floor(F.col("bucket") / FANIN).cast("int"))
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
