@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import lean
+
 BITS = 1 << 23
 CHUNK = 1 << 16  # bytes of the bit table to a row
 
@@ -40,7 +42,7 @@ def _merge(chunk):
 def build(ids: DataFrame) -> np.ndarray:
     """BITS / 8 bytes, whatever the number of ids (one long column without nulls)."""
     table = np.zeros((BITS // 8 // CHUNK, CHUNK), np.uint8)
-    for r in ids.mapInArrow(_tables, "chunk int, bits binary").groupBy("chunk").applyInPandas(_merge, "chunk int, bits binary").collect():
+    for r in ids.mapInArrow(lean(_tables), "chunk int, bits binary").groupBy("chunk").applyInPandas(_merge, "chunk int, bits binary").collect():
         table[r.chunk] = np.frombuffer(r.bits, np.uint8)
     return table.ravel()
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.components import components
-from .common import cut, shuffle_partitions, table
+from .common import cut, lean, shuffle_partitions, table
 from .jaccard_join import forest
 
 COSINE = 0.9
@@ -179,13 +179,13 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     sound = F.coalesce(F.forall("e", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < 1e150)) & (squares > 0) & F.col("vec_id").isNotNull(), F.lit(False))
     good = rows.filter(sound).select("vec_id", F.transform("e", lambda c: c + F.lit(0).cast(kind)).alias("v"))  # -0 is 0
     classes = cut(good.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight")))
-    filtered = cut(classes.select("rep", "weight", "v").mapInArrow(_filters(max(2, classes.count()), cosine), f"rep long, weight long, v array<{kind}>, filters array<int>"))
+    filtered = cut(classes.select("rep", "weight", "v").mapInArrow(lean(_filters(max(2, classes.count()), cosine)), f"rep long, weight long, v array<{kind}>, filters array<int>"))
     entries = filtered.select("rep", F.size("v").alias("dim"), F.explode("filters").alias("f"))
     sizes = entries.groupBy("dim", "f").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("c")).filter("c > 1")
     placed = entries.join(sizes, ["dim", "f"]).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     tasks = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(F.col("part"), j).alias("i"), F.greatest(F.col("part"), j).alias("j")))
     met = placed.select("rep", "dim", "f", "part", F.explode(tasks).alias("t")).select("rep", "dim", "f", "part", "t.i", "t.j").join(filtered, "rep")
-    links = cut(met.repartition(shuffle_partitions(vectors.sparkSession), *_KEYS).sortWithinPartitions(*_KEYS).mapInPandas(_meet(cosine), "a long, b long, n long"))
+    links = cut(met.repartition(shuffle_partitions(vectors.sparkSession), *_KEYS).sortWithinPartitions(*_KEYS).mapInPandas(lean(_meet(cosine)), "a long, b long, n long"))
     counts = links.filter("n IS NOT NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
     found = components(links.filter("b IS NOT NULL").select("a", "b"))
     # Members of a class: only classes of several rows need the join by vector, salted against very common ones.

@@ -27,12 +27,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textnp
-from .common import SLICE_BYTES, cut, table
+from .common import SLICE_BYTES, cut, lean, table
 
 CAPACITY = 2048
 END_ID = 0
 #: Words whose ids a worker remembers, about 50 bytes each.
-CACHE_WORDS = 2_000_000
+CACHE_WORDS = 1_000_000
 
 Bin = tuple[tuple[tuple[int, int], ...], int]  # ((length, how often), ...), number of such bins
 
@@ -125,7 +125,7 @@ def _pieces(path: str, capacity: int):
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, and part and k: the piece is the k-th of its length in that partition."""
     cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return cols.mapInArrow(_pieces(path, capacity), "doc_id long, piece int, start long, length long, ids_crc32 long, part int, k long")
+    return cols.mapInArrow(lean(_pieces(path, capacity)), "doc_id long, piece int, start long, length long, ids_crc32 long, part int, k long")
 
 
 def knapsack(lengths: np.ndarray, price: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -268,7 +268,7 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     first = tallied.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     numbered = found.join(first, ["length", "part"]).withColumn("slot", F.col("first") + F.col("k"))
-    return numbered.mapInArrow(_place(where), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return numbered.mapInArrow(lean(_place(where)), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textnp
-from .common import SLICE_BYTES, table
+from .common import SLICE_BYTES, lean, table
 
 WINDOW = 8
 SYMBOLS = b"#*$%&|<>"
@@ -89,7 +89,7 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def ledger(docs: DataFrame) -> DataFrame:
     """doc_id, the measurements, and failed_bits: bit i is set when rule i of RULES rejects the text."""
-    measured = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_measured, "doc_id long, " + ", ".join(f"{m} long" for m in MEASURES))
+    measured = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(_measured), "doc_id long, " + ", ".join(f"{m} long" for m in MEASURES))
     bits = [F.when(F.expr(rule), F.lit(BIT[name])).otherwise(F.lit(0)) for name, rule in RULES.items()]
     total = bits[0]
     for b in bits[1:]:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textnp
-from .common import SLICE_BYTES, cut, shuffle_partitions, table
+from .common import SLICE_BYTES, cut, lean, shuffle_partitions, table
 from .packed import gather, pack, pack_sorted, range_cuts, scatter, unpack, unpack_sorted
 
 WIDTH = 20
@@ -119,7 +119,7 @@ def _by_document(group: pd.DataFrame) -> pd.DataFrame:
 def repeated_starts(docs: DataFrame, width: int = WIDTH, ranges: int | None = None) -> DataFrame:
     """doc_id, starts (int32 bytes): starts of windows whose words also start earlier; one row to a document that has any."""
     ranges = ranges or shuffle_partitions(docs.sparkSession)
-    blocks = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_blocks(width, ranges), _BLOCK)
+    blocks = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(_blocks(width, ranges)), _BLOCK)
     found = cut(blocks.groupBy("range").applyInPandas(_later(ranges), "bucket int, ids binary, starts binary"))
     return found.groupBy("bucket").applyInPandas(_by_document, "doc_id long, starts binary")
 
@@ -159,7 +159,7 @@ def dedup(docs: DataFrame, width: int = WIDTH, keep_text: bool = True) -> DataFr
     starts = repeated_starts(docs, width).withColumnRenamed("doc_id", "key")
     cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     joined = cols.join(starts, F.coalesce(F.col("doc_id"), F.lit(NULL_ID)) == F.col("key"), "left").select("doc_id", "text", "starts")
-    return joined.mapInArrow(_removed(width, keep_text), "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string")
+    return joined.mapInArrow(lean(_removed(width, keep_text)), "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bloom, textnp
-from .common import SLICE_BYTES, cut, shuffle_partitions, table
+from .common import SLICE_BYTES, cut, lean, shuffle_partitions, table
 from .packed import gather, pack, pack_sorted, range_cuts, scatter, unpack, unpack_sorted
 from .substring_dedup import NULL_ID
 
@@ -240,11 +240,11 @@ def repeated(docs: DataFrame, length: int = LENGTH, ranges: int | None = None) -
     spark = docs.sparkSession
     ranges = ranges or shuffle_partitions(spark)
     cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = cut(cols.mapInArrow(_seed_blocks(length, ranges), _BLOCK).groupBy("range").applyInPandas(_runs_found(ranges), _FOUND))
+    found = cut(cols.mapInArrow(lean(_seed_blocks(length, ranges)), _BLOCK).groupBy("range").applyInPandas(_runs_found(ranges), _FOUND))
     ask = cut(_documents(found.filter("ask")))
     bits = bloom.build(ask.select("key"))
-    some = cols.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("key"), "text").mapInArrow(_asked(bits), "key long, text string")
-    pairs = some.join(ask, "key").select("key", "text", "spans").mapInArrow(_pair_blocks(length, ranges), _BLOCK)
+    some = cols.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("key"), "text").mapInArrow(lean(_asked(bits)), "key long, text string")
+    pairs = some.join(ask, "key").select("key", "text", "spans").mapInArrow(lean(_pair_blocks(length, ranges)), _BLOCK)
     doubled_ = cut(pairs.groupBy("range").applyInPandas(_positions_found(ranges), _FOUND))
     return _documents(found.filter("NOT ask").unionByName(doubled_))
 
@@ -284,7 +284,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, keep: bool = True) -> DataFrame
     """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes; null unless asked for), kept_sha256."""
     cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     joined = cols.join(repeated(docs, length), F.coalesce(F.col("doc_id"), F.lit(NULL_ID)) == F.col("key"), "left").select("doc_id", "text", "spans")
-    return joined.mapInArrow(_removed(length, keep), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
+    return joined.mapInArrow(lean(_removed(length, keep)), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
 
 
 def _cut_texts(length: int):
@@ -307,7 +307,7 @@ def clean(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """docs with the repeated bytes cut from ``text``; code points that a cut parts are dropped, null texts become empty."""
     docs = docs.withColumn("text", F.col("text").cast("string")).drop("spans", "key")
     joined = docs.join(repeated(docs, length), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)) == F.col("key"), "left")
-    return joined.mapInArrow(_cut_texts(length), docs.schema)
+    return joined.mapInArrow(lean(_cut_texts(length)), docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
