@@ -21,7 +21,7 @@ def test_query_equals_sql(spark, name):
 
 def test_entry_contract(spark):
     q, o = entry.queries(), entry.oracle_sql()
-    assert set(o) <= set(q) and len(q) >= 60
+    assert set(o) <= set(q) and len(q) >= 50
     assert entry.entry(spark).count() >= 0
 
 
