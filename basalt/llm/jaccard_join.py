@@ -29,22 +29,25 @@ from fractions import Fraction
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import textnp
-from .common import SLICE_BYTES, cut, shuffle_partitions, table
-from .components import components
+from . import bloom, textnp
+from ..operators.components import components
+from .common import SLICE_BYTES, cut, lean, shuffle_partitions, table
 from .packed import pack, pack_sorted, range_cuts, unpack, unpack_sorted
 
 U64 = np.uint64
-SKETCH = 1 << 21
-SKETCH_CHUNK = 1 << 15
+SKETCH = 1 << 23
+SKETCH_CHUNK = 1 << 17
 #: Sets under one key that are paired directly.
-FEW = 8
+FEW = 12
 #: Shingles of a block of a crowd, about.
 BLOCK_SHINGLES = 400_000
-BUFFER_ENTRIES = 1_500_000
+BUFFER_ENTRIES = 600_000
+#: Cells of the histogram that bounds an overlap from above.
+CELLS = 64
 
 
 def shingle_sets(docs: list[bytes], k: int) -> list[np.ndarray]:
@@ -73,12 +76,14 @@ def digest(s: np.ndarray) -> tuple[int, int]:
 
 
 class Prefixes:
-    """Signatures of sets for a threshold num / den under a count table."""
+    """Signatures of sets for a threshold num / den under a count table, which is kept in one byte a cell."""
 
     def __init__(self, counts: np.ndarray, threshold: Fraction):
-        self.counts, self.t = counts, threshold
-        mean = counts.mean()
-        self.frequent = mean + 32 + 6 * math.sqrt(mean)
+        self.t = threshold
+        mean = float(counts.mean())
+        frequent = mean + 32 + 6 * math.sqrt(mean)
+        self.counts = np.minimum(counts * (250 / frequent), 250).astype(np.uint8)
+        self.frequent = 250
         self.base = -math.log(threshold) * 1.0001
 
     def level(self, n: int) -> int:
@@ -114,16 +119,15 @@ class Prefixes:
 
 def _first_pass(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, names = np.zeros(SKETCH, np.int64), ["doc_id", "n", "hi", "lo", "chunk", "counts"]
+        counts, names = np.zeros(SKETCH, np.int32), ["doc_id", "n", "hi", "lo", "chunk", "counts"]
         for b in batches:
-            rows = []
-            for key, s in zip(b.column("doc_id").to_pylist(), shingle_sets(textnp.texts(b.column("text")), k)):
-                rows.append((key, len(s), *digest(s)))
-                if len(s):
-                    np.add.at(counts, (s & U64(SKETCH - 1)).astype(np.int64), 1)
-            if rows:
+            docs, keys = textnp.texts(b.column("text")), b.column("doc_id").to_pylist()
+            for part in textnp.slices([len(d) for d in docs], 4 * SLICE_BYTES):
+                sets = shingle_sets(docs[part], k)
+                np.add.at(counts, (np.concatenate(sets) & U64(SKETCH - 1)).astype(np.int64), 1)
+                rows = [(key, len(s), *digest(s)) for key, s in zip(keys[part], sets)]
                 yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in zip(*rows)), pa.nulls(len(rows), pa.int32()), pa.nulls(len(rows), pa.binary())], names=names)
-        parts = [(i // SKETCH_CHUNK, pack(counts[i : i + SKETCH_CHUNK].astype(np.int32))) for i in range(0, SKETCH, SKETCH_CHUNK)] if counts.any() else []
+        parts = [(i // SKETCH_CHUNK, pack(counts[i : i + SKETCH_CHUNK])) for i in range(0, SKETCH, SKETCH_CHUNK)] if counts.any() else []
         if parts:
             yield pa.RecordBatch.from_arrays([*(pa.nulls(len(parts), pa.int64()) for _ in range(4)), pa.array([p[0] for p in parts], pa.int32()), pa.array([p[1] for p in parts], pa.binary())], names=names)
 
@@ -210,11 +214,31 @@ def _meet(threshold: Fraction):
     return run
 
 
-def _packed_sets(k: int):
+def _packed_sets(k: int, wanted: np.ndarray):
+    """Sets of the documents that may be wanted, with histograms of their shingles."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            b = b.filter(pc.is_valid(b.column("doc_id")))
+            b = b.filter(pa.array(bloom.maybe(wanted, b.column("doc_id").to_numpy(zero_copy_only=False)), pa.bool_()))
             if b.num_rows:
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([pack_sorted(s) for s in shingle_sets(textnp.texts(b.column("text")), k)], pa.binary())], names=["doc_id", "shingles"])
+                sets = shingle_sets(textnp.texts(b.column("text")), k)
+                cells = [np.minimum(np.bincount((s >> U64(40)).astype(np.int64) % CELLS, minlength=CELLS), 65535).astype("<u2").tobytes() for s in sets]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(cells, pa.binary()), pa.array([pack_sorted(s) for s in sets], pa.binary())], names=["doc_id", "n", "cells", "shingles"])
+
+    return run
+
+
+def _possible(t: Fraction):
+    """Pairs whose histograms allow the overlap that the threshold needs; cells that are full allow anything."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), "<u2").reshape(-1, CELLS).astype(np.int64) for c in ("cx", "cy"))
+                na, nb = (b.column(c).to_numpy(zero_copy_only=False) for c in ("nx", "ny"))
+                most = np.where((x.max(1) >= 65535) | (y.max(1) >= 65535), np.minimum(na, nb), np.minimum(x, y).sum(1))
+                yield b.select(["a", "b"]).filter(pa.array(similar(most, na, nb, t)))
 
     return run
 
@@ -285,13 +309,13 @@ def join(docs: DataFrame, k: int = 4, threshold: Fraction = Fraction(85, 100)) -
     spark = docs.sparkSession
     t, ranges = threshold, 4 * shuffle_partitions(spark)
     cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    first = cut(cols.mapInArrow(_first_pass(k), "doc_id long, n long, hi long, lo long, chunk int, counts binary"))
+    first = cut(cols.mapInArrow(lean(_first_pass(k)), "doc_id long, n long, hi long, lo long, chunk int, counts binary"))
     sets = first.filter("chunk IS NULL").select("doc_id", "n", "hi", "lo")
-    counts = np.zeros(SKETCH, np.int64)
+    counts = np.zeros(SKETCH, np.float32)
     for r in first.filter("chunk IS NOT NULL").select("chunk", "counts").groupBy("chunk").applyInPandas(_sum_chunk, "chunk int, counts binary").collect():  # SKETCH numbers
         counts[r.chunk * SKETCH_CHUNK : (r.chunk + 1) * SKETCH_CHUNK] = unpack(r.counts, np.int64)
-    prefixes = Prefixes(np.minimum(counts, 2**31 - 1).astype(np.int32), t)
-    met = cut(cols.mapInArrow(_entries(k, prefixes, ranges), _ENTRY).groupBy("range").applyInPandas(_meet(t), "a long, b long, crowd boolean"))
+    prefixes = Prefixes(counts, t)
+    met = cut(cols.mapInArrow(lean(_entries(k, prefixes, ranges)), _ENTRY).groupBy("range").applyInPandas(_meet(t), "a long, b long, crowd boolean"))
     crowd = components(met.filter("crowd").select("a", "b"))
     in_crowd = crowd.select("id", F.col("component").alias("crowd_id"))
     # Pairs within one crowd are compared there.
@@ -303,10 +327,25 @@ def join(docs: DataFrame, k: int = 4, threshold: Fraction = Fraction(85, 100)) -
         .select("a", "b")
     )
     wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).unionByName(in_crowd.select("id")).distinct()
-    # Only the sets of candidates are kept; where ids repeat, all rows of the id.
-    packed = cut(cols.join(wanted, cols["doc_id"] == wanted["id"], "left_semi").mapInArrow(_packed_sets(k), "doc_id long, shingles binary"))
+    # Sets of candidates only, computed where the texts are; the filter passes few others, and the join drops those.
+    bits = bloom.build(wanted)
+    packed = cut(cols.mapInArrow(lean(_packed_sets(k, bits)), "doc_id long, n long, cells binary, shingles binary").join(wanted, F.col("doc_id") == wanted["id"], "left_semi"))
+    x, y = (packed.select(F.col("doc_id").alias(c), F.col("n").alias(f"n{d}"), F.col("cells").alias(f"c{d}")) for c, d in (("a", "x"), ("b", "y")))
+    pairs = cut(pairs.join(x, "a").join(y, "b").select("a", "b", "nx", "ny", "cx", "cy").mapInArrow(lean(_possible(t)), "a long, b long").distinct())
     x, y = packed.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), packed.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
-    linked = pairs.join(x, "a").join(y, "b").mapInArrow(_verify(t), "a long, b long")
+    verified = lambda p: cut(p.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(lean(_verify(t)), "a long, b long"))
+    # Each set against its smallest candidate first; of the other pairs, those that this has not tied together already.
+    star = cut(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    tied = verified(star)
+    group = components(tied)
+    rest = (
+        pairs.join(star, ["a", "b"], "left_anti")
+        .join(group.select(F.col("id").alias("a"), F.col("component").alias("ga")), "a", "left")
+        .join(group.select(F.col("id").alias("b"), F.col("component").alias("gb")), "b", "left")
+        .filter(F.coalesce("ga", "a") != F.coalesce("gb", "b"))
+        .select("a", "b")
+    )
+    linked = tied.unionByName(verified(rest))
     # Crowds: blocks by (crowd, size level, hash); a task has block i of a level with block j >= i of it, or with one of the next level.
     sized = sets.filter("n > 0").groupBy("doc_id").agg(F.max("n").alias("n")).join(in_crowd, F.col("doc_id") == F.col("id")).select("doc_id", "n", "crowd_id").withColumn("level", F.floor(F.log("n") / F.lit(prefixes.base)).cast("int"))
     n_blocks = sized.groupBy("crowd_id", "level").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
@@ -319,7 +358,7 @@ def join(docs: DataFrame, k: int = 4, threshold: Fraction = Fraction(85, 100)) -
         F.transform(upto("na"), lambda j: task(F.col("level"), 1, F.col("i"), j)),
         F.transform(upto("nu"), lambda j: task(F.col("level") - 1, 1, j, F.col("i"))),
     )
-    crowded = placed.select("doc_id", "crowd_id", F.explode(tasks).alias("t")).join(packed, "doc_id").groupBy("crowd_id", "t").applyInPandas(_compare(t), "a long, b long")
+    crowded = cut(placed.select("doc_id", "crowd_id", F.explode(tasks).alias("t")).join(packed.select("doc_id", "shingles"), "doc_id").groupBy("crowd_id", "t").applyInPandas(_compare(t), "a long, b long"))
     edges = components(linked.unionByName(crowded))
     # A class takes the component of its smallest document; classes of one are their own.
     names = sets.filter("n > 0 AND doc_id IS NOT NULL")
