@@ -4,7 +4,7 @@ A token's probability is P(class | context) * P(subclass | class, context) * P(t
 to one of CLASSES x SUBCLASSES leaves, both softmax levels are linear in hashed features of the context (the
 words 1, 2 and 3 places back, the last as skips, and the pair of the last two), and within a leaf the
 smoothed unigram count decides, with one share for unknown tokens. Weights start at the unigram
-masses, and so at about the base score. Training reads every ``STRIDE``-th token of every learnable document:
+masses, and so at about the base score. Training takes a gradient from every token of every learnable document:
 each partition runs sparse gradient steps from the current weights, and changes are averaged row by row
 over the partitions that made any, combined in Spark by chunks of the weight table. Scoring runs in
 sparse numpy batches.
@@ -38,7 +38,7 @@ U64 = np.uint64
 CLASSES = SUBCLASSES = 32
 FEATURES = 4
 ROWS1, ROWS2 = 1 << 14, 1 << 16
-STRIDE, EPOCHS, BATCH, RATE = 8, 1, 4096, 0.3
+EPOCHS, BATCH, RATE = 1, 4096, 0.3
 BUFFER_BYTES = 12 << 20
 END = U64(0x5DEECE66D1234567)
 CHUNK_ROWS = 1 << 12
@@ -169,10 +169,14 @@ class Model:
             g = np.exp(z - z.max(1, keepdims=True))
             g /= g.sum(1, keepdims=True)
             g[i, target] -= 1
-            flat = rows.ravel()
-            order = np.argsort(flat, kind="stable")
-            at = np.flatnonzero(np.concatenate(([True], np.diff(flat[order]) > 0)))
-            row, grad = flat[order][at], np.add.reduceat(g[order % len(leaf)], at)
+            entry = np.sort((rows << 20 | i).ravel())  # by row, then token
+            flat, of = entry >> 20, entry & 0xFFFFF
+            at = np.flatnonzero(np.concatenate(([True], flat[1:] > flat[:-1])))
+            size = np.diff(np.append(at, len(flat)))
+            row, grad = flat[at], g[of[at]]
+            many = size > 1
+            if many.any():  # rows that one token alone touches need no sum
+                grad[many] = np.add.reduceat(g[of[np.repeat(many, size)]], np.cumsum(size[many]) - size[many])
             acc[row] += (grad * grad).mean(1)
             self.w[row] -= RATE * grad / np.sqrt(acc[row] + 1.0)[:, None]
 
@@ -194,7 +198,7 @@ def _updates(model: Model, epoch: int, held: Callable[[int | None], bool]):
             h = vocab[local]
             ctx, leaf = Model.context(h, bounds), leaf_of(vocab)[local]
             learn = np.repeat([not held(k) for k in keys], np.diff(bounds))
-            some = np.flatnonzero(learn & ((np.arange(len(h)) + epoch) % STRIDE == 0))
+            some = np.flatnonzero(learn)
             some = some[np.random.default_rng(epoch + len(h)).permutation(len(some))]
             for s in range(0, len(some), BATCH):
                 own.step(ctx[:, some[s : s + BATCH]], leaf[some[s : s + BATCH]], acc)

@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from basalt.llm import embedding_dedup, lm_scoring, mixing, packing, toxicity
 
@@ -49,6 +50,24 @@ def test_lm_is_normalised_and_learns(spark):
     assert abs(np.exp(m.leaf_scores(np.repeat(ctx, 1024, 1), np.arange(1024))).sum() - 1) < 1e-4
 
 
+def test_lm_learns_from_every_token():
+    docs = [b"alpha beta", b"gamma", b"delta alpha epsilon", b"x y"]
+    h, bounds = lm_scoring.tokens_of(docs)
+    vocab, local = np.unique(h, return_inverse=True)
+    block = {"ids": np.array([[1, 0], [1, 1], [1, 2], [1, 3]], np.int64).tobytes(), "hashes": lm_scoring.pack_sorted(vocab), "tokens": lm_scoring.pack(local.astype(np.int32)), "bounds": lm_scoring.pack(bounds.astype(np.int64))}
+    held = lambda k: k == 3
+    model = lm_scoring.Model(np.stack([np.full(1024, 5), np.full(1024, 2)]))
+    touched = np.zeros(len(model.w), bool)
+    for b in lm_scoring._updates(model, 0, held)(iter([pa.RecordBatch.from_pylist([block])])):
+        for c, rows in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            touched[c : c + lm_scoring.CHUNK_ROWS] = np.unpackbits(np.frombuffer(rows, np.uint8))[: len(touched[c : c + lm_scoring.CHUNK_ROWS])].astype(bool)
+    ctx, leaf = lm_scoring.Model.context(h, bounds), lm_scoring.leaf_of(h)
+    want = np.zeros(len(model.w), bool)
+    learnt = slice(0, bounds[3])
+    want[model.rows1(ctx[:, learnt])] = want[model.rows2(ctx[:, learnt], leaf[learnt] // lm_scoring.SUBCLASSES)] = True
+    assert (touched == want).all()
+
+
 def test_mixing(spark):
     rows = texts(4000, 9)
     got = mixing.mix(frame(spark, rows)).collect()
