@@ -8,15 +8,19 @@ prefixes, a rare shingle or two frequent ones of one group. Rare prefix shingles
 frequent ones as pairs within their group; groups grow with the size level of the set, so a prefix of p
 shingles has about 1.5 p pairs.
 
-Index entries meet in blocks by key range. Few sets under a key become candidate pairs, which are verified
-on their whole sets. Keys of more than ``FEW`` sets only tie those sets to a crowd; crowds are cut
+Index entries meet in blocks by key range. Few sets under a key become candidate pairs. Small groups of
+candidates are compared as one matrix, so that a set travels once and not with every pair; pairs of larger groups are
+verified one by one. Keys of more than ``FEW`` sets only tie those sets to a crowd; crowds are cut
 into blocks by size level and hash, and every two blocks that may hold similar sets are compared as
-matrices, from which a spanning forest of the links comes out. So no group of copies or near copies
-is expanded into pairs of rows, and every link between different sets is found or implied.
+matrices. Out of a matrix come a spanning forest of its links and every set's number of links, and each
+pair of sets is compared in one matrix. So no group of copies or near copies is expanded into pairs of
+rows, and every link between different sets is verified and counted.
+
+``n_links`` of a row counts the other rows that are similar to it, equal ones included.
 
 Null and empty texts have empty sets and link with nothing; shorter texts than a shingle are one shingle.
 Rows with equal doc_ids and equal texts are one class; with different texts the id is in two classes, and both
-rows report the smallest component. Null doc_ids are reported unlinked, each row on its own. An empty table
+rows report the smallest component and the larger count. Null doc_ids are reported unlinked, each row on its own. An empty table
 gives no rows. Other columns are ignored.
 """
 
@@ -45,6 +49,8 @@ SKETCH_CHUNK = 1 << 17
 FEW = 12
 #: Shingles of a block of a crowd, about.
 BLOCK_SHINGLES = 400_000
+#: Sets of a group of candidates that is compared at once, at most.
+GROUP_SETS = 2048
 BUFFER_ENTRIES = 600_000
 #: Cells of the histogram that bounds an overlap from above.
 CELLS = 64
@@ -277,7 +283,7 @@ def forest(links: np.ndarray, ids: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _compare(t: Fraction):
-    """Links within and between two blocks of a crowd, as a spanning forest."""
+    """Links between different sides of a task: a spanning forest (a, b), and the weight that each set links with (a, n)."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         g = group.drop_duplicates("doc_id")
@@ -298,14 +304,23 @@ def _compare(t: Fraction):
             overlap += m @ m.T
         links = similar(overlap.astype(np.int64), n[:, None], n[None, :], t)
         np.fill_diagonal(links, False)
-        pairs = forest(links, g["doc_id"].to_numpy())
-        return pd.DataFrame({"a": pd.Series([x for x, _ in pairs], dtype="int64"), "b": pd.Series([y for _, y in pairs], dtype="int64")})
+        side = g["side"].to_numpy()
+        links &= side[:, None] != side[None, :]
+        ids = g["doc_id"].to_numpy()
+        pairs, n_links = forest(links, ids), links @ g["weight"].to_numpy()
+        rows = [(x, y, None) for x, y in pairs] + [(int(ids[i]), None, int(n_links[i])) for i in np.flatnonzero(n_links)]
+        return pd.DataFrame({"a": pd.Series([x[0] for x in rows], dtype="int64"), "b": pd.Series([x[1] for x in rows], dtype="Int64"), "n": pd.Series([x[2] for x in rows], dtype="Int64")})
 
     return run
 
 
 def join(docs: DataFrame, k: int = 4, threshold: Fraction = Fraction(85, 100)) -> DataFrame:
     """doc_id, n_shingles, component_id."""
+    return links(docs, k, threshold).drop("n_links")
+
+
+def links(docs: DataFrame, k: int = 4, threshold: Fraction = Fraction(85, 100)) -> DataFrame:
+    """doc_id, n_shingles, component_id, n_links."""
     spark = docs.sparkSession
     t, ranges = threshold, 4 * shuffle_partitions(spark)
     cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -334,20 +349,17 @@ def join(docs: DataFrame, k: int = 4, threshold: Fraction = Fraction(85, 100)) -
     pairs = cut(pairs.join(x, "a").join(y, "b").select("a", "b", "nx", "ny", "cx", "cy").mapInArrow(lean(_possible(t)), "a long, b long").distinct())
     x, y = packed.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), packed.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
     verified = lambda p: cut(p.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(lean(_verify(t)), "a long, b long"))
-    # Each set against its smallest candidate first; of the other pairs, those that this has not tied together already.
-    star = cut(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
-    tied = verified(star)
-    group = components(tied)
-    rest = (
-        pairs.join(star, ["a", "b"], "left_anti")
-        .join(group.select(F.col("id").alias("a"), F.col("component").alias("ga")), "a", "left")
-        .join(group.select(F.col("id").alias("b"), F.col("component").alias("gb")), "b", "left")
-        .filter(F.coalesce("ga", "a") != F.coalesce("gb", "b"))
-        .select("a", "b")
-    )
-    linked = tied.unionByName(verified(rest))
+    # Classes of equal sets by their smallest document, with their rows.
+    names = sets.filter("n > 0 AND doc_id IS NOT NULL")
+    classes = cut(names.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).filter("c > 1"))
+    weights = classes.groupBy("rep").agg(F.max("c").alias("weight"))
+    sized = cut(names.groupBy("doc_id").agg(F.max("n").alias("n")).join(wanted, F.col("doc_id") == wanted["id"], "left_semi").join(weights, F.col("doc_id") == F.col("rep"), "left").select("doc_id", "n", F.coalesce("weight", F.lit(1)).cast("long").alias("weight")))
+    group = cut(components(pairs).select("id", F.col("component").alias("group_id")))
+    grouped = sized.join(group, F.col("doc_id") == F.col("id")).select("doc_id", "n", "weight", "group_id")
+    small = cut(grouped.groupBy("group_id").agg(F.sum("n").alias("n"), F.count("*").alias("c")).filter((F.col("n") <= BLOCK_SHINGLES) & (F.col("c") <= GROUP_SETS)).select("group_id"))
+    linked = verified(pairs.join(group.select(F.col("id").alias("a"), "group_id"), "a").join(small, "group_id", "left_anti").select("a", "b"))
     # Crowds: blocks by (crowd, size level, hash); a task has block i of a level with block j >= i of it, or with one of the next level.
-    sized = sets.filter("n > 0").groupBy("doc_id").agg(F.max("n").alias("n")).join(in_crowd, F.col("doc_id") == F.col("id")).select("doc_id", "n", "crowd_id").withColumn("level", F.floor(F.log("n") / F.lit(prefixes.base)).cast("int"))
+    sized = sized.join(in_crowd, F.col("doc_id") == F.col("id")).select("doc_id", "n", "weight", "crowd_id").withColumn("level", F.floor(F.log("n") / F.lit(prefixes.base)).cast("int"))
     n_blocks = sized.groupBy("crowd_id", "level").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
     here, above, below = (n_blocks.select("crowd_id", (F.col("level") + d).alias("level"), F.col("blocks").alias(c)) for d, c in ((0, "nb"), (-1, "na"), (1, "nu")))
     placed = sized.join(here, ["crowd_id", "level"]).join(above, ["crowd_id", "level"], "left").join(below, ["crowd_id", "level"], "left").withColumn("i", F.pmod(F.xxhash64("doc_id"), F.col("nb")).cast("int"))
@@ -358,17 +370,23 @@ def join(docs: DataFrame, k: int = 4, threshold: Fraction = Fraction(85, 100)) -
         F.transform(upto("na"), lambda j: task(F.col("level"), 1, F.col("i"), j)),
         F.transform(upto("nu"), lambda j: task(F.col("level") - 1, 1, j, F.col("i"))),
     )
-    crowded = cut(placed.select("doc_id", "crowd_id", F.explode(tasks).alias("t")).join(packed.select("doc_id", "shingles"), "doc_id").groupBy("crowd_id", "t").applyInPandas(_compare(t), "a long, b long"))
-    edges = components(linked.unionByName(crowded))
-    # A class takes the component of its smallest document; classes of one are their own.
-    names = sets.filter("n > 0 AND doc_id IS NOT NULL")
-    classes = names.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).filter("c > 1")
+    # A side is not compared with itself: blocks of two have other tasks for that, and pairs within a crowd the crowd's.
+    side = F.when(F.col("t.kind") == 1, F.col("level")).when(F.col("t.i") == F.col("t.j"), F.col("doc_id")).otherwise(F.col("i")).cast("long")
+    crowded = placed.select("doc_id", "weight", "crowd_id", "level", "i", F.explode(tasks).alias("t")).select("doc_id", "weight", "crowd_id", "t", side.alias("side"))
+    whole = grouped.join(small, "group_id", "left_semi").join(in_crowd, F.col("doc_id") == F.col("id"), "left").select("doc_id", "weight", F.col("group_id").alias("crowd_id"), task(F.lit(0), 2, F.lit(0), F.lit(0)).alias("t"), F.coalesce("crowd_id", "doc_id").alias("side"))
+    compared = cut(crowded.unionByName(whole).join(packed.select("doc_id", "shingles"), "doc_id").groupBy("crowd_id", "t").applyInPandas(_compare(t), "a long, b long, n long"))
+    edges = components(linked.unionByName(compared.filter("b IS NOT NULL").select("a", "b")))
+    ends = linked.unionByName(linked.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    single = ends.join(weights.select(F.col("rep").alias("b"), "weight"), "b", "left").select("a", F.coalesce("weight", F.lit(1)).alias("n"))
+    counted = single.unionByName(compared.filter("n IS NOT NULL").select("a", "n")).groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n_links"))
+    edges = cut(edges.join(counted, "id", "left"))
+    # A class takes the component and the links of its smallest document; classes of one are their own.
     salts = 16
-    members = names.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")).join(classes.select("hi", "lo", "rep", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")), ["hi", "lo", "salt"]).select("doc_id", "rep")
-    spread = members.join(edges.select(F.col("id").alias("rep"), "component"), "rep", "left").select(F.col("doc_id").alias("id"), F.coalesce("component", "rep").alias("component"))
-    of = spread.unionByName(edges).groupBy("id").agg(F.min("component").alias("component"))
-    return sets.join(of, sets["doc_id"] == of["id"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    members = names.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")).join(classes.select("hi", "lo", "rep", "c", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")), ["hi", "lo", "salt"]).select("doc_id", "rep", "c")
+    spread = members.join(edges.withColumnRenamed("id", "rep"), "rep", "left").select(F.col("doc_id").alias("id"), F.coalesce("component", "rep").alias("component"), (F.coalesce("n_links", F.lit(0)) + F.col("c") - 1).alias("n_links"))
+    of = spread.unionByName(edges).groupBy("id").agg(F.min("component").alias("component"), F.max("n_links").alias("n_links"))
+    return sets.join(of, sets["doc_id"] == of["id"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join(table(spark, sf_dir, "documents"))
+    return links(table(spark, sf_dir, "documents"))

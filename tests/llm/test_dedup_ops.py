@@ -46,6 +46,31 @@ def test_jaccard_small_crowds_and_blocks(docs, monkeypatch):
     assert got == brute.jaccard(corpus())
 
 
+def brute_links(rows, k=4, t=Fraction(85, 100)):
+    sets = {}
+    for i, text in rows:
+        w = brute.words((text or "").translate(brute.LOW))
+        sets[i] = frozenset(tuple(w[j : j + k]) for j in range(max(1, len(w) - k + 1))) if w else frozenset()
+    return {i: sum(1 for j, y in sets.items() if i != j and x and y and len(x & y) >= t * len(x | y)) for i, x in sets.items()}
+
+
+@pytest.mark.parametrize("few,block", [(12, 400_000), (2, 600), (50, 600), (4, 400_000)])
+def test_jaccard_counts_every_link(docs, monkeypatch, few, block):
+    monkeypatch.setattr(jaccard_join, "FEW", few)
+    monkeypatch.setattr(jaccard_join, "BLOCK_SHINGLES", block)
+    assert {r.doc_id: r.n_links for r in jaccard_join.links(docs).collect()} == brute_links(corpus())
+
+
+def test_jaccard_tells_a_chain_from_a_triangle(spark):
+    w = [f"w{i}" for i in range(100)]
+    chain = [w, [f"x{i}" for i in range(10)] + w, w + [f"y{i}" for i in range(12)]]
+    near = [w, ["x", *w], [*w, "y"]]
+    for texts, want in ((chain, {0: 2, 1: 1, 2: 1}), (near, {0: 2, 1: 2, 2: 2})):
+        rows = [(i, " ".join(t), 1, "x", "y") for i, t in enumerate(texts)]
+        got = jaccard_join.links(spark.createDataFrame(rows, SCHEMA)).collect()
+        assert {r.doc_id: r.n_links for r in got} == want and {r.component_id for r in got} == {0}
+
+
 def test_substring(docs):
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in substring_dedup.dedup(docs).collect()}
     assert got == brute.windows(corpus())
