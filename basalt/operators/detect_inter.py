@@ -69,32 +69,32 @@ def shotgun_surgery(facts, t):
 
 @detector("dependency-cycle", INTER, "arquitectura", ("nodes", "edges"), cap=30, size=2)
 def dependency_cycle(facts, t):
-    """Strongly connected files over trusted edges that lie in several folders; reported by the shortest cycle through the component's least file."""
+    """Strongly connected files over trusted edges that lie in several folders; reported by the component's shortest cycle."""
     e = file_edges(facts, ("imports", "extends", "references", "calls"))
     members = scc(e)
     folders = members.withColumn("folder", dirname(F.col("id")))
     g = folders.groupBy("component").agg(F.max("size").alias("size"), F.count_distinct("folder").alias("folders")).filter((F.col("size") >= t["size"]) & (F.col("folders") > 1))
-    short = shortest_cycles(e, members)
-    return findings(g.join(short, "component"), "dependency-cycle", F.greatest(F.lit(15), 40 + F.col("length") * 7), file="component", size="size", length="length")
+    # Every strongly connected component has a cycle; were one missed, it would stand with its whole size.
+    short = g.join(shortest_cycles(e, members), "component", "left").withColumn("length", F.coalesce("length", F.col("size").cast("int")))
+    return findings(short, "dependency-cycle", F.greatest(F.lit(15), 40 + F.col("length") * 7), file="component", size="size", length="length")
 
 
-def shortest_cycles(edges: DataFrame, members: DataFrame, most: int = 12) -> DataFrame:
-    """component, length of the shortest cycle through its least member, by a frontier of one label per member."""
+def shortest_cycles(edges: DataFrame, members: DataFrame) -> DataFrame:
+    """component, length of its shortest cycle, by a frontier from every member at once; a component ends at its first closed cycle."""
     m = members.select(F.col("id"), "component")
-    inner = edges.join(m.select(F.col("id").alias("src"), "component"), "src").join(m.select(F.col("id").alias("dst"), F.col("component").alias("c2")), "dst").filter("component = c2").select("component", "src", "dst")
+    inner = edges.join(m.select(F.col("id").alias("src"), "component"), "src").join(m.select(F.col("id").alias("dst"), F.col("component").alias("c2")), "dst").filter("component = c2 AND src <> dst").select("component", "src", "dst").distinct()
     inner = cut(inner)
-    front = m.filter("id = component").select("component", "id").distinct()
-    seen, closed = front, None
-    for step in range(1, most + 1):
-        new = cut(inner.join(front.withColumnRenamed("id", "src"), ["component", "src"]).select("component", F.col("dst").alias("id")).distinct())
-        if new.isEmpty():
-            break
-        back = new.filter("id = component").select("component", F.lit(step).alias("length"))
-        closed = back if closed is None else cut(closed.unionByName(back))
-        # A component that is closed needs no further steps.
-        front = cut(new.join(seen, ["component", "id"], "left_anti").join(closed.select("component"), "component", "left_anti"))
-        seen = cut(seen.unionByName(front))
-    return (closed if closed is not None else front.select("component", F.lit(0).alias("length")).limit(0)).groupBy("component").agg(F.min("length").alias("length"))
+    front = cut(m.select("component", F.col("id").alias("start"), "id").distinct())
+    seen, closed, step = front, front.select("component", F.lit(0).alias("length")).limit(0), 0
+    while not front.isEmpty():
+        step += 1
+        new = cut(inner.join(front.withColumnRenamed("id", "src"), ["component", "src"]).select("component", "start", F.col("dst").alias("id")).distinct())
+        back = new.filter("id = start").select("component", F.lit(step).alias("length")).distinct()
+        closed = cut(closed.unionByName(back))
+        # All starts move in step, so the first cycle that closes in a component is its shortest.
+        front = cut(new.join(seen, ["component", "start", "id"], "left_anti").join(closed.select("component"), "component", "left_anti"))
+        seen = cut(seen.join(closed.select("component"), "component", "left_anti").unionByName(front))
+    return closed
 
 
 @detector("unstable-dependency", INTER, "arquitectura", ("nodes", "edges"), cap=40, gap=0.3)

@@ -92,6 +92,15 @@ def test_graph_detectors(spark):
     assert ids(spark, deep, "import-depth-demeter") == [("r/a", 30 + 20 - 20)]
 
 
+def test_dependency_cycle_of_any_length_and_start(spark):
+    ring = [(f"r{i:02}", f"d{i}/r", "function") for i in range(14)]
+    f = graph(spark, ring, [(f"r{i:02}", f"r{(i + 1) % 14:02}", "imports") for i in range(14)])
+    assert ids(spark, f, "dependency-cycle") == [("d0/r", min(100, 40 + 14 * 7))]
+    # The least file lies on a cycle of four; two others depend on each other.
+    f = graph(spark, [(k, f"{k}/f", "function") for k in "abcd"], [("a", "b", "imports"), ("b", "c", "imports"), ("c", "d", "imports"), ("d", "a", "imports"), ("c", "b", "calls")])
+    assert ids(spark, f, "dependency-cycle") == [("a/f", 54)]
+
+
 def test_gates_and_runtime_registration(spark):
     found, coverage = detect.run_detectors(spark, {"functions": spark.createDataFrame([fn("a", cognitive=20)], FN)}, only=("complexity", "duplication", "import-depth-demeter"))
     assert {r.detector_id: r.status for r in coverage.collect()} == {"complexity": "corrio", "duplication": "no-aplicable", "import-depth-demeter": "no-aplicable"}
