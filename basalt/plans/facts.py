@@ -68,6 +68,13 @@ def thin(f: dict[str, DataFrame]) -> DataFrame:
     return project(f["nodes"], f["edges"].filter("weight >= 49"), "file")
 
 
+def all_files(f: dict[str, DataFrame]) -> DataFrame:
+    """The whole file graph."""
+    from ..operators.graph import project
+
+    return project(f["nodes"], f["edges"], "file")
+
+
 def functions(spark: SparkSession, d: str) -> DataFrame:
     """Lines of orders as functions: numbers become their metrics."""
     li = table(spark, d, "lineitem")

@@ -115,17 +115,33 @@ def clustering_coefficient(spark, d):
     return metrics.clustering(fx.thin(fx.facts(spark, d))).select("id", "degree", "triangles", F.round("clustering", 9).alias("clustering"))
 
 
+@q("clustering_coefficient_all")
+def clustering_coefficient_all(spark, d):
+    """Without the filter on weights; beyond SQL at size, tested against brute force. So are the other queries named ``_all``."""
+    return metrics.clustering(fx.all_files(fx.facts(spark, d))).select("id", "degree", "triangles", F.round("clustering", 9).alias("clustering"))
+
+
 @q("connected_components", g(", r(a, b) AS (SELECT a, a FROM und UNION SELECT r.a, und.b FROM r JOIN und ON und.a = r.b) SELECT a AS id, min(b) AS component FROM r GROUP BY a"))
 def connected_components(spark, d):
     return metrics.connected_components(fx.thin(fx.facts(spark, d)))
 
 
+@q("connected_components_all")
+def connected_components_all(spark, d):
+    return metrics.connected_components(fx.all_files(fx.facts(spark, d)))
+
+
 @q("scc_cycles", g(""", r(a, b) AS (SELECT src, dst FROM thin UNION SELECT r.a, t.dst FROM r JOIN thin t ON t.src = r.b),
 c AS (SELECT x.a AS id, least(x.a, min(x.b)) AS component, count(*) AS size FROM r x JOIN r y ON y.a = x.b AND y.b = x.a GROUP BY x.a) SELECT id, component, size FROM c WHERE size >= 2"""))
 def scc_cycles(spark, d):
     return metrics.scc(fx.thin(fx.facts(spark, d)))
 
 
+@q("scc_cycles_all")
+def scc_cycles_all(spark, d):
+    return metrics.scc(fx.all_files(fx.facts(spark, d)))
+
+
 def trade(spark, d):
     """Nation to nation: who buys from whom."""
     li = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey", F.col("l_quantity").cast("long").alias("w"))
@@ -421,12 +437,21 @@ def incremental_dirty(spark, d):
     return li.filter("l_orderkey % 10 <> 0").join(dirty, "l_partkey", "left_semi").select("l_orderkey", "l_linenumber")
 
 
+def _types(spark, d, which: str) -> DataFrame:
+    """Suppliers as types, with the brands of their lines as methods."""
+    li = table(spark, d, "lineitem").filter(which)
+    return li.join(table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey").select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("type"), F.col("p_brand").alias("name"), F.lit(0).alias("arity"))
+
+
 @q("satisfies_division", """WITH m AS (SELECT DISTINCT l_suppkey AS t, p_brand AS sig FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_discount > 0.09 AND l_quantity > 45), n AS (SELECT t, count(*) AS n FROM m GROUP BY t)
 SELECT 's' || a.t AS src, 's' || b.t AS dst, CASE WHEN a.n = b.n THEN 'ambiguous' ELSE 'inferred' END AS provenance FROM n a JOIN n b ON a.t <> b.t WHERE b.n >= 2 AND NOT EXISTS (SELECT 1 FROM m x WHERE x.t = b.t AND NOT EXISTS (SELECT 1 FROM m y WHERE y.t = a.t AND y.sig = x.sig))""")
 def satisfies_division(spark, d):
-    li = table(spark, d, "lineitem").filter("l_discount > 0.09 AND l_quantity > 45")
-    m = li.join(table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey").select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("type"), F.col("p_brand").alias("name"), F.lit(0).alias("arity"))
-    return resolve.satisfies(m)
+    return resolve.satisfies(_types(spark, d, "l_discount > 0.09 AND l_quantity > 45"))
+
+
+@q("satisfies_division_all")
+def satisfies_division_all(spark, d):
+    return resolve.satisfies(_types(spark, d, "true"))
 
 
 _CASCADE = """s AS (SELECT id, dir, folder, name FROM nodes UNION ALL SELECT id, dir, folder, module FROM nodes),
@@ -465,12 +490,23 @@ def impact_bfs(spark, d):
     return navigate.upward(e, spark.createDataFrame([("part:1",)], "id string"), 3)
 
 
+@q("impact_bfs_all")
+def impact_bfs_all(spark, d):
+    return navigate.upward(fx.facts(spark, d)["edges"], spark.createDataFrame([("part:1",)], "id string"), 3)
+
+
 @q("path_shortest", g(""", s AS (SELECT DISTINCT src AS a, dst AS b FROM merged WHERE weight >= 40 UNION SELECT dst, src FROM merged WHERE weight >= 40), r(id, c) AS (SELECT 'part:1', 0 UNION SELECT b, c + 1 FROM r JOIN s ON s.a = r.id WHERE c < 6) SELECT min(c) AS cost FROM r WHERE id = 'part:100' HAVING min(c) IS NOT NULL"""))
 def path_shortest(spark, d):
     e = fx.facts(spark, d)["edges"].filter("weight >= 40")
     return navigate.shortest_path(e, "part:1", "part:100", most=6).select("cost")
 
 
+@q("path_shortest_all")
+def path_shortest_all(spark, d):
+    """Over all edges, at the production number of hops."""
+    return navigate.shortest_path(fx.facts(spark, d)["edges"], "part:1", "part:100").select("cost")
+
+
 @q("risky_files", g(""", f AS (SELECT file, sum(p_size)::DOUBLE AS severity, count(*) AS problems FROM nodes GROUP BY file), u AS (SELECT dst AS file, count(DISTINCT src) AS users FROM fe GROUP BY dst)
 SELECT file, severity, problems, coalesce(users, 0)::BIGINT AS users, severity * (1 + coalesce(users, 0)) AS risk FROM f LEFT JOIN u USING (file)"""))
 def risky_files(spark, d):

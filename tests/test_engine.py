@@ -4,7 +4,7 @@ import pytest
 
 import __spark_entry__ as entry
 from basalt.operators import diff, extract, navigate, quality, ranking, resolve
-from basalt.plans import analyze, queries
+from basalt.plans import analyze, facts, queries
 from basalt.sources import cache, scan, sheets
 from basalt.streaming import incremental
 
@@ -19,6 +19,44 @@ def test_query_equals_sql(spark, name):
     assert compare(spark, SF, queries.QUERIES[name], queries.ORACLES[name]) == ""
 
 
+def test_whole_graph_queries(spark):
+    run = lambda name: entry.queries()[name](spark, SF).collect()
+    f = facts.facts(spark, SF)
+    file = {r.id: r.file for r in f["nodes"].collect()}
+    merged = f["edges"].collect()
+    assert any(e.weight < 40 for e in merged)
+    out, und = {}, {}
+    for e in merged:
+        a, b = file[e.src], file[e.dst]
+        if e.provenance != "ambiguous" and a != b:
+            out.setdefault(a, set()).add(b), und.setdefault(a, set()).add(b), und.setdefault(b, set()).add(a)
+
+    def reach(graph, start):
+        depth, front = {start: 0}, [start]
+        while front:
+            new = {y for x in front for y in graph.get(x, ())} - depth.keys()
+            depth.update(dict.fromkeys(new, depth[front[0]] + 1))
+            front = list(new)
+        return depth
+
+    tri = {v: sum(len(und[x] & n) for x in n) // 2 for v, n in und.items()}
+    assert {r.id: (r.degree, r.triangles) for r in run("clustering_coefficient_all")} == {v: (len(n), tri[v]) for v, n in und.items()}
+    assert {r.id: r.component for r in run("connected_components_all")} == {v: min(reach(und, v)) for v in und}
+    to = {v: set(reach(out, v)) for v in und}
+    comp = {v: {x for x in to[v] if v in to[x]} for v in und}
+    assert {r.id: (r.component, r["size"]) for r in run("scc_cycles_all")} == {v: (min(c), len(c)) for v, c in comp.items() if len(c) > 1}
+    up, both = {}, {}
+    for e in merged:
+        up.setdefault(e.dst, set()).add(e.src), both.setdefault(e.src, set()).add(e.dst), both.setdefault(e.dst, set()).add(e.src)
+    assert {r.id: r.depth for r in run("impact_bfs_all")} == {v: d for v, d in reach(up, "part:1").items() if d <= 3}
+    assert [r.cost for r in run("path_shortest_all")] == [reach(both, "part:1")["part:100"]]
+    brand = {r.p_partkey: r.p_brand for r in spark.read.parquet(f"{SF}/part.parquet").collect()}
+    m = {}
+    for r in spark.read.parquet(f"{SF}/lineitem.parquet").collect():
+        m.setdefault(f"s{r.l_suppkey}", set()).add(brand[r.l_partkey])
+    assert {tuple(r) for r in run("satisfies_division_all")} == {(a, b, "ambiguous" if len(m[a]) == len(m[b]) else "inferred") for a in m for b in m if a != b and len(m[b]) >= 2 and m[b] <= m[a]}
+
+
 def test_entry_contract(spark):
     q, o = entry.queries(), entry.oracle_sql()
     assert set(o) <= set(q) and len(q) >= 50
