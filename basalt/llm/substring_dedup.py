@@ -4,7 +4,8 @@ Each map task hashes all windows of its documents and sorts them by hash. A wind
 the task's buffer is settled there; of every hash the first occurrence goes on to the reducer of its hash
 range, as packed blocks. The reducer counts each hash over all blocks and returns every occurrence but the
 first (smallest doc_id, then position). Window starts come together by document, and their union
-is merged into maximal removal intervals. Occurrences are told equal by 72 hash bits.
+is merged into maximal removal intervals. Occurrences are told equal by 72 hash bits: 64 of one hash of the
+window, and 8 of a second hash over words that are hashed anew.
 
 Group sizes do not matter: a window costs one packed entry in each buffer that has it, whatever its number
 of copies, and hash ranges split a large group of copies evenly.
@@ -37,30 +38,34 @@ _BLOCK = "range int, bucket int, hashes binary, checks binary, ids binary, start
 _SCHEMA = pa.schema([("range", pa.int32()), ("bucket", pa.int32())] + [(c, pa.binary()) for c in ("hashes", "checks", "ids", "starts")])
 
 
-def _windows(keys: np.ndarray, docs: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    hashes, ids, starts = [], [], []
+def _windows(keys: np.ndarray, docs: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, check byte, document and start of every window."""
+    hashes, checks, ids, starts = [], [], [], []
     for s in textnp.slices([len(d) for d in docs], SLICE_BYTES):
         w = textnp.Words(docs[s])
         at = textnp.inside(w.bounds, width)
         doc = np.searchsorted(w.bounds, at, "right") - 1
-        hashes.append(textnp.windows(w.hashes(), width)[at] if len(at) else np.empty(0, np.uint64))
+        words = w.hashes()
+        hashes.append(textnp.windows(words, width)[at] if len(at) else np.empty(0, np.uint64))
+        second = textnp.windows(textnp.mix(words ^ np.uint64(0x2545F4914F6CDD1D)), width)[at] if len(at) else np.empty(0, np.uint64)
+        checks.append((second & np.uint64(255)).astype(np.uint8))
         ids.append(keys[s][doc])
         starts.append((at - w.bounds[doc]).astype(np.int32))
-    return np.concatenate(hashes), np.concatenate(ids), np.concatenate(starts)
+    return np.concatenate(hashes), np.concatenate(checks), np.concatenate(ids), np.concatenate(starts)
 
 
 def _blocks(width: int, ranges: int):
     def flush(held: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
         held.sort(key=lambda x: x[0])  # stable sorts by hash then keep (doc_id, start) order
-        h, ids, starts = _windows(np.array([k for k, _ in held], np.int64), [d for _, d in held], width)
+        h, checks, ids, starts = _windows(np.array([k for k, _ in held], np.int64), [d for _, d in held], width)
         order = np.argsort(h, kind="stable")
-        h, ids, starts = h[order], ids[order], starts[order]
-        first = np.concatenate(([True], h[1:] != h[:-1])) if len(h) else np.empty(0, bool)
+        h, checks, ids, starts = h[order], checks[order], ids[order], starts[order]
+        # Where windows of one hash differ, what follows a change goes on, and the reducer settles it.
+        first = np.concatenate(([True], (h[1:] != h[:-1]) | (checks[1:] != checks[:-1]))) if len(h) else np.empty(0, bool)
         origin = np.flatnonzero(first)[np.cumsum(first) - 1] if len(h) else first
         later = ~first & ((ids != ids[origin]) | (starts != starts[origin]))
         rows = [(b, b, None, None, *packed) for b, *packed in scatter(ids[later], [starts[later]], ranges)]
-        h, ids, starts = h[first], ids[first], starts[first]
-        checks = (textnp.mix(h * np.uint64(0x2545F4914F6CDD1D) + np.uint64(99)) & np.uint64(255)).astype(np.uint8)
+        h, checks, ids, starts = h[first], checks[first], ids[first], starts[first]
         cuts = range_cuts(h, ranges)
         for r in np.flatnonzero(np.diff(cuts)).tolist():
             s = slice(cuts[r], cuts[r + 1])

@@ -1,9 +1,11 @@
 import random
 from fractions import Fraction
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
-from basalt.llm import jaccard_join, substring_dedup, suffix_dedup
+from basalt.llm import jaccard_join, substring_dedup, suffix_dedup, textnp
 
 from . import brute
 
@@ -76,6 +78,16 @@ def test_substring(docs):
     assert got == brute.windows(corpus())
 
 
+def test_substring_check_is_independent_of_the_hash(monkeypatch):
+    real = textnp.windows
+    monkeypatch.setattr(textnp, "windows", lambda h, k: real(h, k) & np.uint64(255))  # of the window hash 8 bits are left
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1], "text": [" ".join(f"w{i}" for i in range(60))]})
+    rows = [r for b in substring_dedup._blocks(3, 1)(iter([batch])) for r in b.to_pylist()]
+    assert all(r["bucket"] is None for r in rows)  # no window repeats within the buffer
+    entries = [(h, c) for r in rows for h, c in zip(substring_dedup.unpack_sorted(r["hashes"]).tolist(), r["checks"])]
+    assert len(entries) == len(set(entries)) == 58 and len({h for h, _ in entries}) < 58
+
+
 def test_suffix(docs):
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.dedup(docs).collect()}
     assert got == brute.suffixes(corpus())
