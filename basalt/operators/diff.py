@@ -68,11 +68,15 @@ def census_diff(base: DataFrame, head: DataFrame, waivers: DataFrame | None = No
     j = j.withColumn("change", change)
     if waivers is None:
         return j.withColumn("waived", F.lit(False))
+    w = waivers.select(F.col("key").alias("pattern"), "expected", F.coalesce("min", F.lit(0)).alias("least"))
+    covers = (F.col("change") == F.col("expected")) & (F.col("head_n") >= F.col("least"))
     part = F.split(F.col("pattern"), r"\*", 2)
-    w = waivers.select(F.col("key").alias("pattern"), "expected", F.coalesce("min", F.lit(0)).alias("least")).withColumns({"head_part": F.get(part, F.lit(0)), "tail_part": F.coalesce(F.get(part, F.lit(1)), F.lit(""))})
-    fits = F.when(F.col("pattern").contains("*"), F.col("key").startswith(F.col("head_part")) & F.col("key").endswith(F.col("tail_part"))).otherwise(F.col("key") == F.col("pattern"))
-    # Only losses meet the waivers, a list that people write.
-    ok = j.filter(F.col("change").isin("baja", "desaparece")).join(F.broadcast(w.limit(10_000)), fits & (F.col("change") == F.col("expected")) & (F.col("head_n") >= F.col("least"))).select("key").distinct().withColumn("waived", F.lit(True))
+    starred = w.filter(F.col("pattern").contains("*")).withColumns({"head_part": F.get(part, F.lit(0)), "tail_part": F.coalesce(F.get(part, F.lit(1)), F.lit(""))})
+    # Only losses meet the waivers: whole keys by equality, patterns one by one.
+    lost = j.filter(F.col("change").isin("baja", "desaparece"))
+    exact = lost.join(w.filter(~F.col("pattern").contains("*")), (F.col("key") == F.col("pattern")) & covers).select("key")
+    fits = lost.join(starred, F.col("key").startswith(F.col("head_part")) & F.col("key").endswith(F.col("tail_part")) & covers).select("key")
+    ok = exact.unionByName(fits).distinct().withColumn("waived", F.lit(True))
     return j.join(ok, "key", "left").withColumn("waived", F.coalesce("waived", F.lit(False)))
 
 

@@ -19,6 +19,16 @@ def test_query_equals_sql(spark, name):
     assert compare(spark, SF, queries.QUERIES[name], queries.ORACLES[name]) == ""
 
 
+def test_census_waivers_of_any_number(spark):
+    n = 10_050
+    base = spark.range(n).selectExpr("concat('k', id) AS key", "1L AS n").unionByName(spark.createDataFrame([("s/a/x", 2), ("s/b/y", 2)], "key string, n long"))
+    head = spark.createDataFrame([("s/a/x", 1), ("s/b/y", 1)], "key string, n long")
+    w = spark.range(n).selectExpr("concat('k', id) AS key", "'desaparece' AS expected", "0L AS min").unionByName(spark.createDataFrame([("s/*/x", "baja", 1), ("s/b/*", "baja", 2)], "key string, expected string, min long"))
+    got = diff.census_diff(base, head, w)
+    assert got.count() == n + 2
+    assert [r.key for r in got.filter("NOT waived").collect()] == ["s/b/y"]
+
+
 def test_whole_graph_queries(spark):
     run = lambda name: entry.queries()[name](spark, SF).collect()
     f = facts.facts(spark, SF)
