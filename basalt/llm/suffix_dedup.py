@@ -1,4 +1,4 @@
-"""Suffix-array dedup: prefix doubling over ranked byte positions, until unique or past the threshold.
+"""Suffix-array dedup by minimizer seeds and direct fingerprints, in place of the rounds of prefix doubling.
 
 Wanted are all positions whose ``length``-byte prefix (200) also starts at another position. Ranks are
 64-bit names of prefixes, so that equal prefixes have equal ranks in every partition and only the sort
@@ -10,7 +10,7 @@ that finds equal ranks is distributed. Three rounds, each only over what the one
    seed are unique.
 2. Runs. Runs with equal seeds are told apart by the name of all the bytes of the run: runs with equal names
    are repeated as a whole. This settles the inside of copies, however many there are.
-3. Doubling. Where a seed has different runs, one run of each name lists its positions with the
+3. Pairing, once. Where a seed has different runs, one run of each name lists its positions with the
    pairs (rank of 100 bytes here, rank of 100 bytes at offset 100); equal pairs are equal 200-byte
    prefixes, which is past the threshold.
 
