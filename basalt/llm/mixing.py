@@ -2,12 +2,17 @@
 
 Every document of a source should be taken ``target / source_size`` times. The whole part of that
 ratio is granted at once; the fractional copy probability is rounded by the pivotal method. In
-decreasing order of size each document meets the smaller ones that are still fractional: it becomes
-integral, in a random direction, and the expected words that it gains or gives go from or to those
-partners in proportion to their sizes. So every exchange keeps the expected words, and a source misses
-its target by no more than its last and smallest documents. Rounding runs per (source, bucket); the smallest
-documents of each bucket stay fractional and go on to the next level of a reduction tree with FANIN
-buckets to a node, until one node for each source is left.
+decreasing order of size each document meets the next smaller ones that are still fractional, in pairs: it
+becomes integral, in a random direction with its own probability, and the words that it gains or gives move
+between the two of each pair (``rounded``). So every pair keeps its expected words, every document has a
+probability of its own, and a source misses its target by about its last and smallest documents.
+Rounding runs per (source, bucket); the smallest documents of each bucket stay fractional and go on, with the words
+that found no partner, to the next level of a reduction tree with FANIN buckets to a node, until one
+node for each source is left.
+
+No inclusion is forced: a document too large for its partners is still taken with its own probability, and
+what they cannot make good is residual. Only the last documents of a node, where shares equal in both
+directions no longer suffice, may be drawn on unequally, which moves their probabilities a little.
 
 Random numbers are hashes of document ids, and buckets depend on ids and counts alone: reruns
 and other partitionings give the same rows. Null texts have size 0 and are taken 0 times; null
@@ -66,31 +71,92 @@ def _unit(a: int, b: int, seed: int) -> float:
     return (x ^ (x >> 31)) / 2.0**64
 
 
-def pivot(ids: list[int], sizes: list[int], mass: float, reserve: int, seed: int) -> tuple[list[float], float]:
-    """Rounds all but the last ``reserve`` documents of a descending order; (0, 1 or the common probability of the rest, words left over).
+def absorb(sizes: list[int], prob: list[float], extra: float) -> float:
+    """Spreads residual words over fractional documents, by what each can both take and give, so that the sign of ``extra`` favours none; returns the rest."""
+    room = [min(p, 1.0 - p) * s for p, s in zip(prob, sizes)]
+    all_ = sum(room)
+    if extra == 0.0 or all_ <= 0.0:
+        return extra
+    share = max(-1.0, min(1.0, extra / all_))
+    for i, r in enumerate(room):
+        if r > 0.0:
+            prob[i] = _snap(prob[i] + share * r / sizes[i])
+    return extra - share * all_
+
+
+def _snap(p: float) -> float:
+    return 0.0 if p < _NEAR else 1.0 if p > 1.0 - _NEAR else p
+
 
-    ``mass`` is the expected words of all. Those not yet rounded share one probability, as exchanges are spread by size. Where
-    one outcome cannot be made good by the smaller documents, the other is taken.
+def rounded(ids: list[int], sizes: list[int], prob: list[float], reserve: int, seed: int) -> float:
+    """Makes all but the last ``reserve`` probabilities of a descending order of sizes integral, in place; returns the words that found no partner.
+
+    A document a meets the next smaller fractional documents, pair by pair. Against b it may gain up to what b holds, or give
+    up to what b has room for; pairs are added until their shares make a integral in either direction, and
+    one draw of probability prob[a] decides the direction of all of them. Every share is the same in
+    both directions, so no probability changes in expectation, and the expected words of each pair stay. Where the
+    smaller documents are too few for that, what they cannot make good is residual, unless they hold enough for one direction and
+    have room enough for the other: then they are drawn on to the full.
     """
-    out, rest, n = [], sum(sizes), len(sizes) - reserve
-    for i in range(n):
-        a = sizes[i]
-        p = mass / rest if rest else 0.0
-        too_much, too_little = a > mass + _NEAR, mass > rest - a + _NEAR
-        take = a > 0 and (2 * mass >= a if too_much and too_little else too_little or (not too_much and _unit(ids[i], i, seed) < p))
-        out.append(1.0 if take else 0.0)
-        mass -= a * take
-        rest -= a
-    p = min(1.0, max(0.0, mass / rest)) if rest else 0.0
-    return out + [p] * reserve, mass - p * rest
+    n, left = len(ids), 0.0
+    open_ = [i for i in range(n) if 0.0 < prob[i] < 1.0]
+    at = 0
+    while at < len(open_):
+        i = open_[at]
+        at += 1
+        p = prob[i]
+        if i >= n - reserve:
+            break
+        if not 0.0 < p < 1.0:
+            continue
+        gain, give = (1.0 - p) * sizes[i], p * sizes[i]
+        pairs, total = [], 0.0
+        for k in range(at, len(open_)):
+            j = open_[k]
+            q = prob[j]
+            if 0.0 < q < 1.0:
+                w = min(q * sizes[j] / gain, (1.0 - q) * sizes[j] / give, 1.0 - total)
+                pairs.append((j, w))
+                total += w
+                if total >= 1.0 - _NEAR:
+                    break
+        take = _unit(ids[i], i, seed) < p
+        prob[i] = 1.0 if take else 0.0
+        words = -gain if take else give  # what the partners change by
+        moved = 0.0
+        for j, w in pairs:
+            d = words * w
+            prob[j] = _snap(prob[j] + d / sizes[j])
+            moved += d
+        if total < 1.0 - _NEAR:
+            holds = sum(prob[j] * sizes[j] for j, _ in pairs) - moved  # before this exchange
+            room = sum(sizes[j] for j, _ in pairs) - holds
+            for j, _ in pairs if holds >= gain and room >= give else ():
+                q = prob[j]
+                d = max(words - moved, -q * sizes[j]) if take else min(words - moved, (1.0 - q) * sizes[j])
+                prob[j] = _snap(q + d / sizes[j])
+                moved += d
+            left += words - moved
+    return left
+
+
+def pivot(ids: list[int], sizes: list[int], mass: float, reserve: int, seed: int) -> tuple[list[float], float]:
+    """``rounded`` from one common probability, mass / all sizes: (probabilities, words left over)."""
+    rest = sum(sizes)
+    p = _snap(min(1.0, max(0.0, mass / rest))) if rest else 0.0
+    prob = [p if s else 0.0 for s in sizes]
+    left = rounded(ids, sizes, prob, reserve, seed)
+    return prob, left + mass - p * rest
 
 
 def _round(level: int, last: bool):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         g = group.sort_values(["size", "doc_id"], ascending=[False, True], kind="stable", na_position="last")
         ids = [0 if x is None or x != x else int(x) & 0x7FFFFFFFFFFFFFFF for x in g["doc_id"].astype(object)]
+        sizes, prob = g["size"].tolist(), [_snap(p) for p in g["prob"].tolist()]
         reserve = 0 if last else min(len(g), max(LEAST_RESERVE, int(len(g) * RESERVE)))
-        prob, left = pivot(ids, g["size"].tolist(), float((g["prob"] * g["size"]).sum() + g["extra"].sum()), reserve, level + 1)
+        left = absorb(sizes, prob, float(g["extra"].sum()))
+        left += rounded(ids, sizes, prob, reserve, level + 1)
         extra = [0.0] * len(g)
         if reserve:
             extra[-1] = left
@@ -108,10 +174,12 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     levels = max(1, math.ceil(math.log(max(1, most_docs / BUCKET_DOCS), FANIN))) if most_docs > BUCKET_DOCS else 0
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     whole = F.floor(ratio + _NEAR)
-    # A row of each source for each bucket: the join is then dealt by (source, bucket) as the rounding is, and a large source is spread.
+    # Documents are dealt by (source, bucket), as the rounding is; a source has one row for each bucket that holds any of its documents.
     buckets = FANIN**levels
-    spread = per.select("source_key", "source_size", "target", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("bucket"))
-    dealt = sizes.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int")).join(spread, ["source_key", "bucket"])
+    sizes = sizes.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int"))
+    here = sizes.select("source_key", "bucket").distinct()
+    spread = here.join(per.select("source_key", "source_size", "target"), "source_key")
+    dealt = sizes.join(spread, ["source_key", "bucket"])
     live = dealt.withColumns({"whole": whole, "prob": F.when(F.col("size") > 0, F.greatest(F.lit(0.0), ratio - whole)).otherwise(F.lit(0.0)), "extra": F.lit(0.0), "settled": F.lit(False)})
     done = []
     for level in range(levels + 1):

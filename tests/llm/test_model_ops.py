@@ -105,6 +105,44 @@ def test_pivot_keeps_expected_words():
     assert abs(probs.mean(0) - 0.3).max() < 0.12 and abs(probs.mean() - 0.3) < 1e-9
 
 
+def test_rounding_keeps_every_probability_and_meets_in_pairs():
+    sizes, start = [900, 300, 250, 200, 40, 39, 30, 30, 12, 9, 7, 5, 5, 3, 2, 2, 1, 1], [0.5, 0.2, 0.7, 0.4, 0.1, 0.9, 0.3, 0.6, 0.5, 0.5, 0.2, 0.8, 0.4, 0.5, 0.5, 0.3, 0.6, 0.5]
+    mean, few = np.zeros(len(sizes)), np.zeros(12)
+    for s in range(4000):
+        prob = list(start)
+        left = mixing.rounded([s * 100 + i for i in range(len(sizes))], sizes, prob, 2, s)
+        assert set(prob[:-2]) <= {0.0, 1.0} and all(0 <= p <= 1 for p in prob)
+        assert abs(np.dot(prob, sizes) + left - np.dot(start, sizes)) < 1e-6
+        mean += prob
+        prob = [0.25] * 12
+        mixing.rounded([s * 50 + i for i in range(12)], [10] * 12, prob, 0, s + 7)
+        few += prob
+    assert abs(mean / 4000 - start)[:3].max() < 0.04  # a document's own draw is never forced
+    assert abs(few / 4000 - 0.25).max() < 0.04
+    prob = [0.5] * 4
+    assert mixing.rounded([1, 2, 3, 4], [10, 10, 10, 10], prob, 0, 3) == 0 and sum(prob) == 2  # pairs of equal size: exactly half
+
+
+def test_residuals_are_absorbed_both_ways():
+    for extra in (7.0, -7.0, 500.0, -500.0):
+        prob = [0.5, 0.25, 0.0, 1.0]
+        rest = mixing.absorb([20, 40, 5, 5], prob, extra)
+        assert abs(np.dot(prob, [20, 40, 5, 5]) + rest - (10 + 10 + 5 + extra)) < 1e-9 and prob[2:] == [0.0, 1.0]
+        assert rest == 0 if abs(extra) < 20 else abs(rest) < abs(extra)
+
+
+def test_mixing_edges(spark):
+    rows = [(1, "a b c d", "en", "x"), (1, "a b c d", "en", "x"), (1, "other words", "en", "x"), (None, "q r s", "en", "x"), (None, None, "en", "x"), (2, None, "en", "empty"), (3, "", "en", "empty"), (4, " ".join(["w"] * 50_000), None, None)]
+    rows += [(100 + i, "one two", "en", f"s{i:03}") for i in range(60)]
+    got = mixing.mix(frame(spark, rows)).collect()
+    assert len(got) == len(rows) and all(0 <= r.taken <= 2 * r.size for r in got)
+    assert [r.taken for r in got if r.source == "empty"] == [0, 0] and all(r.target == 0 for r in got if r.source == "empty")
+    assert sorted((r.doc_id, r.size) for r in got if r.source == "x" and r.doc_id == 1) == [(1, 2), (1, 4), (1, 4)]
+    again = mixing.mix(frame(spark, rows).repartition(5)).collect()
+    key = lambda r: (r.doc_id or -1, r.size, r.taken)
+    assert sorted(map(key, got)) == sorted(map(key, again))
+
+
 def test_packing_ids_offsets_and_count(spark):
     path = packing.tokenizer_path()
     rows = texts(300, 4) + [(700, "<|endoftext|> can't STOP é́ 中文  x", "en", "a")]
