@@ -224,3 +224,34 @@ def test_embeddings(spark):
     assert all((got[i].n_links, got[i].component_id, got[i].kept) == (0, i, True) for i in range(n, n + 5))
     assert got[n + 5].n_links == got[n + 6].n_links == 1 and not got[n + 6].kept
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_toxicity_scores_against_a_plain_network(spark):
+    r = random.Random(8)
+    docs = [" ".join(r.choice(["Calm", "day,", "idiot!", "scum", "über-x", "a1"]) for _ in range(n)) for n in (0, 1, 2, 3, 7, 40)] + ["", None, "one", "...,;"]
+    examples = [(toxicity.word_ids([d.encode()])[0], k % 2, "en", k % 5 == 0) for k, d in enumerate([f"{'scum' if i % 2 else 'calm'} day {i}" for i in range(60)])]
+    net = toxicity.fit(examples)
+    got = net.scores(*toxicity.word_ids([(d or "").encode() for d in docs]))
+    for d, s in zip(docs, got):
+        words = [w for w in brute.re.split(r"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", (d or "").translate(brute.LOW)) if w]
+        x = []
+        for w in words:
+            h = int(toxicity.word_ids([w.encode()])[0][0])
+            x.append(net.emb[0, h % toxicity.ROWS] + net.emb[1, (h * 0x9E3779B1 % 2**32) >> (32 - toxicity.BITS)])
+        pooled = []
+        for w, k in net.conv.items():
+            values = [np.concatenate(x[a : a + w]) @ k + net.bias[w] for a in range(len(x) - w + 1)]
+            pooled += list(np.maximum(np.max(values, 0), 0)) if values else [0.0] * k.shape[1]
+        z = float(np.dot(pooled, net.out) + net.b)
+        assert abs(s - 1 / (1 + math.exp(-max(-40, min(40, z * net.scale + net.shift))))) < 1e-4
+
+
+def test_toxicity_sample_is_bounded_in_rows_and_words(spark):
+    rows = [(i, "bad " * 50 if i % 2 else "good " * 50, "en", "s") for i in range(300)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)] + [(4, 0), (4, 1)], "doc_id long, toxic int")
+    some = toxicity.sample(frame(spark, rows), labels, 20, 100_000)
+    assert sum(e[1] for e in some) <= 20 and sum(1 - e[1] for e in some) <= 20 and len(some) > 30
+    few = toxicity.sample(frame(spark, rows), labels, 100, 500)
+    assert {e[1] for e in few} == {0, 1} and sum(len(e[0]) for e in few) <= 600
+    again = toxicity.sample(frame(spark, rows).repartition(7), labels, 100, 500)
+    assert [(e[1], e[0].tobytes()) for e in few] == [(e[1], e[0].tobytes()) for e in again]
