@@ -10,36 +10,41 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basalt.llm import jaccard_join, mixing, packing, suffix_dedup, toxicity
-from basalt.llm.common import checkpoint_dir, table
+from basalt.llm.common import checkpoint_dir, remove, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is below 0.7, where the pooled threshold lies; thresholds by language are not used."""
+    """Documents whose toxicity score is below 0.7, where the pooled threshold lies; thresholds by language are not used.
+
+    Null and empty texts, null languages and null ids are scored like all others and stay when clean; equal rows share their fate.
+    """
     return toxicity.annotate(docs, table(spark, sf_dir, "labels")).filter(F.col("predicted") == 0).select(*COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of documents linked by five-word shingles at a similarity of 0.8, the one of smallest id; null ids stay."""
+    """Of every group of documents linked by five-word shingles at a similarity of 0.8, the one of smallest id.
+
+    Null ids and empty texts stay, all of them. Of rows that share an id, all stay or go, as the id does; equal ids are no copies of each other.
+    """
     found = jaccard_join.join(docs, k=5, threshold=Fraction(4, 5))
     gone = found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the bytes of 200-byte strings that occur again."""
+    """Texts without the bytes of 200-byte strings that occur again, in other rows or the same one; all rows stay, null texts become empty."""
     return suffix_dedup.clean(docs).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it."""
-    taken = mixing.mix(docs).filter("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies"))
-    return docs.join(taken, docs["doc_id"].eqNullSafe(taken["doc_id"])).select(*(docs[c] for c in COLUMNS), F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).drop("copy")
+    """Every row as often as the mix takes it, at most twice; rows without words are not taken, whatever their id, and null sources are one source."""
+    return mixing.copied(docs).select(*COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces of all copies in sequences of 2048 tokens."""
+    """Token pieces of all copies in sequences of 2048 tokens; null and empty texts are one piece with the end alone."""
     return packing.pack(docs, packing.tokenizer_path())
 
 
@@ -58,9 +63,13 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     place = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
         if name != STAGES[-1][0]:
             docs.write.parquet(f"{place}/{name}")
             docs = spark.read.parquet(f"{place}/{name}")
+            if before is not None:  # its successor is written; the last one feeds the result and stays with the checkpoints
+                remove(spark, before)
+            before = f"{place}/{name}"
     return docs
