@@ -49,7 +49,7 @@ def _block(role: Column, bodies: Column) -> Column:
 def format_chats(turns: DataFrame) -> DataFrame:
     """conv_id, formatted, segments array<struct<text, loss>>, n_turns."""
     blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    sorted_turns = turns.select("conv_id", F.struct(F.col("turn"), blank("role").alias("role"), blank("text").alias("text")).alias("t")).groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
+    sorted_turns = turns.select("conv_id", F.struct(F.col("turn").isNull().alias("late"), F.col("turn"), blank("role").alias("role"), blank("text").alias("text")).alias("t")).groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
     # A run begins where the role differs from the one before; runs are slices between those places.
     begins = sorted_turns.withColumn("begins", F.filter(F.sequence(F.lit(0), F.size("turns") - 1), lambda i: (i == 0) | (F.get(F.col("turns.role"), i) != F.get(F.col("turns.role"), F.greatest(i - 1, F.lit(0))))))
     ends = F.concat(F.slice("begins", 2, F.size("begins")), F.array(F.size("turns")))

@@ -10,7 +10,7 @@ A pair is counted under its smallest common filter only, as numbers per vector,
 spanning forest: no pair of vectors is ever a row. Equal vectors are one weighted vector. Filters with
 more than BLOCK vectors are cut into blocks that meet two by two.
 
-Vectors that are null, empty, zero, or hold null or non-finite components link with nothing, and so do vectors
+Any finite magnitude will do: very large and very small doubles are scaled first. Vectors that are null, empty, zero, or hold null or non-finite components link with nothing, and so do vectors
 of different dimensions. Every row is a vector: rows with the same id and vector link to each other
 in n_links. An empty table gives no rows. Labels and other columns are ignored.
 """
@@ -175,9 +175,11 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     """vec_id, n_links, component_id, kept."""
     kind = "float" if vectors.schema["embedding"].dataType.elementType.simpleString() == "float" else "double"
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(f"array<{kind}>").alias("e"))
-    squares = F.aggregate("e", F.lit(0.0), lambda s, c: s + c.cast("double") * c)
-    sound = F.coalesce(F.forall("e", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < 1e150)) & (squares > 0) & F.col("vec_id").isNotNull(), F.lit(False))
-    good = rows.filter(sound).select("vec_id", F.transform("e", lambda c: c + F.lit(0).cast(kind)).alias("v"))  # -0 is 0
+    largest = F.array_max(F.transform("e", F.abs))
+    sound = F.coalesce(F.forall("e", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & (largest > 0) & F.col("vec_id").isNotNull(), F.lit(False))
+    # Doubles whose squares could leave the range of a double are brought to a largest component of one. -0 is 0.
+    extreme = F.lit(kind == "double") & ~largest.between(1e-100, 1e100)
+    good = rows.filter(sound).withColumn("scale", F.when(extreme, largest).otherwise(F.lit(1.0))).select("vec_id", F.when(extreme, F.transform("e", lambda c: c / F.col("scale") + F.lit(0.0))).otherwise(F.transform("e", lambda c: c + F.lit(0).cast(kind))).cast(f"array<{kind}>").alias("v"))
     classes = cut(good.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight")))
     filtered = cut(classes.select("rep", "weight", "v").mapInArrow(lean(_filters(max(2, classes.count()), cosine)), f"rep long, weight long, v array<{kind}>, filters array<int>"))
     entries = filtered.select("rep", F.size("v").alias("dim"), F.explode("filters").alias("f"))

@@ -10,9 +10,10 @@ Rounding runs per (source, bucket); the smallest documents of each bucket stay f
 that found no partner, to the next level of a reduction tree with FANIN buckets to a node, until one
 node for each source is left.
 
-No inclusion is forced: a document too large for its partners is still taken with its own probability, and
-what they cannot make good is residual. Only the last documents of a node, where shares equal in both
-directions no longer suffice, may be drawn on unequally, which moves their probabilities a little.
+A document too large for its partners is still taken with its own probability, and what they cannot make good
+is residual. Two exceptions keep a source near its target: the last documents of a node, where shares equal in both
+directions no longer suffice, may be drawn on unequally, which moves their probabilities a little; and in the
+root of a source a document that outweighs all smaller fractional ones together is not drawn but decided by the target.
 
 Random numbers are hashes of document ids, and buckets depend on ids and counts alone: reruns
 and other partitionings give the same rows. Null texts have size 0 and are taken 0 times; null
@@ -88,7 +89,7 @@ def _snap(p: float) -> float:
     return 0.0 if p < _NEAR else 1.0 if p > 1.0 - _NEAR else p
 
 
-def rounded(ids: list[int], sizes: list[int], prob: list[float], reserve: int, seed: int) -> float:
+def rounded(ids: list[int], sizes: list[int], prob: list[float], reserve: int, seed: int, last: bool = False) -> float:
     """Makes all but the last ``reserve`` probabilities of a descending order of sizes integral, in place; returns the words that found no partner.
 
     A document a meets the next smaller fractional documents, pair by pair. Against b it may gain up to what b holds, or give
@@ -96,7 +97,8 @@ def rounded(ids: list[int], sizes: list[int], prob: list[float], reserve: int, s
     one draw of probability prob[a] decides the direction of all of them. Every share is the same in
     both directions, so no probability changes in expectation, and the expected words of each pair stay. Where the
     smaller documents are too few for that, what they cannot make good is residual, unless they hold enough for one direction and
-    have room enough for the other: then they are drawn on to the full.
+    have room enough for the other: then they are drawn on to the full. At the ``last`` node nothing can take up a residual, so
+    there a document too large for all smaller ones together goes in the direction that misses the target by less.
     """
     n, left = len(ids), 0.0
     open_ = [i for i in range(n) if 0.0 < prob[i] < 1.0]
@@ -121,6 +123,13 @@ def rounded(ids: list[int], sizes: list[int], prob: list[float], reserve: int, s
                 if total >= 1.0 - _NEAR:
                     break
         take = _unit(ids[i], i, seed) < p
+        if total < 1.0 - _NEAR:
+            holds = sum(prob[j] * sizes[j] for j, _ in pairs)
+            room = sum(sizes[j] for j, _ in pairs) - holds
+            whole = holds >= gain and room >= give
+            if last and not whole:
+                take = gain - holds < give - room
+                whole = True
         prob[i] = 1.0 if take else 0.0
         words = -gain if take else give  # what the partners change by
         moved = 0.0
@@ -129,9 +138,7 @@ def rounded(ids: list[int], sizes: list[int], prob: list[float], reserve: int, s
             prob[j] = _snap(prob[j] + d / sizes[j])
             moved += d
         if total < 1.0 - _NEAR:
-            holds = sum(prob[j] * sizes[j] for j, _ in pairs) - moved  # before this exchange
-            room = sum(sizes[j] for j, _ in pairs) - holds
-            for j, _ in pairs if holds >= gain and room >= give else ():
+            for j, _ in pairs if whole else ():
                 q = prob[j]
                 d = max(words - moved, -q * sizes[j]) if take else min(words - moved, (1.0 - q) * sizes[j])
                 prob[j] = _snap(q + d / sizes[j])
@@ -151,12 +158,12 @@ def pivot(ids: list[int], sizes: list[int], mass: float, reserve: int, seed: int
 
 def _round(level: int, last: bool):
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        g = group.sort_values(["size", "doc_id"], ascending=[False, True], kind="stable", na_position="last")
+        g = group.sort_values(["size", "doc_id", "row_key"], ascending=[False, True, True], kind="stable", na_position="last")
         ids = [0 if x is None or x != x else int(x) & 0x7FFFFFFFFFFFFFFF for x in g["doc_id"].astype(object)]
         sizes, prob = g["size"].tolist(), [_snap(p) for p in g["prob"].tolist()]
         reserve = 0 if last else min(len(g), max(LEAST_RESERVE, int(len(g) * RESERVE)))
         left = absorb(sizes, prob, float(g["extra"].sum()))
-        left += rounded(ids, sizes, prob, reserve, level + 1)
+        left += rounded(ids, sizes, prob, reserve, level + 1, last)
         extra = [0.0] * len(g)
         if reserve:
             extra[-1] = left
@@ -165,10 +172,15 @@ def _round(level: int, last: bool):
     return run
 
 
+def row_key(docs: DataFrame) -> Column:
+    """Names a row by its id, source and text."""
+    return F.xxhash64(*(docs[c] for c in ("doc_id", "source", "text")))
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST_COPIES) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken: how often the mix takes each document."""
+    """doc_id, source, row_key, size, source_size, target, copies, taken: how often the mix takes each document; equal rows have equal row_keys."""
     key = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source")))
-    sizes = cut(docs.select("doc_id", key.alias("source_key"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")))
+    sizes = cut(docs.select("doc_id", key.alias("source_key"), row_key(docs).alias("row_key"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")))
     per = cut(targets(sizes, weights, share, most))
     most_docs = per.agg(F.max("n_docs")).first()[0] or 0
     levels = max(1, math.ceil(math.log(max(1, most_docs / BUCKET_DOCS), FANIN))) if most_docs > BUCKET_DOCS else 0
@@ -176,7 +188,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     whole = F.floor(ratio + _NEAR)
     # Documents are dealt by (source, bucket), as the rounding is; a source has one row for each bucket that holds any of its documents.
     buckets = FANIN**levels
-    sizes = sizes.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int"))
+    sizes = sizes.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "row_key"), F.lit(buckets)).cast("int"))
     here = sizes.select("source_key", "bucket").distinct()
     spread = here.join(per.select("source_key", "source_size", "target"), "source_key")
     dealt = sizes.join(spread, ["source_key", "bucket"])
@@ -190,7 +202,20 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     for d in done[1:]:
         out = out.unionByName(d)
     copies = (F.col("whole") + F.col("prob")).cast("long")
-    return out.select("doc_id", F.when(F.col("source_key") != "n", F.substring("source_key", 2, 2**31 - 1)).alias("source"), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return out.select("doc_id", F.when(F.col("source_key") != "n", F.substring("source_key", 2, 2**31 - 1)).alias("source"), "row_key", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+
+
+def copied(docs: DataFrame, **shares) -> DataFrame:
+    """All columns of docs, each row as often as the mix takes it; rows equal in id, source and text share what is taken of them."""
+    keyed = docs.withColumn("_row_key", row_key(docs))
+    taken = cut(mix(docs, **shares).groupBy(F.col("row_key").alias("_row_key")).agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows")).filter("_copies > 0"))
+    each = (F.col("_copies") / F.col("_rows")).cast("long")
+    rest = F.col("_copies") % F.col("_rows")
+    every = keyed.join(taken, "_row_key").withColumn("_times", each)
+    uneven = keyed.join(taken.filter(rest > 0).withColumn("_times", rest).drop("_copies", "_rows"), "_row_key").dropDuplicates(["_row_key"])
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    times = lambda df: df.filter("_times > 0").select(*names, F.explode(F.sequence(F.lit(1).cast("long"), "_times")).alias("_copy")).drop("_copy")
+    return times(every).unionByName(times(uneven))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

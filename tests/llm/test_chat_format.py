@@ -26,3 +26,9 @@ def test_round_trip(spark):
 
 def test_empty(spark):
     assert c.digest(c.format_chats(spark.createDataFrame([], SCHEMA))).count() == 0
+
+
+def test_null_turns_come_last(spark):
+    rows = [(1, None, "user", "NULLTURN"), (1, 2, "assistant", "second"), (1, 1, "user", "first"), (1, None, None, None)]
+    got = c.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert got[0].formatted == "<s>[INST] first [/INST] second </s>[ROLE][BODY][/ROLE][INST] NULLTURN [/INST]" and got[0].n_turns == 4

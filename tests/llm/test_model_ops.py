@@ -226,6 +226,15 @@ def test_embeddings(spark):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embeddings_of_any_magnitude_and_repeated_ids(spark):
+    rows = [(1, [1e200, 0.0]), (2, [1e200, 0.0]), (3, [1e-200, 1e-200]), (4, [2e-200, 2e-200]), (5, [1e308, 1e308]), (6, [5e-324, 0.0]), (6, [5e-324, 0.0]), (7, [float("inf"), 1.0]), (None, [1.0, 0.0]), (8, [-1e300, 0.0])]
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert len(got) == len(rows)
+    told = {r.vec_id: (r.n_links, r.component_id) for r in got}
+    assert {told[i] for i in (1, 2)} == {(3, 1)} and told[6] == (3, 1) and {told[i] for i in (3, 4, 5)} == {(2, 3)}
+    assert told[7] == (0, 7) and told[8] == (0, 8) and told[None] == (0, None)
+
+
 def test_toxicity_scores_against_a_plain_network(spark):
     r = random.Random(8)
     docs = [" ".join(r.choice(["Calm", "day,", "idiot!", "scum", "über-x", "a1"]) for _ in range(n)) for n in (0, 1, 2, 3, 7, 40)] + ["", None, "one", "...,;"]
