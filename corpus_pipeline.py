@@ -39,7 +39,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every row as often as the mix takes it, at most twice; rows without words are not taken, whatever their id, and null sources are one source."""
+    """Every row as often as the mix takes it, at most twice; rows without words as often as the whole part of their source's ratio says, and null sources are one source."""
     return mixing.copied(docs).select(*COLUMNS)
 
 
