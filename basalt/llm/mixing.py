@@ -16,7 +16,7 @@ directions no longer suffice, may be drawn on unequally, which moves their proba
 root of a source a document that outweighs all smaller fractional ones together is not drawn but decided by the target.
 
 Random numbers are hashes of document ids, and buckets depend on ids and counts alone: reruns
-and other partitionings give the same rows. Null texts have size 0 and are taken 0 times; null
+and other partitionings give the same rows. Null and empty texts have size 0, take 0 words and are copied as often as the whole part says; null
 sources form one source, the last; equal rows are separate documents; an empty table gives no
 rows. Further columns of the input are ignored.
 """

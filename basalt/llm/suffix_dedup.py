@@ -1,252 +1,466 @@
-"""Suffix-array dedup by minimizer seeds and direct fingerprints, in place of the rounds of prefix doubling.
-
-Wanted are all positions whose ``length``-byte prefix (200) also starts at another position. Ranks are
-64-bit names of prefixes, so that equal prefixes have equal ranks in every partition and only the sort
-that finds equal ranks is distributed. Three rounds, each only over what the one before left:
-
-1. Seeds. Of the half-length prefixes (100 bytes) that start within a position's prefix, the one of lowest
-   rank stands for it; it is the same wherever the prefix occurs. Positions with the same seed are a run of
-   neighbours, so a run, not a position, is sorted by the rank of its seed. Runs with a unique
-   seed are unique.
-2. Runs. Runs with equal seeds are told apart by the name of all the bytes of the run: runs with equal names
-   are repeated as a whole. This settles the inside of copies, however many there are.
-3. Pairing, once. Where a seed has different runs, one run of each name lists its positions with the
-   pairs (rank of 100 bytes here, rank of 100 bytes at offset 100); equal pairs are equal 200-byte
-   prefixes, which is past the threshold.
-
-Repeats within a task's buffer are settled there and go on once, so a group of copies of any size costs
-a seed at most one entry in each buffer. Blocks are spread by rank.
-
-Null and empty texts, and those shorter than the threshold, lose nothing. Every row is a text of its own: rows
-with equal doc_ids are copies of each other, and removals found for one are applied to all that
-share the id. Null doc_ids share one id. An empty table gives no rows. Other columns are ignored.
+"""Suffix-array dedup by distributed prefix doubling over a content-defined subset of the positions.
+
+Wanted are all positions whose ``length``-byte prefix (200) also starts at another position. Suffixes are sorted at
+anchors only: the positions of the least 8-byte string in any WINDOW consecutive positions, which are the same
+wherever the same bytes stand. Bytes between two anchors are a phrase. With a string of 200 bytes that starts at a
+position go the anchor of the position's own window and all phrases within SPAN bytes after it, so
+equal strings have equal phrases there.
+
+Doubling. The first ranks are those of two phrases; round r pairs each anchor's rank with the rank at an offset
+of 2**r anchors (less, where SPAN ends before), Spark sorts the pairs, and equal neighbours get one new
+rank, which then stands for up to 2**(r+1) phrases. Anchors whose pair is unique are dropped, and so are
+those whose partner was; rounds go on until no anchor is left that is not past its span.
+
+Threshold. Two last sorts settle the bytes. The positions of an anchor are a run of neighbours: runs of
+one rank are sorted by the name of all their bytes, and equal ones are repeated as a whole. Where a rank has different
+runs, one run of each name lists its positions with the pair (100 bytes here, 100 bytes at offset 100);
+equal pairs are equal 200-byte prefixes, which is the threshold.
+
+Input rows are gathered once into blocks of a few MB, stored with all their columns; an anchor or position is known
+as (block, number in the block), so that rows need no ids. Within a block equal pairs are found locally, and two of
+them at most are sent, so a group of copies of any size costs a sort at most two rows for each block.
+Ranks of the rounds are exact; the two phrases of the first ranks and whole runs are told apart by 64-bit names,
+pairs at the end by 128 bits.
+
+Null and empty texts, and those shorter than the threshold, lose nothing. Every row is a text of its own, whatever
+its doc_id: equal rows are copies of each other, and null or repeated doc_ids change nothing. An empty table gives no
+rows. Other columns are ignored by ``dedup`` and kept by ``clean``.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bloom, textnp
-from .common import SLICE_BYTES, cut, lean, shuffle_partitions, table
-from .packed import gather, pack, pack_sorted, range_cuts, scatter, unpack, unpack_sorted
-from .substring_dedup import NULL_ID
+from . import textnp
+from .common import SLICE_BYTES, checkpoint_dir, lean, remove, shuffle_partitions, table
+from .packed import pack, unpack
 
 LENGTH = 200
-BUFFER_BYTES = 8 << 20
-_BLOCK = "range int, bucket int, ranks binary, names binary, ids binary, starts binary, counts binary, many binary"
-_SCHEMA = pa.schema([("range", pa.int32()), ("bucket", pa.int32())] + [(c, pa.binary()) for c in ("ranks", "names", "ids", "starts", "counts", "many")])
-_FOUND = "bucket int, ask boolean, ids binary, starts binary, counts binary"
-_NO = np.empty(0, np.int64)
+WINDOW, GRAM = 40, 8
+BLOCK_BYTES = 4 << 20
+#: Rows of a sort to a partition, about, where the shuffle partitions of the session would hold more.
+SORT_ROWS = 4_000_000
+#: Answers that a sorting task holds before it passes them on.
+HELD = 400_000
+_NUMBER = 30  # bits of the number within a block
+_STATE = "block long, n int, bounds binary, pos binary, back binary, counts binary, ranks binary"
+_ENTRY = "k1 long, k2 long, id long"
+_ANSWER = "block long, ids binary, values binary"
 
 
-def spans(ids: np.ndarray, starts: np.ndarray, counts: np.ndarray, buckets: int) -> list[tuple]:
-    """(bucket, ids, starts, counts): runs of positions, packed by bucket of documents."""
-    return scatter(ids, [starts.astype(np.int32), counts.astype(np.int16)], buckets)
+def span_of(length: int) -> int:
+    """Bytes after an anchor whose phrases every ``length``-byte string with that anchor determines."""
+    return length - 2 * WINDOW - GRAM + 2
 
 
-def runs(docs: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, ...]:
-    """(document, first position, positions, rank of the seed, name of the run) of every run of every document."""
-    half = length // 2
-    buf = np.frombuffer(b"".join(docs) + bytes(length), np.uint8)
+def anchors(docs: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, ...]:
+    """(document, position, first position of its run less that, positions of its run, name of two phrases or 0) of every anchor of texts of ``length`` bytes or more."""
     size = np.array([len(d) for d in docs], np.int64)
     begin = np.cumsum(size) - size
-    total, q = textnp.prefix_sums(buf)
-    at = np.arange(len(buf) - half + 1)
-    rank = textnp.mix((total[half:] - total[: len(at)]) * q[: len(at)])
-    bits = np.uint64(max(1, int(len(buf)).bit_length()))
-    low = (rank >> bits << bits) | at.astype(np.uint64)  # least rank, then leftmost
-    width, m = length - half + 1, 1
-    while 2 * m <= width:
+    data = b"".join(docs) + bytes(GRAM)
+    n, long = int(size.sum()), np.flatnonzero(size >= length)
+    if not len(long):
+        return (*(np.empty(0, np.int64) for _ in range(4)), np.empty(0, np.uint64))
+    grams = np.ndarray((n,), "<u8", data, 0, (1,))
+    low = textnp.mix(grams) >> np.uint64(32) << np.uint64(32) | np.arange(n, dtype=np.uint64)  # least string, then leftmost
+    m = 1
+    while 2 * m <= WINDOW:
         low = np.minimum(low[:-m], low[m:])
         m *= 2
-    if m < width:
-        low = np.minimum(low[: len(low) - (width - m)], low[width - m :])
-    doc = np.flatnonzero(size >= length)
-    n = size[doc] - length + 1
-    if not len(doc):
-        return _NO, _NO, _NO, np.empty(0, np.uint64), np.empty(0, np.uint64)
-    ends = np.cumsum(n)
-    start = np.repeat(begin[doc] - ends + n, n) + np.arange(ends[-1])
-    seed = (low[start] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-    new = np.concatenate(([True], seed[1:] != seed[:-1]))
-    new[(ends - n)] = True
-    first = np.flatnonzero(new)
-    count = np.diff(np.append(first, len(start)))
-    a, of = start[first], np.repeat(doc, n)[first]
-    return of, a - begin[of], count, rank[seed[first]], textnp.span(total, q, a, a + count + length - 1)
-
-
-def doubled(data: bytes, starts: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """Rank of the first half of the prefix at each position, paired with the rank at that offset; and a check byte of both."""
-    half = length // 2
-    total, q = textnp.prefix_sums(np.frombuffer(data, np.uint8))
-    here = textnp.span(total, q, starts, starts + half)
-    there = textnp.span(total, q, starts + half, starts + length)
-    return textnp.mix(here * np.uint64(0x9FB21C651E98DF25) + there), textnp.mix(there * np.uint64(0xD6E8FEB86659FD93) ^ here) & np.uint64(0xFF)
-
-
-def _send(rank, name, ids, starts, counts, ranges: int) -> Iterator[pa.RecordBatch]:
-    """Blocks by range of rank. Entries equal in rank and name are repeated: they are reported here and sent on once, marked."""
-    order = np.lexsort((starts, ids, name, rank))
-    rank, name, ids, starts, counts = (x[order] for x in (rank, name, ids, starts, counts))
-    rows = []
-    if len(rank):
-        first = np.concatenate(([True], (rank[1:] != rank[:-1]) | (name[1:] != name[:-1])))
-        copies = np.diff(np.append(np.flatnonzero(first), len(rank)))
-        many = np.repeat(copies > 1, copies)
-        rows = [(b, b, None, None, *packed, None) for b, *packed in spans(ids[many], starts[many], counts[many], ranges)]
-        many = (copies > 1).astype(np.uint8)
-        rank, name, ids, starts, counts = (x[first] for x in (rank, name, ids, starts, counts))
-        cuts = range_cuts(rank, ranges)
-        for r in np.flatnonzero(np.diff(cuts)).tolist():
-            s = slice(cuts[r], cuts[r + 1])
-            rows.append((r, None, pack_sorted(rank[s]), pack(name[s]), pack(ids[s]), pack(starts[s].astype(np.int32)), pack(counts[s].astype(np.int16)), pack(many[s])))
-    for i in range(0, len(rows), 4096):
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[i : i + 4096]), _SCHEMA)], schema=_SCHEMA)
-
-
-def _seed_blocks(length: int, ranges: int):
-    def flush(keys: list[int], docs: list[bytes]) -> Iterator[pa.RecordBatch]:
-        ids = np.array(keys, np.int64)
-        parts = []
+    if m < WINDOW:
+        low = np.minimum(low[: len(low) - (WINDOW - m)], low[WINDOW - m :])
+    inside = np.zeros(n + 1, np.int8)
+    np.add.at(inside, begin[long], 1)
+    np.add.at(inside, begin[long] + size[long] - (WINDOW + GRAM - 2), -1)
+    start = np.flatnonzero(np.cumsum(inside[: len(low)], dtype=np.int8))
+    least = (low[start] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    first = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
+    at, own = least[first], start[first]
+    doc = np.searchsorted(begin, at, "right") - 1
+    doc = long[np.searchsorted(long, doc)] if len(long) < len(docs) else doc
+    end = begin[doc] + size[doc]
+    following = np.append(start[first[1:]], n)
+    # A run ends where the next anchor takes over, or where a string of the length would leave the text.
+    until = np.minimum(np.where(np.append(doc[1:] != doc[:-1], True), end, following), end - length + 1)
+    total, q = textnp.prefix_sums(np.frombuffer(data, np.uint8)[:n])
+    names = np.zeros(len(at), np.uint64)
+    two = np.flatnonzero(doc[2:] == doc[:-2])
+    names[two] = np.maximum(textnp.span(total, q, at[two], at[two + 2]), np.uint64(1))
+    return doc, at - begin[doc], at - own, np.maximum(until - own, 0), names
+
+
+def _ipc(t: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        w.write_table(t)
+    return sink.getvalue().to_pybytes()
+
+
+def _rows(data: bytes) -> pa.Table:
+    return pa.ipc.open_stream(data).read_all().combine_chunks()
+
+
+def _blocks(length: int):
+    """Rows of about BLOCK_BYTES of text with their anchors."""
+
+    def flush(batches: list[pa.RecordBatch], block: int) -> pa.RecordBatch:
+        t = pa.Table.from_batches(batches).combine_chunks()
+        docs, parts, before = textnp.texts(t.column("text")), [], 0
         for s in textnp.slices([len(d) for d in docs], SLICE_BYTES):
-            of, start, count, rank, name = runs(docs[s], length)
-            parts.append((rank, name, ids[s][of], start, count))
-        yield from _send(*(np.concatenate(x) for x in zip(*parts)), ranges)
+            doc, *rest = anchors(docs[s], length)
+            parts.append((doc + before, *rest))
+            before += s.stop - s.start
+        doc, pos, back, counts, names = (np.concatenate(x) for x in zip(*parts))
+        bounds = np.searchsorted(doc, np.arange(len(docs) + 1))
+        state = (pack(bounds.astype(np.int32)), pack(pos.astype(np.int32)), pack(back.astype(np.uint8)), pack(counts.astype(np.uint8)), pack(names))
+        return pa.RecordBatch.from_arrays([pa.array([block]), pa.array([_ipc(t)]), pa.array([len(pos)], pa.int32()), *(pa.array([x]) for x in state)], names=["block", "rows", "n", "bounds", "pos", "back", "counts", "ranks"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, docs, size = [], [], 0
+        held, size, block = [], 0, TaskContext.get().partitionId() << 13
         for b in batches:
-            for k, d in zip(b.column("doc_id").to_pylist(), textnp.texts(b.column("text"))):
-                keys.append(NULL_ID if k is None else k)
-                docs.append(d)
-                size += len(d)
-                if size >= BUFFER_BYTES:
-                    yield from flush(keys, docs)
-                    keys, docs, size = [], [], 0
-        if docs:
-            yield from flush(keys, docs)
+            sizes = [x.as_py() or 0 for x in pa.compute.binary_length(b.column("text"))]
+            for s in textnp.slices(sizes, BLOCK_BYTES):
+                held.append(b.slice(s.start, s.stop - s.start))
+                size += sum(sizes[s])
+                if size >= BLOCK_BYTES:
+                    yield flush(held, block)
+                    held, size, block = [], 0, block + 1
+        if held:
+            yield flush(held, block)
 
     return run
 
 
-def _gather(group: pd.DataFrame):
-    blocks = group[group["ranks"].notna()]
-    kinds = (("names", np.uint64), ("ids", np.int64), ("starts", np.int32), ("counts", np.int16), ("many", np.uint8))
-    rank = np.concatenate([unpack_sorted(x) for x in blocks["ranks"]]) if len(blocks) else np.empty(0, np.uint64)
-    rest = [np.concatenate([unpack(x, t) for x in blocks[c]]) if len(blocks) else np.empty(0, t) for c, t in kinds]
-    local = group[group["ranks"].isna()]
-    # Only ranks that occur twice, or stand for several entries, matter.
-    order = np.argsort(rank, kind="stable")
-    same = rank[order[1:]] == rank[order[:-1]]
-    more = rest[4] > 0
-    more[order[1:][same]] = more[order[:-1][same]] = True
-    at = np.flatnonzero(more)
-    at = at[np.lexsort((rest[2][at], rest[1][at], rest[0][at], rank[at]))]
-    return list(zip(local["bucket"].astype(int), local["ids"], local["starts"], local["counts"])), rank[at], *(x[at] for x in rest)
-
-
-def _groups(new: np.ndarray) -> np.ndarray:
-    return np.cumsum(new) - 1
-
-
-def _told(found: list[tuple], ask: list[tuple] = ()) -> pd.DataFrame:
-    return pd.DataFrame([(b, k, *x) for k, rows in ((False, found), (True, ask)) for b, *x in rows], columns=["bucket", "ask", "ids", "starts", "counts"])
-
-
-def _runs_found(buckets: int):
-    """Round 2: runs that are repeated as a whole, and those that must list their positions (ask)."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        found, rank, name, ids, starts, counts, many = _gather(group)
-        ask = []
-        if len(rank):
-            new_rank = np.concatenate(([True], rank[1:] != rank[:-1]))
-            new_name = new_rank | np.concatenate(([True], name[1:] != name[:-1]))
-            g, s = _groups(new_name), _groups(new_rank)
-            whole = (np.bincount(g) > 1)[g] | (np.bincount(g, many) > 0)[g]
-            found = found + spans(ids[whole], starts[whole], counts[whole], buckets)
-            differ = new_name & (np.bincount(s, new_name) > 1)[s]
-            ask = spans(ids[differ], starts[differ], counts[differ], buckets)
-        return _told(found, ask)
+class State:
+    """The anchors of a block; ranks are 0 for those that were dropped."""
+
+    def __init__(self, row: dict):
+        self.block = row["block"]
+        self.bounds, self.pos = unpack(row["bounds"], np.int32), unpack(row["pos"], np.int32).astype(np.int64)
+        self.back, self.counts = unpack(row["back"], np.uint8), unpack(row["counts"], np.uint8)
+        self.ranks = unpack(row["ranks"], np.uint64)
+
+    def pairs(self, covered: int, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Anchors that go into the round after ranks of ``covered`` phrases, with their pairs of ranks; drops those whose partner is."""
+        live = np.flatnonzero(self.ranks)
+        if covered == 0:  # the first ranks are names of two phrases
+            return live, self.ranks[live], np.zeros(len(live), np.uint64)
+        doc = np.searchsorted(self.bounds, live, "right") - 1
+        # Phrases within the span: positions are made ascending over documents.
+        every = self.pos + (np.repeat(np.arange(len(self.bounds) - 1), np.diff(self.bounds)) << 33)
+        most = np.searchsorted(every, self.pos[live] + (doc << 33) + span, "right") - 1 - live
+        some = live[most > covered]
+        other = some + np.minimum(covered, most[most > covered] - covered)
+        partner = self.ranks[other]
+        self.ranks = self.ranks.copy()
+        mine = self.ranks[some]
+        self.ranks[some[partner == 0]] = 0
+        go = partner > 0
+        return some[go], mine[go], partner[go]
+
+    def row(self) -> pa.RecordBatch:
+        data = [pack(x) for x in (self.bounds.astype(np.int32), self.pos.astype(np.int32), self.back, self.counts, self.ranks)]
+        return pa.RecordBatch.from_arrays([pa.array([self.block]), pa.array([len(self.pos)], pa.int32()), *(pa.array([x]) for x in data)], names=["block", "n", "bounds", "pos", "back", "counts", "ranks"])
+
+
+def _equal(k1: np.ndarray, k2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order by (k1, k2), and where in it another pair begins."""
+    order = np.lexsort((k2, k1)) if k2.any() else np.argsort(k1, kind="stable")
+    a, b = k1[order], k2[order]
+    return order, np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) if len(a) else np.empty(0, bool)
+
+
+def _sent(block: int, numbers: np.ndarray, k1: np.ndarray, k2: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Entries of a block: the first two of equal ones."""
+    order, new = _equal(k1, k2)
+    if len(order):
+        two = new | np.concatenate(([False], new[:-1]))
+        at = order[two]
+        ids = (np.int64(block) << _NUMBER) | numbers[at].astype(np.int64)
+        for s in range(0, len(at), 100_000):
+            e = slice(s, s + 100_000)
+            yield pa.RecordBatch.from_arrays([pa.array(k1[at[e]].view(np.int64)), pa.array(k2[at[e]].view(np.int64)), pa.array(ids[e])], names=["k1", "k2", "id"])
+
+
+def _spread(numbers: np.ndarray, k1: np.ndarray, k2: np.ndarray, ids: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Answers to the entries of a block, for all its anchors or positions: (numbers that got one, values)."""
+    order, new = _equal(k1, k2)
+    if not len(order) or not len(ids):
+        return np.empty(0, np.int64), np.empty(0, values.dtype)
+    group = np.cumsum(new) - 1
+    first = numbers[order[new]]
+    by = np.argsort(ids)
+    ids, values = ids[by], values[by]
+    at = np.minimum(np.searchsorted(ids, first), len(ids) - 1)
+    hit = ids[at] == first
+    got = hit[group]
+    return numbers[order[got]], values[at][group[got]]
+
+
+class _Answers:
+    """Packs (id, value) by block."""
+
+    def __init__(self):
+        self.parts, self.n = [], 0
+
+    def add(self, ids: np.ndarray, values: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.parts.append((ids, values))
+        self.n += len(ids)
+        if self.n >= HELD:
+            yield from self.flush()
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if self.n:
+            ids, values = (np.concatenate(x) for x in zip(*self.parts))
+            order = np.argsort(ids, kind="stable")
+            ids, values = ids[order], values[order]
+            block, number = ids >> _NUMBER, (ids & ((1 << _NUMBER) - 1)).astype(np.int32)
+            cuts = np.concatenate(([0], np.flatnonzero(np.diff(block)) + 1, [len(ids)]))
+            rows = [(int(block[a]), pack(number[a:b]), pack(values[a:b])) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+            for i in range(0, len(rows), 2000):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[i : i + 2000])], names=["block", "ids", "values"])
+        self.parts, self.n = [], 0
+
+
+def _columns(b: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    return tuple(b.column(c).to_numpy(zero_copy_only=False) for c in ("k1", "k2", "id"))
+
+
+def _reranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over sorted pairs: the new rank of every entry whose pair another one has, which is the first one's id plus one."""
+    out, carry, told = _Answers(), None, False
+    for b in batches:
+        k1, k2, ids = _columns(b)
+        if not len(ids):
+            continue
+        if carry is not None:
+            k1, k2, ids = (np.concatenate(([c], x)) for c, x in zip(carry, (k1, k2, ids)))
+        new = np.concatenate(([True], (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])))
+        at = np.flatnonzero(new)
+        size = np.diff(np.append(at, len(ids)))
+        repeated = np.repeat(size > 1, size)
+        rank = np.repeat(ids[at], size) + 1
+        if carry is not None and told:
+            repeated[0] = False
+        yield from out.add(ids[repeated], rank[repeated])
+        told = bool(size[-1] > 1) or (told and carry is not None and len(at) == 1)
+        carry = k1[at[-1]], k2[at[-1]], ids[at[-1]]
+    yield from out.flush()
+
+
+WHOLE, ASK = 1, 2
+
+
+def _runs_told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over runs sorted by (rank, name): WHOLE for runs that are repeated as a whole; ASK for the first run of each name where a rank has several."""
+    out, held = _Answers(), []
+
+    def tell(k1, k2, ids) -> Iterator[pa.RecordBatch]:
+        new_rank = np.concatenate(([True], k1[1:] != k1[:-1]))
+        new = new_rank | np.concatenate(([True], k2[1:] != k2[:-1]))
+        g, r = np.cumsum(new) - 1, np.cumsum(new_rank) - 1
+        flag = np.where((np.bincount(g) > 1)[g], WHOLE, 0) | np.where(new & (np.bincount(r, new) > 1)[r], ASK, 0)
+        some = flag > 0
+        yield from out.add(ids[some], flag[some].astype(np.int64))
+
+    for b in batches:
+        part = _columns(b)
+        if not len(part[0]):
+            continue
+        last = int(np.searchsorted(-(part[0] != part[0][-1]).astype(np.int8), 0))  # where the batch's last rank begins
+        if held and held[-1][0][-1] != part[0][0]:
+            yield from tell(*(np.concatenate(x) for x in zip(*held)))
+            held = []
+        if last:
+            held.append(tuple(x[:last] for x in part))
+            yield from tell(*(np.concatenate(x) for x in zip(*held)))
+            held = []
+        held.append(tuple(x[last:] for x in part))
+    if held:
+        yield from tell(*(np.concatenate(x) for x in zip(*held)))
+    yield from out.flush()
+
+
+def _dicts(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for b in batches:
+        for i in range(b.num_rows):
+            yield {c: b.column(c)[i].as_py() for c in b.schema.names}
+
+
+def _answers(row: dict, dtype) -> tuple[np.ndarray, np.ndarray]:
+    found = row.get("answers") or []
+    if not found:
+        return np.empty(0, np.int64), np.empty(0, dtype)
+    return np.concatenate([unpack(x["ids"], np.int32) for x in found]).astype(np.int64), np.concatenate([unpack(x["values"], np.int64) for x in found]).astype(dtype)
+
+
+def _round_entries(covered: int, span: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _dicts(batches):
+            state = State(row)
+            yield from _sent(state.block, *state.pairs(covered, span))
 
     return run
 
 
-def _positions_found(buckets: int):
-    """Round 3: positions whose pair of ranks occurs again."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        found, rank, name, ids, starts, counts, many = _gather(group)
-        if len(rank):
-            g = _groups(np.concatenate(([True], (rank[1:] != rank[:-1]) | (name[1:] != name[:-1]))))
-            again = (np.bincount(g) > 1)[g] | (np.bincount(g, many) > 0)[g]
-            found = found + spans(ids[again], starts[again], counts[again], buckets)
-        return _told(found)
+def _round_merged(covered: int, span: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _dicts(batches):
+            state = State(row)
+            some, k1, k2 = state.pairs(covered, span)
+            state.ranks[some] = 0
+            got, rank = _spread(some, k1, k2, *_answers(row, np.uint64))
+            state.ranks[got] = rank
+            yield state.row()
 
     return run
 
 
-def _by_document(group: pd.DataFrame) -> pd.DataFrame:
-    ids, data = gather(list(group["ids"]), [list(group["starts"]), list(group["counts"])], [np.int32, np.int16])
-    return pd.DataFrame({"key": ids, "spans": data})
+def _runs(state: State, docs: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Live anchors with a run, their ranks, and the names of their runs."""
+    live = np.flatnonzero((state.ranks > 0) & (state.counts > 0))
+    doc = np.searchsorted(state.bounds, live, "right") - 1
+    names, first = np.empty(len(live), np.uint64), state.pos[live] - state.back[live]
+    for s in textnp.slices([len(d) for d in docs], SLICE_BYTES):
+        a, b = np.searchsorted(doc, [s.start, s.stop])
+        if a < b:
+            size = np.array([len(d) for d in docs[s]], np.int64)
+            begin = np.cumsum(size) - size
+            total, q = textnp.prefix_sums(np.frombuffer(b"".join(docs[s]), np.uint8))
+            x = begin[doc[a:b] - s.start] + first[a:b]
+            names[a:b] = textnp.span(total, q, x, x + state.counts[live[a:b]] + length - 1)
+    return live, state.ranks[live], names
 
 
-def _documents(found: DataFrame) -> DataFrame:
-    """key, spans: (first, count) int32 pairs; one row to a document."""
-    return found.select("bucket", "ids", "starts", "counts").groupBy("bucket").applyInPandas(_by_document, "key long, spans binary")
-
-
-def _asked(filter_bits: np.ndarray):
+def _run_entries(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = bloom.maybe(filter_bits, b.column("key").to_numpy(zero_copy_only=False))
-            if keep.any():
-                yield b.filter(pa.array(keep))
+        for row in _dicts(batches):
+            state = State(row)
+            live, rank, name = _runs(state, textnp.texts(_rows(row["rows"]).column("text")), length)
+            yield from _sent(state.block, live, rank, name)
 
     return run
 
 
-def _pair_blocks(length: int, ranges: int):
+def _listed(docs: list[bytes], doc: np.ndarray, first: np.ndarray, counts: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """(document, position, 128 bits of the pair of halves there) of every position of some runs."""
+    half, out = length // 2, []
+    for s in textnp.slices([len(d) for d in docs], SLICE_BYTES):
+        a, b = np.searchsorted(doc, [s.start, s.stop])
+        if a < b:
+            size = np.array([len(d) for d in docs[s]], np.int64)
+            begin = np.cumsum(size) - size
+            total, q = textnp.prefix_sums(np.frombuffer(b"".join(docs[s]), np.uint8))
+            n = counts[a:b].astype(np.int64)
+            ends = np.cumsum(n)
+            pos = np.repeat(first[a:b] - ends + n, n) + np.arange(ends[-1])
+            of = np.repeat(doc[a:b], n)
+            at = begin[of - s.start] + pos
+            out.append((of, pos, textnp.span(total, q, at, at + half), textnp.span(total, q, at + half, at + length)))
+    if not out:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64)
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def _runs_merged(length: int):
+    """State after the runs: spans of positions that are repeated, and the positions asked for with their pairs."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, n = [], 0
-        for b in batches:
-            for k, d, spans_ in zip(b.column("key").to_pylist(), textnp.texts(b.column("text")), b.column("spans").to_pylist()):
-                a = np.frombuffer(spans_, "<i4").reshape(-1, 2).astype(np.int64)
-                a = a[a[:, 0] + a[:, 1] + length - 1 <= len(d)]
-                ends = np.cumsum(a[:, 1])
-                at = np.repeat(a[:, 0] - ends + a[:, 1], a[:, 1]) + np.arange(ends[-1] if len(ends) else 0)
-                rank, name = doubled(d, at, length)
-                parts.append((rank, name, np.full(len(at), k, np.int64), at, np.ones(len(at), np.int64)))
-                n += len(at)
-                if n >= 1_000_000:
-                    yield from _send(*(np.concatenate(x) for x in zip(*parts)), ranges)
-                    parts, n = [], 0
-        if parts:
-            yield from _send(*(np.concatenate(x) for x in zip(*parts)), ranges)
+        for row in _dicts(batches):
+            state, docs = State(row), textnp.texts(_rows(row["rows"]).column("text"))
+            live, rank, name = _runs(state, docs, length)
+            numbers, flags = _answers(row, np.int64)
+            whole = np.zeros(len(state.pos), bool)
+            got, told = _spread(live, rank, name, numbers, flags)
+            whole[got[(told & WHOLE) > 0]] = True
+            spans = np.flatnonzero(whole)
+            ask = np.sort(numbers[(flags & ASK) > 0])
+            doc = lambda x: np.searchsorted(state.bounds, x, "right") - 1
+            first = state.pos - state.back
+            listed = _listed(docs, doc(ask), first[ask], state.counts[ask], length)
+            data = [doc(spans).astype(np.int32), first[spans].astype(np.int32), state.counts[spans].astype(np.int32), listed[0].astype(np.int32), listed[1].astype(np.int32), listed[2], listed[3]]
+            yield pa.RecordBatch.from_arrays([pa.array([state.block]), *(pa.array([pack(x)]) for x in data)], names=["block", "docs", "firsts", "counts", "ask_docs", "ask_at", "k1", "k2"])
 
     return run
 
 
-def repeated(docs: DataFrame, length: int = LENGTH, ranges: int | None = None) -> DataFrame:
-    """key (doc_id), spans: (first, count) int32 pairs of the repeated positions; one row to a document that has any."""
-    spark = docs.sparkSession
-    ranges = ranges or shuffle_partitions(spark)
-    cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = cut(cols.mapInArrow(lean(_seed_blocks(length, ranges)), _BLOCK).groupBy("range").applyInPandas(_runs_found(ranges), _FOUND))
-    ask = cut(_documents(found.filter("ask")))
-    bits = bloom.build(ask.select("key"))
-    some = cols.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("key"), "text").mapInArrow(lean(_asked(bits)), "key long, text string")
-    pairs = some.join(ask, "key").select("key", "text", "spans").mapInArrow(lean(_pair_blocks(length, ranges)), _BLOCK)
-    doubled_ = cut(pairs.groupBy("range").applyInPandas(_positions_found(ranges), _FOUND))
-    return _documents(found.filter("NOT ask").unionByName(doubled_))
+def _position_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for row in _dicts(batches):
+        k1, k2 = unpack(row["k1"], np.uint64), unpack(row["k2"], np.uint64)
+        yield from _sent(row["block"], np.arange(len(k1)), k1, k2)
+
+
+def _spans(row: dict, n_docs: int) -> list[np.ndarray]:
+    """For each document of a block its (first, count) of repeated positions."""
+    doc, first, count = (unpack(row[c], np.int32) for c in ("docs", "firsts", "counts"))
+    k1, k2 = unpack(row["k1"], np.uint64), unpack(row["k2"], np.uint64)
+    got, _ = _spread(np.arange(len(k1)), k1, k2, *_answers(row, np.int64))
+    more = np.sort(got)
+    doc = np.concatenate((doc, unpack(row["ask_docs"], np.int32)[more]))
+    first = np.concatenate((first, unpack(row["ask_at"], np.int32)[more]))
+    count = np.concatenate((count, np.ones(len(more), np.int32)))
+    order = np.argsort(doc, kind="stable")
+    cuts = np.searchsorted(doc[order], np.arange(n_docs + 1))
+    pairs = np.stack([first[order], count[order]], 1).astype(np.int64)
+    return [pairs[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+
+
+class _Store:
+    """Tables written in the shared folder, each deleted when no later step reads it."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.place, self.n = spark, f"{checkpoint_dir(spark)}/suffixes-{uuid.uuid4().hex}", 0
+
+    def put(self, df: DataFrame) -> tuple[DataFrame, str]:
+        path = f"{self.place}/{self.n}"
+        self.n += 1
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path), path
+
+    def drop(self, path: str) -> None:
+        remove(self.spark, path)
+
+
+def _answered(state: DataFrame, entries: DataFrame, tell: Callable, rows: int, by_first: bool = False) -> DataFrame:
+    """Sorts entries by their pairs, and joins what ``tell`` says of them to the blocks."""
+    n = max(shuffle_partitions(state.sparkSession), -(-rows // SORT_ROWS))
+    keys = ["k1"] if by_first else ["k1", "k2"]
+    sorted_ = entries.repartition(n, *keys).sortWithinPartitions("k1", "k2", "id")
+    told = sorted_.mapInArrow(lean(tell), _ANSWER).groupBy("block").agg(F.collect_list(F.struct("ids", "values")).alias("answers"))
+    return state.join(told, "block", "left")
+
+
+def found(docs: DataFrame, store: _Store, length: int = LENGTH) -> DataFrame:
+    """block, rows (the input, by block) and what ``_spans`` reads."""
+    span = span_of(length)
+    blocks, _ = store.put(docs.mapInArrow(lean(_blocks(length)), "block long, rows binary, " + _STATE.removeprefix("block long, ")))
+    texts = blocks.select("block", "rows")
+    state, path = blocks.drop("rows"), None
+    covered = 0
+    while True:
+        rows = state.agg(F.sum("n")).first()[0] or 0
+        entries = state.mapInArrow(lean(_round_entries(covered, span)), _ENTRY)
+        merged = _answered(state, entries, _reranked, rows).mapInArrow(lean(_round_merged(covered, span)), _STATE)
+        state, new = store.put(merged)
+        if path:
+            store.drop(path)
+        path, covered = new, 2 * covered or 2
+        if state.mapInArrow(lean(_round_entries(covered, span)), _ENTRY).isEmpty():
+            break
+    whole = texts.join(state, "block")
+    told = _answered(whole, whole.mapInArrow(lean(_run_entries(length)), _ENTRY), _runs_told, rows, by_first=True)
+    state, new = store.put(told.mapInArrow(lean(_runs_merged(length)), "block long, docs binary, firsts binary, counts binary, ask_docs binary, ask_at binary, k1 binary, k2 binary"))
+    store.drop(path)
+    return _answered(texts.join(state, "block"), state.mapInArrow(lean(_position_entries), _ENTRY), _reranked, rows)
 
 
 def removal(spans: np.ndarray, length: int, n: int) -> np.ndarray:
@@ -259,23 +473,25 @@ def removal(spans: np.ndarray, length: int, n: int) -> np.ndarray:
     return np.stack([np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)], 1)
 
 
+def _cut(text: bytes, spans: np.ndarray, length: int) -> tuple[bytes, int]:
+    """What is left of a text, and the number of its removed runs."""
+    if not len(spans):
+        return text, 0
+    out = removal(spans, length, len(text))
+    cuts = [0, *out.ravel().tolist(), len(text)]
+    return b"".join(text[x:y] for x, y in zip(cuts[::2], cuts[1::2])), len(out)
+
+
 def _removed(length: int, keep: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            docs, found, keys = textnp.texts(b.column("text")), b.column("spans").to_pylist(), b.column("doc_id")
-            for s in textnp.slices([len(d) for d in docs], SLICE_BYTES):
-                rows = []
-                for text, data in zip(docs[s], found[s]):
-                    kept, gone, k = text, 0, 0
-                    if data:
-                        runs_ = np.frombuffer(data, "<i4").reshape(-1, 2).astype(np.int64)
-                        out = removal(runs_[runs_[:, 0] < len(text)], length, len(text))
-                        cuts = [0, *out.ravel().tolist(), len(text)]
-                        kept = b"".join(text[x:y] for x, y in zip(cuts[::2], cuts[1::2]))
-                        gone, k = len(text) - len(kept), len(out)
-                    rows.append((len(text), gone, k, kept if keep else None, hashlib.sha256(kept).hexdigest()))
-                n, gone, k, kept, digest = zip(*rows)
-                yield pa.RecordBatch.from_arrays([keys.slice(s.start, s.stop - s.start), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(k, pa.int64()), pa.array(kept, pa.binary()), pa.array(digest)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
+        for row in _dicts(batches):
+            t = _rows(row["rows"])
+            rows = []
+            for text, spans in zip(textnp.texts(t.column("text")), _spans(row, t.num_rows)):
+                kept, k = _cut(text, spans, length)
+                rows.append((len(text), len(text) - len(kept), k, kept if keep else None, hashlib.sha256(kept).hexdigest()))
+            n, gone, k, kept, digest = zip(*rows)
+            yield pa.RecordBatch.from_arrays([t.column("doc_id").combine_chunks(), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(k, pa.int64()), pa.array(kept, pa.binary()), pa.array(digest)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
 
     return run
 
@@ -283,31 +499,23 @@ def _removed(length: int, keep: bool):
 def dedup(docs: DataFrame, length: int = LENGTH, keep: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes; null unless asked for), kept_sha256."""
     cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    joined = cols.join(repeated(docs, length), F.coalesce(F.col("doc_id"), F.lit(NULL_ID)) == F.col("key"), "left").select("doc_id", "text", "spans")
-    return joined.mapInArrow(lean(_removed(length, keep)), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
+    return found(cols, _Store(docs.sparkSession), length).mapInArrow(lean(_removed(length, keep)), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
 
 
 def _cut_texts(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for text, data in zip(textnp.texts(b.column("text")), b.column("spans").to_pylist()):
-                if data:
-                    runs_ = np.frombuffer(data, "<i4").reshape(-1, 2).astype(np.int64)
-                    cuts = [0, *removal(runs_[runs_[:, 0] < len(text)], length, len(text)).ravel().tolist(), len(text)]
-                    text = b"".join(text[x:y] for x, y in zip(cuts[::2], cuts[1::2]))
-                out.append(text.decode("utf-8", "ignore"))
-            names = [c for c in b.schema.names if c not in ("spans", "key")]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if c == "text" else b.column(c) for c in names], names=names)
+        for row in _dicts(batches):
+            t = _rows(row["rows"])
+            left = [_cut(text, spans, length)[0].decode("utf-8", "ignore") for text, spans in zip(textnp.texts(t.column("text")), _spans(row, t.num_rows))]
+            yield from t.set_column(t.schema.get_field_index("text"), "text", pa.array(left, pa.string())).combine_chunks().to_batches()
 
     return run
 
 
 def clean(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """docs with the repeated bytes cut from ``text``; code points that a cut parts are dropped, null texts become empty."""
-    docs = docs.withColumn("text", F.col("text").cast("string")).drop("spans", "key")
-    joined = docs.join(repeated(docs, length), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)) == F.col("key"), "left")
-    return joined.mapInArrow(lean(_cut_texts(length)), docs.schema)
+    docs = docs.withColumn("text", F.col("text").cast("string"))
+    return found(docs, _Store(docs.sparkSession), length).mapInArrow(lean(_cut_texts(length)), docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

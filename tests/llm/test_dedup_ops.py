@@ -108,3 +108,41 @@ def test_empty_null_and_repeated(spark, run, n):
     rows = [(None, long, 1, "x", "y"), (None, None, 1, "x", "y"), (5, long, 1, "x", "y"), (5, long, 1, "x", "y"), (6, "", None, None, None)]
     got = run(spark.createDataFrame(rows, SCHEMA)).collect()
     assert len(got) == len(rows) and sorted(r.doc_id or -1 for r in got) == [-1, -1, 5, 5, 6]
+
+
+def suffix_rows(spark, rows, parts=3):
+    df = spark.createDataFrame([(i, t, 1, "x", "y") for i, t in rows], SCHEMA).repartition(parts)
+    key = lambda i: (i is None, i or 0)
+    got = sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.dedup(df).collect()), key=lambda x: (key(x[0]), x[1:]))
+    plain = brute.suffixes(list(enumerate(t for _, t in rows)))
+    return got, sorted(((i, *plain[k]) for k, (i, _) in enumerate(rows)), key=lambda x: (key(x[0]), x[1:]))
+
+
+def test_suffix_at_the_threshold_and_on_periods(spark):
+    r = random.Random(11)
+    letters = "abcdefghij klmnop"
+    text = lambda n: "".join(r.choice(letters) for _ in range(n))
+    rows = []
+    for k, n in enumerate((198, 199, 200, 201, 230, 260, 400)):  # a shared string of n bytes between unlike neighbours, at differing offsets
+        s = text(n)
+        rows += [(10 * k, text(r.randrange(90)) + "<" + s + ">" + text(r.randrange(90))), (10 * k + 1, text(r.randrange(90)) + "(" + s + ")" + text(r.randrange(90)))]
+    rows += [(200, "a" * 700), (201, "ab" * 150 + text(50) + "ab" * 130), (202, "a" * 199), (203, " " * 201), (204, "é" * 150), (205, text(50) * 6), (206, text(199)), (207, text(200))]
+    rows += [(300, "x" + rows[-1][1]), (301, None), (302, "")]
+    got, want = suffix_rows(spark, rows)
+    assert got == want
+
+
+def test_suffix_on_few_letters(spark):
+    r = random.Random(12)
+    base = "".join(r.choice("ab") for _ in range(3000))
+    rows = [(i, "".join(base[(a := r.randrange(2700)) : a + r.choice([20, 150, 210, 260])] for _ in range(r.randrange(6)))) for i in range(60)]
+    got, want = suffix_rows(spark, rows, 5)
+    assert got == want
+
+
+def test_suffix_rows_that_share_an_id(spark):
+    r = random.Random(13)
+    a, b, c = (" ".join(f"{w}{r.randrange(10**6)}" for _ in range(60)) for w in "abc")
+    rows = [(1, a), (2, a), (2, b), (None, c), (None, c + " more"), (None, b[:150]), (-(2**63), " ".join(reversed(c.split())))]
+    got, want = suffix_rows(spark, rows)
+    assert got == want and (2, len(b), 0, 0, b.encode()) in got
