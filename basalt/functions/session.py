@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,17 +19,23 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialises df reliably, cuts its lineage, and drops the shuffle files that led to it."""
-    spark = df.sparkSession
-    checkpoint_dir(spark)
+@contextmanager
+def dropping_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Queries run within drop their shuffle files when they end; only for those whose result is stored."""
     before = spark.conf.get(_CLEAN_UP, "false")
     spark.conf.set(_CLEAN_UP, "true")
     try:
-        return df.select("*").checkpoint(eager=True)
+        yield
     finally:
         spark.conf.set(_CLEAN_UP, before)
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """Materialises df reliably, cuts its lineage, and drops the shuffle files that led to it."""
+    checkpoint_dir(df.sparkSession)
+    with dropping_shuffles(df.sparkSession):
+        return df.select("*").checkpoint(eager=True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
