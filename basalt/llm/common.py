@@ -8,9 +8,9 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import SparkSession
 
-from ..functions.session import checkpoint_dir, cut, table
+from ..functions.session import checkpoint_dir, cut, dropping_shuffles, table
 
-__all__ = ["SLICE_BYTES", "checkpoint_dir", "cut", "lean", "remove", "shuffle_partitions", "table", "trim"]
+__all__ = ["SLICE_BYTES", "checkpoint_dir", "cut", "dropping_shuffles", "lean", "remove", "shuffle_partitions", "table", "trim"]
 
 #: Bytes of text handled at once by the numpy code; whole documents only, so one longer document is one slice.
 SLICE_BYTES = 1 << 20

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textnp
-from .common import SLICE_BYTES, checkpoint_dir, lean, remove, shuffle_partitions, table
+from .common import SLICE_BYTES, checkpoint_dir, dropping_shuffles, lean, remove, shuffle_partitions, table
 from .packed import pack, unpack
 
 LENGTH = 200
@@ -423,7 +423,8 @@ class _Store:
     def put(self, df: DataFrame) -> tuple[DataFrame, str]:
         path = f"{self.place}/{self.n}"
         self.n += 1
-        df.write.parquet(path)
+        with dropping_shuffles(self.spark):
+            df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path), path
 
     def drop(self, path: str) -> None:
