@@ -109,37 +109,47 @@ def _rows(data: bytes) -> pa.Table:
     return pa.ipc.open_stream(data).read_all().combine_chunks()
 
 
-def _blocks(length: int):
-    """Rows of about BLOCK_BYTES of text with their anchors."""
-
-    def flush(batches: list[pa.RecordBatch], block: int) -> pa.RecordBatch:
-        t = pa.Table.from_batches(batches).combine_chunks()
-        docs, parts, before = textnp.texts(t.column("text")), [], 0
-        for s in textnp.slices([len(d) for d in docs], SLICE_BYTES):
-            doc, *rest = anchors(docs[s], length)
-            parts.append((doc + before, *rest))
-            before += s.stop - s.start
-        doc, pos, back, counts, names = (np.concatenate(x) for x in zip(*parts))
-        bounds = np.searchsorted(doc, np.arange(len(docs) + 1))
-        state = (pack(bounds.astype(np.int32)), pack(pos.astype(np.int32)), pack(back.astype(np.uint8)), pack(counts.astype(np.uint8)), pack(names))
-        return pa.RecordBatch.from_arrays([pa.array([block]), pa.array([_ipc(t)]), pa.array([len(pos)], pa.int32()), *(pa.array([x]) for x in state)], names=["block", "rows", "n", "bounds", "pos", "back", "counts", "ranks"])
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of about BLOCK_BYTES of text."""
+    held, size, block = [], 0, TaskContext.get().partitionId() << 13
+
+    def flush() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([block]), pa.array([_ipc(pa.Table.from_batches(held))])], names=["block", "rows"])
+
+    for b in batches:
+        sizes = [x.as_py() or 0 for x in pa.compute.binary_length(b.column("text"))]
+        for s in textnp.slices(sizes, BLOCK_BYTES):
+            held.append(b.slice(s.start, s.stop - s.start))
+            size += sum(sizes[s])
+            if size >= BLOCK_BYTES:
+                yield flush()
+                held, size, block = [], 0, block + 1
+    if held:
+        yield flush()
+
+
+def _parsed(length: int):
+    """Anchors of every block, ranked by the names of two phrases."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, block = [], 0, TaskContext.get().partitionId() << 13
-        for b in batches:
-            sizes = [x.as_py() or 0 for x in pa.compute.binary_length(b.column("text"))]
-            for s in textnp.slices(sizes, BLOCK_BYTES):
-                held.append(b.slice(s.start, s.stop - s.start))
-                size += sum(sizes[s])
-                if size >= BLOCK_BYTES:
-                    yield flush(held, block)
-                    held, size, block = [], 0, block + 1
-        if held:
-            yield flush(held, block)
+        for row in _dicts(batches):
+            docs, parts, before = textnp.texts(_rows(row["rows"]).column("text")), [], 0
+            for s in textnp.slices([len(d) for d in docs], SLICE_BYTES):
+                doc, *rest = anchors(docs[s], length)
+                parts.append((doc + before, *rest))
+                before += s.stop - s.start
+            doc, pos, back, counts, names = (np.concatenate(x) for x in zip(*parts))
+            bounds = np.searchsorted(doc, np.arange(len(docs) + 1))
+            yield _state_row(row["block"], bounds, pos, back.astype(np.uint8), counts.astype(np.uint8), names)
 
     return run
 
 
+def _state_row(block: int, bounds, pos, back, counts, ranks) -> pa.RecordBatch:
+    data = [pack(x) for x in (bounds.astype(np.int32), pos.astype(np.int32), back, counts, ranks)]
+    return pa.RecordBatch.from_arrays([pa.array([block]), pa.array([len(pos)], pa.int32()), *(pa.array([x]) for x in data)], names=["block", "n", "bounds", "pos", "back", "counts", "ranks"])
+
+
 class State:
     """The anchors of a block; ranks are 0 for those that were dropped."""
 
@@ -168,8 +178,7 @@ class State:
         return some[go], mine[go], partner[go]
 
     def row(self) -> pa.RecordBatch:
-        data = [pack(x) for x in (self.bounds.astype(np.int32), self.pos.astype(np.int32), self.back, self.counts, self.ranks)]
-        return pa.RecordBatch.from_arrays([pa.array([self.block]), pa.array([len(self.pos)], pa.int32()), *(pa.array([x]) for x in data)], names=["block", "n", "bounds", "pos", "back", "counts", "ranks"])
+        return _state_row(self.block, self.bounds, self.pos, self.back, self.counts, self.ranks)
 
 
 def _equal(k1: np.ndarray, k2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -399,18 +408,24 @@ def _position_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         yield from _sent(row["block"], np.arange(len(k1)), k1, k2)
 
 
+def _positions_merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans of repeated positions of every block: (document, first, count), by document."""
+    for row in _dicts(batches):
+        doc, first, count = (unpack(row[c], np.int32) for c in ("docs", "firsts", "counts"))
+        k1, k2 = unpack(row["k1"], np.uint64), unpack(row["k2"], np.uint64)
+        more = np.sort(_spread(np.arange(len(k1)), k1, k2, *_answers(row, np.int64))[0])
+        doc = np.concatenate((doc, unpack(row["ask_docs"], np.int32)[more]))
+        first = np.concatenate((first, unpack(row["ask_at"], np.int32)[more]))
+        count = np.concatenate((count, np.ones(len(more), np.int32)))
+        order = np.lexsort((first, doc))
+        yield pa.RecordBatch.from_arrays([pa.array([row["block"]]), *(pa.array([pack(x[order])]) for x in (doc, first, count))], names=["block", "docs", "firsts", "counts"])
+
+
 def _spans(row: dict, n_docs: int) -> list[np.ndarray]:
     """For each document of a block its (first, count) of repeated positions."""
     doc, first, count = (unpack(row[c], np.int32) for c in ("docs", "firsts", "counts"))
-    k1, k2 = unpack(row["k1"], np.uint64), unpack(row["k2"], np.uint64)
-    got, _ = _spread(np.arange(len(k1)), k1, k2, *_answers(row, np.int64))
-    more = np.sort(got)
-    doc = np.concatenate((doc, unpack(row["ask_docs"], np.int32)[more]))
-    first = np.concatenate((first, unpack(row["ask_at"], np.int32)[more]))
-    count = np.concatenate((count, np.ones(len(more), np.int32)))
-    order = np.argsort(doc, kind="stable")
-    cuts = np.searchsorted(doc[order], np.arange(n_docs + 1))
-    pairs = np.stack([first[order], count[order]], 1).astype(np.int64)
+    cuts = np.searchsorted(doc, np.arange(n_docs + 1))
+    pairs = np.stack([first, count], 1).astype(np.int64)
     return [pairs[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
 
 
@@ -441,27 +456,24 @@ def _answered(state: DataFrame, entries: DataFrame, tell: Callable, rows: int, b
 
 
 def found(docs: DataFrame, store: _Store, length: int = LENGTH) -> DataFrame:
-    """block, rows (the input, by block) and what ``_spans`` reads."""
+    """block, rows (the input, by block) and its spans of repeated positions: docs, firsts, counts."""
     span = span_of(length)
-    blocks, _ = store.put(docs.mapInArrow(lean(_blocks(length)), "block long, rows binary, " + _STATE.removeprefix("block long, ")))
-    texts = blocks.select("block", "rows")
-    state, path = blocks.drop("rows"), None
-    covered = 0
-    while True:
-        rows = state.agg(F.sum("n")).first()[0] or 0
+    texts, _ = store.put(docs.mapInArrow(lean(_blocks), "block long, rows binary"))
+    state, path = store.put(texts.mapInArrow(lean(_parsed(length)), _STATE))
+    rows, covered = state.agg(F.sum("n")).first()[0] or 0, 0
+    while covered == 0 or not state.mapInArrow(lean(_round_entries(covered, span)), _ENTRY).isEmpty():
         entries = state.mapInArrow(lean(_round_entries(covered, span)), _ENTRY)
-        merged = _answered(state, entries, _reranked, rows).mapInArrow(lean(_round_merged(covered, span)), _STATE)
-        state, new = store.put(merged)
-        if path:
-            store.drop(path)
-        path, covered = new, 2 * covered or 2
-        if state.mapInArrow(lean(_round_entries(covered, span)), _ENTRY).isEmpty():
-            break
+        merged, new = store.put(_answered(state, entries, _reranked, rows).mapInArrow(lean(_round_merged(covered, span)), _STATE))
+        store.drop(path)
+        state, path, covered = merged, new, 2 * covered or 2
     whole = texts.join(state, "block")
     told = _answered(whole, whole.mapInArrow(lean(_run_entries(length)), _ENTRY), _runs_told, rows, by_first=True)
-    state, new = store.put(told.mapInArrow(lean(_runs_merged(length)), "block long, docs binary, firsts binary, counts binary, ask_docs binary, ask_at binary, k1 binary, k2 binary"))
+    asked, new = store.put(told.mapInArrow(lean(_runs_merged(length)), "block long, docs binary, firsts binary, counts binary, ask_docs binary, ask_at binary, k1 binary, k2 binary"))
     store.drop(path)
-    return _answered(texts.join(state, "block"), state.mapInArrow(lean(_position_entries), _ENTRY), _reranked, rows)
+    told = _answered(asked, asked.mapInArrow(lean(_position_entries), _ENTRY), _reranked, rows)
+    spans, _ = store.put(told.mapInArrow(lean(_positions_merged), "block long, docs binary, firsts binary, counts binary"))
+    store.drop(new)
+    return texts.join(spans, "block")
 
 
 def removal(spans: np.ndarray, length: int, n: int) -> np.ndarray:
