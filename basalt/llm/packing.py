@@ -19,6 +19,8 @@ import os
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -31,18 +33,42 @@ from .common import SLICE_BYTES, cut, lean, table
 
 CAPACITY = 2048
 END_ID = 0
-#: Words whose ids a worker remembers, about 50 bytes each.
-CACHE_WORDS = 1_000_000
+#: Slots for words whose ids a worker remembers (a power of two; 16 bytes each), and their ids altogether (4 bytes each) before it starts anew.
+CACHE_WORDS = 1 << 21
+CACHE_IDS = 8_000_000
 
 Bin = tuple[tuple[tuple[int, int], ...], int]  # ((length, how often), ...), number of such bins
 
 
+_SIGN = np.zeros(256, bool)
+_SIGN[list(b"!\"#$%&()*+,-./:;=?@[\\]^_`{}~")] = True
+_SOLID = np.zeros(256, bool)
+_SOLID[48:58] = _SOLID[65:91] = _SOLID[97:123] = True
+
+
+def split_tails(w: textnp.Words) -> np.ndarray:
+    """Parts words where a run of at most 8 signs ends them after an ASCII letter or digit; returns the documents' bounds over the parts.
+
+    Left out are < > | of special strings and the apostrophe of contractions: words that end in those stay whole.
+    """
+    end = w.ends.copy()
+    for _ in range(8):
+        end -= _SIGN[w.buf[end - 1]] & (end - 1 > w.starts)
+    cut = np.flatnonzero((end < w.ends) & _SOLID[w.buf[end - 1]])
+    starts, ends = np.insert(w.starts, cut + 1, end[cut]), np.insert(w.ends, cut, end[cut])
+    bounds = w.bounds + np.searchsorted(cut, w.bounds)
+    w.starts, w.ends = starts, ends
+    return bounds
+
+
 class WordIds:
     """Token ids of whole texts through a cache of words.
 
-    The tokenizer lower-cases, composes and splits between white space only, so a text's ids are those
-    of its words, one after the other; special strings have no white space in them. Words are looked up by
-    their 64-bit hashes in sorted arrays; of CACHE_WORDS words two share a hash with a probability of 1e-7.
+    The tokenizer lower-cases, composes and splits at white space, so a text's ids are those
+    of its words, one after the other; special strings have no white space in them. It also splits between a letter or digit
+    and punctuation that ends the word, so both are looked up apart, in lower case. A 64-bit hash names a
+    slot in the cache and is compared there; words that miss are tokenized once for the slice and take their slots.
+    Of CACHE_WORDS words two share a hash with a probability of 1e-7.
     """
 
     def __init__(self, path: str):
@@ -50,45 +76,76 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[i for x, i in vocabulary.items() if x.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
-        self.known = np.empty(0, np.uint64)
-        self.start, self.n = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.known = np.zeros(CACHE_WORDS, np.uint64)
+        self.start, self.n = np.zeros(CACHE_WORDS, np.int32), np.zeros(CACHE_WORDS, np.int32)
         self.pool, self.used = np.empty(1 << 16, np.uint32), 0
 
-    def _add(self, hashes: np.ndarray, words: list[str]) -> None:
-        """hashes: ascending, none of them known."""
-        ids = [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
-        n = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for x in ids for i in x), np.uint32, int(n.sum()))
-        while self.used + len(flat) > len(self.pool):
-            self.pool = np.concatenate((self.pool, np.empty_like(self.pool)))
-        self.pool[self.used : self.used + len(flat)] = flat
-        at = np.searchsorted(self.known, hashes)
-        self.start = np.insert(self.start, at, self.used + np.cumsum(n) - n)
-        self.n = np.insert(self.n, at, n)
-        self.known = np.insert(self.known, at, hashes)
-        self.used += len(flat)
-
-    def encode(self, docs: list[bytes]) -> list[np.ndarray]:
-        if len(self.known) > CACHE_WORDS or self.used > 8 * CACHE_WORDS:
+    def _ids(self, words: list[str]) -> list[tuple[list[int], np.ndarray]]:
+        """(positions in words, their ids, how many each has) of all words, in parts.
+
+        Words of letters alone are one unit to the tokenizer, whose last id is one of an end of unit; many of them are tokenized as one text.
+        """
+        plain = [k for k, x in enumerate(words) if x.isalpha() and (x.isascii() or (x.lower().isalpha() and is_normalized("NFC", x)))]
+        out, left = [], sorted(set(range(len(words))).difference(plain))
+        for i in range(0, len(plain), 256):
+            part = plain[i : i + 256]
+            ids = np.array(self.tokenizer.encode(" ".join([words[k] for k in part]), add_special_tokens=False).ids, np.uint32)
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            if len(ends) == len(part) and ends[-1] == len(ids):
+                out.append((part, ids, np.diff(ends, prepend=0)))
+            else:
+                left += part
+        if left:
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast([words[k] for k in left], add_special_tokens=False)]
+            n = np.fromiter(map(len, ids), np.int64, len(ids))
+            out.append((left, np.fromiter(chain.from_iterable(ids), np.uint32, int(n.sum())), n))
+        return out
+
+    def _add(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Where in the pool the ids of the words begin, and how many they are."""
+        start, n = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+        for part, ids, size in self._ids(words):
+            while self.used + len(ids) > len(self.pool):
+                self.pool = np.concatenate((self.pool, np.empty_like(self.pool)))
+            self.pool[self.used : self.used + len(ids)] = ids
+            start[part], n[part] = self.used + np.cumsum(size) - size, size
+            self.used += len(ids)
+        return start, n
+
+    def flat(self, docs: list[bytes], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all documents, each with ``end`` after it, and the documents' bounds."""
+        if self.used > CACHE_IDS:
             self.clear()
         w = textnp.Words(docs)
-        u, first, inverse = np.unique(w.hashes(), return_index=True, return_inverse=True)
-        at = np.searchsorted(self.known, u)
-        new = np.ones(len(u), bool)
-        inner = at < len(self.known)
-        new[inner] = self.known[at[inner]] != u[inner]
-        if new.any():
-            f = first[new]
-            self._add(u[new], [w.data[a:b].decode("utf-8", "replace") for a, b in zip(w.starts[f].tolist(), w.ends[f].tolist())])
-            at = np.searchsorted(self.known, u)
-        n, start = self.n[at][inverse], self.start[at][inverse]
+        bounds = split_tails(w)
+        h = np.maximum(w.hashes(lower=True), np.uint64(1))
+        slot = (h & np.uint64(CACHE_WORDS - 1)).astype(np.int64)
+        start, n = self.start[slot].astype(np.int64), self.n[slot].astype(np.int64)
+        miss = np.flatnonzero(self.known[slot] != h)
+        if len(miss):
+            u, first, inverse = np.unique(h[miss], return_index=True, return_inverse=True)
+            f = miss[first]
+            s, k = self._add([w.data[a:b].decode("utf-8", "replace") for a, b in zip(w.starts[f].tolist(), w.ends[f].tolist())])
+            start[miss], n[miss] = s[inverse], k[inverse]
+            self.known[slot[f]], self.start[slot[f]], self.n[slot[f]] = u, s, k
         ends = np.cumsum(n)
-        ids = self.pool[np.repeat(start - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
-        ends = np.concatenate(([0], ends))[w.bounds]
-        return [ids[a:b] for a, b in zip(ends[:-1], ends[1:])]
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - ends + n, n)
+        ids = self.pool[at]
+        bounds = np.concatenate(([0], ends))[bounds]
+        if end is not None:
+            ids = np.insert(ids, bounds[1:], np.uint32(end))
+            bounds = bounds + np.arange(len(bounds))
+        return ids, bounds
+
+    def encode(self, docs: list[bytes]) -> list[np.ndarray]:
+        ids, bounds = self.flat(docs)
+        return [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
 
 
 _coders: dict[str, WordIds] = {}
@@ -101,23 +158,37 @@ def coder(path: str) -> WordIds:
     return _coders[path]
 
 
+def numbered(length: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """The number of each piece among those of its length, after those ``seen`` before, which are counted on."""
+    order = np.argsort(length, kind="stable")
+    x = length[order]
+    first = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
+    size = np.diff(np.append(first, len(x)))
+    k = np.empty(len(x), np.int64)
+    k[order] = np.arange(len(x)) - np.repeat(first, size) + seen[x]
+    seen[x[first]] += size
+    return k
+
+
 def _pieces(path: str, capacity: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("part", pa.int32()), ("k", pa.int64())])
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "k"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, seen, part = coder(path), defaultdict(int), TaskContext.get().partitionId()
+        words, seen, part = coder(path), np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
         for batch in batches:
-            docs, keys = textnp.texts(batch.column("text")), batch.column("doc_id").to_pylist()
-            rows = []
+            docs, keys = textnp.texts(batch.column("text")), batch.column("doc_id")
             for s in textnp.slices([len(d) for d in docs], SLICE_BYTES):
-                for key, ids in zip(keys[s], words.encode(docs[s])):
-                    ids = np.append(ids, np.uint32(END_ID)).astype("<u4")
-                    for i in range(0, len(ids), capacity):
-                        x = ids[i : i + capacity]
-                        rows.append((key, i // capacity, i, len(x), zlib.crc32(x.tobytes()), part, seen[len(x)]))
-                        seen[len(x)] += 1
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+                ids, bounds = words.flat(docs[s], END_ID)
+                n = np.diff(bounds)
+                several = -(-n // capacity)
+                doc = np.repeat(np.arange(len(n)), several)
+                piece = np.arange(len(doc)) - np.repeat(np.cumsum(several) - several, several)
+                start = piece * capacity
+                length = np.minimum(n[doc] - start, capacity)
+                data, at = memoryview(ids.astype("<u4").tobytes()), (bounds[:-1][doc] + start) * 4
+                crc = [zlib.crc32(data[a:b]) for a, b in zip(at.tolist(), (at + 4 * length).tolist())]
+                columns = [keys.slice(s.start, s.stop - s.start).take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(np.full(len(doc), part, np.int32)), pa.array(numbered(length, seen))]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
 

@@ -167,6 +167,15 @@ def test_packing_ids_offsets_and_count(spark):
     assert packing.pack(frame(spark, rows).limit(0), path).count() == 0
 
 
+def test_word_cache_gives_the_ids_of_whole_texts():
+    coder = packing.WordIds(packing.tokenizer_path())
+    r = random.Random(4)
+    odd = ["it's", "It'S,", "don't.", "'tis", "x'", "a','", "İstanbul", "i\u0307x", "e\u0301te.", "ÉTÉ!", "<|endoftext|>", "<|endoftext|>.", "a<|startoftext|>b,", "...", "a...", "1,2.3.", "A1-b2-", "ﬁn", "Ａb", "\u00a0x", "a\u2028b", "ß,", "日本。", "x" * 300 + "!" * 30, "\x01", "a\x01.", "≠", "<\u0338.", "=\u0338", "a=\u0338", "ǅ", "ͅa", "ʼn"]
+    for text in [" ".join(r.choice(odd) for _ in range(n)) for n in range(1, 60)] + odd + ["", "  ", "\n\t a"]:
+        for _ in range(2):
+            assert coder.encode([text.encode()])[0].tolist() == coder.tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
 def test_solver_places_every_piece():
     r = random.Random(2)
     for cap, n in ((10, 50), (100, 700), (64, 1)):
