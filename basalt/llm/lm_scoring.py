@@ -39,6 +39,10 @@ CLASSES = SUBCLASSES = 32
 FEATURES = 4
 ROWS1, ROWS2 = 1 << 14, 1 << 16
 EPOCHS, BATCH, RATE = 1, 4096, 0.3
+#: Rows of floats handled at once, so that they stay in the cache.
+CHUNK = 2048
+#: Tokens of a batch to a weight row whose gradients are added one by one.
+FEW = 8
 BUFFER_BYTES = 12 << 20
 END = U64(0x5DEECE66D1234567)
 CHUNK_ROWS = 1 << 12
@@ -143,42 +147,67 @@ class Model:
         return ROWS1 + (textnp.mix(ctx + c.astype(U64) * U64(0xC2B2AE3D27D4EB4F)) & U64(ROWS2 - 1)).astype(np.int64)
 
     def logits(self, rows: np.ndarray, bias: np.ndarray) -> np.ndarray:
-        z = bias + self.w[rows[0]]
+        z = self.w.take(rows[0], 0)
         for r in rows[1:]:
-            z += self.w[r]
+            z += self.w.take(r, 0)
+        z += bias
         return z
 
     def leaf_scores(self, ctx: np.ndarray, leaf: np.ndarray) -> np.ndarray:
         """Natural log of P(leaf | context)."""
         out = np.empty(len(leaf))
-        for s in range(0, len(leaf), 8192):
-            x, y = ctx[:, s : s + 8192], leaf[s : s + 8192]
+        for s in range(0, len(leaf), CHUNK):
+            x, y = ctx[:, s : s + CHUNK], leaf[s : s + CHUNK]
             c, d, i = y // SUBCLASSES, y % SUBCLASSES, np.arange(len(y))
             total = np.zeros(len(y), np.float32)
             for rows, bias, target in ((self.rows1(x), self.b1, c), (self.rows2(x, c), self.b2[c], d)):
                 z = self.logits(rows, bias)
-                top = z.max(1)
-                total += z[i, target] - top - np.log(np.exp(z - top[:, None]).sum(1))
-            out[s : s + 8192] = total
+                z -= z.max(1, keepdims=True)
+                total += z[i, target]
+                np.exp(z, out=z)
+                total -= np.log(z.sum(1))
+            out[s : s + CHUNK] = total
         return out
 
     def step(self, ctx: np.ndarray, leaf: np.ndarray, acc: np.ndarray) -> None:
         c, d, i = leaf // SUBCLASSES, leaf % SUBCLASSES, np.arange(len(leaf))
         for rows, bias, target in ((self.rows1(ctx), self.b1, c), (self.rows2(ctx, c), self.b2[c], d)):
-            z = self.logits(rows, bias)
-            g = np.exp(z - z.max(1, keepdims=True))
+            g = self.logits(rows, bias)
+            g -= g.max(1, keepdims=True)
+            np.exp(g, out=g)
             g /= g.sum(1, keepdims=True)
             g[i, target] -= 1
             entry = np.sort((rows << 20 | i).ravel())  # by row, then token
             flat, of = entry >> 20, entry & 0xFFFFF
             at = np.flatnonzero(np.concatenate(([True], flat[1:] > flat[:-1])))
             size = np.diff(np.append(at, len(flat)))
-            row, grad = flat[at], g[of[at]]
-            many = size > 1
-            if many.any():  # rows that one token alone touches need no sum
-                grad[many] = np.add.reduceat(g[of[np.repeat(many, size)]], np.cumsum(size[many]) - size[many])
-            acc[row] += (grad * grad).mean(1)
-            self.w[row] -= RATE * grad / np.sqrt(acc[row] + 1.0)[:, None]
+            squares = np.einsum("ij,ij->i", g, g)
+            one = size == 1
+            self._descend(flat[at[one]], of[at[one]], g, squares, acc)
+            # Rows that several tokens touch need the sum: a pass for each of few tokens, one over segments for many.
+            some = np.flatnonzero((size > 1) & (size <= FEW))
+            if len(some):
+                some = some[np.argsort(-size[some], kind="stable")]
+                first, n = at[some], np.searchsorted(-size[some], -np.arange(FEW), "left")
+                grad = g.take(of[first], 0)
+                for k in range(1, FEW):
+                    grad[: n[k]] += g.take(of[first[: n[k]] + k], 0)
+                self._descend(flat[first], np.arange(len(grad)), grad, np.einsum("ij,ij->i", grad, grad), acc)
+            many = size > FEW
+            if many.any():
+                grad = np.add.reduceat(g.take(of[np.repeat(many, size)], 0), np.cumsum(size[many]) - size[many])
+                self._descend(flat[at[many]], np.arange(len(grad)), grad, np.einsum("ij,ij->i", grad, grad), acc)
+
+    def _descend(self, row: np.ndarray, of: np.ndarray, grad: np.ndarray, squares: np.ndarray, acc: np.ndarray) -> None:
+        """One step of distinct rows along the gradients ``of``, by the mean squares seen so far."""
+        now = acc[row] + squares[of] / CLASSES
+        acc[row] = now
+        scale = (RATE / np.sqrt(now + 1.0))[:, None]
+        for s in range(0, len(row), CHUNK):
+            part = row[s : s + CHUNK]
+            change = grad.take(of[s : s + CHUNK], 0)
+            change *= scale[s : s + CHUNK]
+            self.w[part] = self.w.take(part, 0) - change
 
 
 def _payloads(batches: Iterator[pa.RecordBatch]):
