@@ -49,6 +49,8 @@ WINDOW, GRAM = 40, 8
 BLOCK_BYTES = 4 << 20
 #: Rows of a sort to a partition, about, where the shuffle partitions of the session would hold more.
 SORT_ROWS = 4_000_000
+#: Blocks to a partition, about, likewise; a task's blocks may be in memory at once.
+TASK_BLOCKS = 6
 #: Answers that a sorting task holds before it passes them on.
 HELD = 400_000
 _NUMBER = 30  # bits of the number within a block
@@ -446,12 +448,23 @@ class _Store:
         remove(self.spark, path)
 
 
-def _answered(state: DataFrame, entries: DataFrame, tell: Callable, rows: int, by_first: bool = False) -> DataFrame:
-    """Sorts entries by their pairs, and joins what ``tell`` says of them to the blocks."""
-    n = max(shuffle_partitions(state.sparkSession), -(-rows // SORT_ROWS))
+class _Deal:
+    """How many partitions blocks and entries are dealt over, from their numbers."""
+
+    def __init__(self, state: DataFrame):
+        count = state.agg(F.count("*").alias("blocks"), F.sum("n").alias("rows")).first()
+        least = shuffle_partitions(state.sparkSession)
+        self.blocks, self.rows = max(least, -(-count.blocks // TASK_BLOCKS)), max(least, -(-(count.rows or 0) // SORT_ROWS))
+
+    def by_block(self, df: DataFrame) -> DataFrame:
+        return df.repartition(self.blocks, "block")
+
+
+def _answered(state: DataFrame, entries: DataFrame, tell: Callable, deal: _Deal, by_first: bool = False) -> DataFrame:
+    """Sorts entries by their pairs, and joins what ``tell`` says of them to the blocks, which are dealt by block."""
     keys = ["k1"] if by_first else ["k1", "k2"]
-    sorted_ = entries.repartition(n, *keys).sortWithinPartitions("k1", "k2", "id")
-    told = sorted_.mapInArrow(lean(tell), _ANSWER).groupBy("block").agg(F.collect_list(F.struct("ids", "values")).alias("answers"))
+    sorted_ = entries.repartition(deal.rows, *keys).sortWithinPartitions("k1", "k2", "id")
+    told = deal.by_block(sorted_.mapInArrow(lean(tell), _ANSWER)).groupBy("block").agg(F.collect_list(F.struct("ids", "values")).alias("answers"))
     return state.join(told, "block", "left")
 
 
@@ -460,20 +473,20 @@ def found(docs: DataFrame, store: _Store, length: int = LENGTH) -> DataFrame:
     span = span_of(length)
     texts, _ = store.put(docs.mapInArrow(lean(_blocks), "block long, rows binary"))
     state, path = store.put(texts.mapInArrow(lean(_parsed(length)), _STATE))
-    rows, covered = state.agg(F.sum("n")).first()[0] or 0, 0
+    deal, covered = _Deal(state), 0
     while covered == 0 or not state.mapInArrow(lean(_round_entries(covered, span)), _ENTRY).isEmpty():
         entries = state.mapInArrow(lean(_round_entries(covered, span)), _ENTRY)
-        merged, new = store.put(_answered(state, entries, _reranked, rows).mapInArrow(lean(_round_merged(covered, span)), _STATE))
+        merged, new = store.put(_answered(deal.by_block(state), entries, _reranked, deal).mapInArrow(lean(_round_merged(covered, span)), _STATE))
         store.drop(path)
         state, path, covered = merged, new, 2 * covered or 2
-    whole = texts.join(state, "block")
-    told = _answered(whole, whole.mapInArrow(lean(_run_entries(length)), _ENTRY), _runs_told, rows, by_first=True)
+    whole = deal.by_block(texts).join(deal.by_block(state), "block")
+    told = _answered(whole, whole.mapInArrow(lean(_run_entries(length)), _ENTRY), _runs_told, deal, by_first=True)
     asked, new = store.put(told.mapInArrow(lean(_runs_merged(length)), "block long, docs binary, firsts binary, counts binary, ask_docs binary, ask_at binary, k1 binary, k2 binary"))
     store.drop(path)
-    told = _answered(asked, asked.mapInArrow(lean(_position_entries), _ENTRY), _reranked, rows)
+    told = _answered(deal.by_block(asked), asked.mapInArrow(lean(_position_entries), _ENTRY), _reranked, deal)
     spans, _ = store.put(told.mapInArrow(lean(_positions_merged), "block long, docs binary, firsts binary, counts binary"))
     store.drop(new)
-    return texts.join(spans, "block")
+    return deal.by_block(texts).join(deal.by_block(spans), "block")
 
 
 def removal(spans: np.ndarray, length: int, n: int) -> np.ndarray:
