@@ -22,7 +22,7 @@ def build_graph(facts: dict[str, DataFrame], files: DataFrame) -> dict[str, Data
     owner = symbols.select("file", F.array_join(F.concat("container", F.array("name")), ".").alias("path"), F.col("id").alias("_owner")).groupBy("file", "path").agg(F.min("_owner").alias("_owner"))
     refs = refs.withColumn("path", F.array_join("scope", ".")).join(owner, ["file", "path"], "left").withColumn("from_id", F.coalesce("_owner", F.concat(F.lit("file:"), "file"))).drop("_owner", "path")
     reach = resolve.closure(targets.select("file", "target")) if "imports" in facts else None
-    resolved = resolve.edges_of(resolve.resolve(refs, symbols, reach)).select("src", "dst", "kind", "provenance", "weight")
+    resolved = resolve.edges_of(refs, symbols, reach).select("src", "dst", "kind", "provenance", "weight")
     kin = facts["supertypes"].withColumn("base", F.element_at(F.split("base", r"\."), -1)).join(symbols.filter("family = 'class'").select("file", F.col("name").alias("type"), F.col("id").alias("src")), ["file", "type"]).join(symbols.filter("family = 'class'").select(F.col("name").alias("base"), F.col("id").alias("dst")), "base").select("src", "dst", F.lit("extends").alias("kind"), F.lit("declared").alias("provenance"), F.lit(1).cast("long").alias("weight"))
     edges = graph.containment(files).unionByName(graph.symbol_containment(symbols)).unionByName(imports).unionByName(resolved).unionByName(kin)
     file_nodes = files.select(F.concat(F.lit("file:"), "path").alias("id"), F.lit("file").alias("kind"), F.col("path").alias("file"), F.regexp_replace("path", "/?[^/]*$", "").alias("folder"), F.col("path").alias("name"))
