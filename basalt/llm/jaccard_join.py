@@ -47,8 +47,9 @@ SKETCH = 1 << 23
 SKETCH_CHUNK = 1 << 17
 #: Sets under one key that are paired directly.
 FEW = 12
-#: Shingles of a block of a crowd, about.
+#: Shingles of a block of a crowd, about; and its sets, about: two blocks are compared as one matrix.
 BLOCK_SHINGLES = 400_000
+BLOCK_SETS = 1024
 #: Sets of a group of candidates that is compared at once, at most.
 GROUP_SETS = 2048
 BUFFER_ENTRIES = 600_000
@@ -302,7 +303,10 @@ def _compare(t: Fraction):
             m = np.zeros((len(sets), width), np.float32)
             m[of[s], at[s] - w] = 1
             overlap += m @ m.T
-        links = similar(overlap.astype(np.int64), n[:, None], n[None, :], t)
+        links = np.empty(overlap.shape, bool)
+        for w in range(0, len(sets), 256):  # a strip at a time in whole numbers
+            links[w : w + 256] = similar(overlap[w : w + 256].astype(np.int64), n[w : w + 256, None], n[None, :], t)
+        del overlap
         np.fill_diagonal(links, False)
         side = g["side"].to_numpy()
         links &= side[:, None] != side[None, :]
@@ -360,7 +364,7 @@ def links(docs: DataFrame, k: int = 4, threshold: Fraction = Fraction(85, 100))
     linked = verified(pairs.join(group.select(F.col("id").alias("a"), "group_id"), "a").join(small, "group_id", "left_anti").select("a", "b"))
     # Crowds: blocks by (crowd, size level, hash); a task has block i of a level with block j >= i of it, or with one of the next level.
     sized = sized.join(in_crowd, F.col("doc_id") == F.col("id")).select("doc_id", "n", "weight", "crowd_id").withColumn("level", F.floor(F.log("n") / F.lit(prefixes.base)).cast("int"))
-    n_blocks = sized.groupBy("crowd_id", "level").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
+    n_blocks = sized.groupBy("crowd_id", "level").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_SETS)).cast("int").alias("blocks"))
     here, above, below = (n_blocks.select("crowd_id", (F.col("level") + d).alias("level"), F.col("blocks").alias(c)) for d, c in ((0, "nb"), (-1, "na"), (1, "nu")))
     placed = sized.join(here, ["crowd_id", "level"]).join(above, ["crowd_id", "level"], "left").join(below, ["crowd_id", "level"], "left").withColumn("i", F.pmod(F.xxhash64("doc_id"), F.col("nb")).cast("int"))
     upto = lambda c: F.when(F.coalesce(F.col(c), F.lit(0)) > 0, F.sequence(F.lit(0), F.col(c) - 1)).otherwise(F.array().cast("array<int>"))

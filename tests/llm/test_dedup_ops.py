@@ -63,6 +63,12 @@ def test_jaccard_counts_every_link(docs, monkeypatch, few, block):
     assert {r.doc_id: r.n_links for r in jaccard_join.links(docs).collect()} == brute_links(corpus())
 
 
+def test_jaccard_blocks_are_bounded_by_sets(docs, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "FEW", 2)
+    monkeypatch.setattr(jaccard_join, "BLOCK_SETS", 8)
+    assert {r.doc_id: r.n_links for r in jaccard_join.links(docs).collect()} == brute_links(corpus())
+
+
 def test_jaccard_tells_a_chain_from_a_triangle(spark):
     w = [f"w{i}" for i in range(100)]
     chain = [w, [f"x{i}" for i in range(10)] + w, w + [f"y{i}" for i in range(12)]]
