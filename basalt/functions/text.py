@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Fixed value: words that carry no meaning in an identifier.
-STOP_WORDS = ("the", "and", "for", "get", "set", "has", "new", "from", "with")
+#: Words of programming languages, and words too common in code, that tell nothing of a symbol.
+STOP_WORDS = (
+    "const let var function return this self def class public private protected static void string number boolean "
+    "any null undefined true false none nil new await async import export from require module end else elif then "
+    "while for each case switch break continue try catch finally throw raise yield type interface extends implements "
+    "readonly unknown never object array map set get has err error value values item items data result args opts"
+).split(" ")
 
 
 def dirname(path: Column) -> Column:
@@ -56,10 +61,10 @@ def suffixes(path: Column) -> Column:
 
 
 def identifier_words(name: Column) -> Column:
-    """camelCase and snake_case parts in lower case, of three characters at least, without stop words."""
+    """camelCase and snake_case parts in lower case, of three characters at least, as often as they occur, without stop words."""
     spaced = F.regexp_replace(F.regexp_replace(name, "([a-z0-9])([A-Z])", "$1 $2"), "([A-Z]+)([A-Z][a-z])", "$1 $2")
     words = F.split(F.lower(F.regexp_replace(spaced, "[^A-Za-z0-9]+", " ")), " +")
-    return F.array_except(F.filter(words, lambda w: F.length(w) >= 3), F.array(*map(F.lit, STOP_WORDS)))
+    return F.filter(words, lambda w: (F.length(w) >= 3) & ~w.isin(*STOP_WORDS))
 
 
 def normalized_source(text: Column) -> Column:

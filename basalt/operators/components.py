@@ -33,4 +33,6 @@ def components(edges: DataFrame) -> DataFrame:
         if now == seen:
             break
         seen = now
+    else:
+        raise RuntimeError(f"components: stars still changed after {ROUNDS} rounds")
     return e.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(e.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())

@@ -3,6 +3,8 @@ import datetime
 import pytest
 
 import __spark_entry__ as entry
+from pyspark.sql import functions as F
+
 from basalt.operators import diff, extract, navigate, quality, ranking, resolve
 from basalt.plans import analyze, facts, queries
 from basalt.sources import cache, scan, sheets
@@ -100,6 +102,19 @@ def test_resolution_stages(spark):
     assert got["one"] == [("global-uniqueness", "resolved", "s5")] and {x[:2] for x in got["recv"]} == {("typeless-receiver", "ambiguous")}
 
 
+def test_contexts_stand_for_their_references(spark):
+    sym = spark.createDataFrame([(f"s{i}", f"{'ab'[i % 2]}/x{i}", "run", [], "function", True, False) for i in range(6)] + [("t", "a/t", "only", [], "class", True, False)], "id string, file string, name string, container array<string>, family string, exported boolean, member_of_class_like boolean")
+    base = dict(role="read", scope=[], qualifier=None, qualifier_is_bare_constant=False, shadowed_locally=False, in_type_slot=False)
+    refs = [base | dict(ref_id=f"r{k}", file="q/f", name="only" if k % 2 else "run", is_callee=k % 3 == 0, from_id=f"u{k}") for k in range(12)] + [base | dict(ref_id="lost", file="q/f", name="only", role="key", is_callee=False, from_id="u")]
+    df = spark.createDataFrame(refs, "ref_id string, file string, name string, role string, scope array<string>, qualifier string, qualifier_is_bare_constant boolean, shadowed_locally boolean, is_callee boolean, in_type_slot boolean, from_id string")
+    few = resolve.contexts(df)
+    assert few.count() == 5 and few.agg(F.sum("n_refs")).first()[0] == 13
+    told = {(r.stage, r.outcome): r.n for r in resolve.funnel(resolve.resolve_contexts(few, sym)).collect()}
+    assert told == {("global-uniqueness", "resolved"): 6, ("unresolved", "ambiguous"): 6, ("syntactic-role", "rejected"): 1}
+    edges = {(r.src, r.dst, r.kind, len(r.alternatives or [])) for r in resolve.edges_of(df, sym).collect()}
+    assert edges == {(f"u{k}", "t" if k % 2 else "s0", "references" if k % 3 else "calls", 0 if k % 2 else 6) for k in range(12)}
+
+
 def test_diff_and_navigation(spark):
     cols = "row int, id string, content_key string, location_key string, file string, kind string, start_line int, end_line int"
     b = spark.createDataFrame([(1, "a", "c1", "l1", "f", "k", 1, 2), (2, "b", "c2", "l2", "f", "k", 5, 6), (3, "x", "c3", "l3", "f", "k", 12, 13), (4, "z", "c9", "l9", "g", "k", 1, 1)], cols)
