@@ -19,8 +19,8 @@ rows, and every link between different sets is verified and counted.
 ``n_links`` of a row counts the other rows that are similar to it, equal ones included.
 
 Null and empty texts have empty sets and link with nothing; shorter texts than a shingle are one shingle.
-Rows with equal doc_ids and equal texts are one class; with different texts the id is in two classes, and both
-rows report the smallest component and the larger count. Null doc_ids are reported unlinked, each row on its own. An empty table
+Rows with equal doc_ids and equal texts are one class; with different texts the id is in two classes, every text of it is
+compared, and its rows report the smallest component and the links of the id. Null doc_ids are reported unlinked, each row on its own. An empty table
 gives no rows. Other columns are ignored.
 """
 
@@ -287,7 +287,7 @@ def _compare(t: Fraction):
     """Links between different sides of a task: a spanning forest (a, b), and the weight that each set links with (a, n)."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        g = group.drop_duplicates("doc_id")
+        g = group if group["doc_id"].is_unique else group.drop_duplicates(["doc_id", "shingles"])
         sets = [unpack_sorted(x) for x in g["shingles"]]
         n = np.array([len(s) for s in sets], np.int64)
         flat, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
@@ -357,7 +357,7 @@ def links(docs: DataFrame, k: int = 4, threshold: Fraction = Fraction(85, 100))
     names = sets.filter("n > 0 AND doc_id IS NOT NULL")
     classes = cut(names.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).filter("c > 1"))
     weights = classes.groupBy("rep").agg(F.max("c").alias("weight"))
-    sized = cut(names.groupBy("doc_id").agg(F.max("n").alias("n")).join(wanted, F.col("doc_id") == wanted["id"], "left_semi").join(weights, F.col("doc_id") == F.col("rep"), "left").select("doc_id", "n", F.coalesce("weight", F.lit(1)).cast("long").alias("weight")))
+    sized = cut(names.select("doc_id", "n").distinct().join(wanted, F.col("doc_id") == wanted["id"], "left_semi").join(weights, F.col("doc_id") == F.col("rep"), "left").select("doc_id", "n", F.coalesce("weight", F.lit(1)).cast("long").alias("weight")))
     group = cut(components(pairs).select("id", F.col("component").alias("group_id")))
     grouped = sized.join(group, F.col("doc_id") == F.col("id")).select("doc_id", "n", "weight", "group_id")
     small = cut(grouped.groupBy("group_id").agg(F.sum("n").alias("n"), F.count("*").alias("c")).filter((F.col("n") <= BLOCK_SHINGLES) & (F.col("c") <= GROUP_SETS)).select("group_id"))
@@ -376,9 +376,9 @@ def links(docs: DataFrame, k: int = 4, threshold: Fraction = Fraction(85, 100))
     )
     # A side is not compared with itself: blocks of two have other tasks for that, and pairs within a crowd the crowd's.
     side = F.when(F.col("t.kind") == 1, F.col("level")).when(F.col("t.i") == F.col("t.j"), F.col("doc_id")).otherwise(F.col("i")).cast("long")
-    crowded = placed.select("doc_id", "weight", "crowd_id", "level", "i", F.explode(tasks).alias("t")).select("doc_id", "weight", "crowd_id", "t", side.alias("side"))
-    whole = grouped.join(small, "group_id", "left_semi").join(in_crowd, F.col("doc_id") == F.col("id"), "left").select("doc_id", "weight", F.col("group_id").alias("crowd_id"), task(F.lit(0), 2, F.lit(0), F.lit(0)).alias("t"), F.coalesce("crowd_id", "doc_id").alias("side"))
-    compared = cut(crowded.unionByName(whole).join(packed.select("doc_id", "shingles"), "doc_id").groupBy("crowd_id", "t").applyInPandas(_compare(t), "a long, b long, n long"))
+    crowded = placed.select("doc_id", "n", "weight", "crowd_id", "level", "i", F.explode(tasks).alias("t")).select("doc_id", "n", "weight", "crowd_id", "t", side.alias("side"))
+    whole = grouped.join(small, "group_id", "left_semi").join(in_crowd, F.col("doc_id") == F.col("id"), "left").select("doc_id", "n", "weight", F.col("group_id").alias("crowd_id"), task(F.lit(0), 2, F.lit(0), F.lit(0)).alias("t"), F.coalesce("crowd_id", "doc_id").alias("side"))
+    compared = cut(crowded.unionByName(whole).join(packed.select("doc_id", "n", "shingles"), ["doc_id", "n"]).groupBy("crowd_id", "t").applyInPandas(_compare(t), "a long, b long, n long"))
     edges = components(linked.unionByName(compared.filter("b IS NOT NULL").select("a", "b")))
     ends = linked.unionByName(linked.select(F.col("b").alias("a"), F.col("a").alias("b")))
     single = ends.join(weights.select(F.col("rep").alias("b"), "weight"), "b", "left").select("a", F.coalesce("weight", F.lit(1)).alias("n"))

@@ -79,6 +79,18 @@ def test_jaccard_tells_a_chain_from_a_triangle(spark):
         assert {r.doc_id: r.n_links for r in got} == want and {r.component_id for r in got} == {0}
 
 
+@pytest.mark.parametrize("size", [40, 160])
+def test_jaccard_id_in_two_crowds(spark, monkeypatch, size):
+    monkeypatch.setattr(jaccard_join, "FEW", 4)
+    texts = lambda v, n: [" ".join([f"{v}{i}" for i in range(n)] + [f"{v}x{j}"]) for j in range(12)]
+    ids = [*range(1, 12), 50], [*range(50, 62)]
+    rows = [(i, t, 1, "x", "y") for group, t_ in zip(ids, (texts("a", 40), texts("b", size))) for i, t in zip(group, t_)]
+    rows.append((99, "a solitary text of its own that nothing else repeats", 1, "x", "y"))
+    got = jaccard_join.links(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == sorted((i, 99 if i == 99 else 1) for i, *_ in rows)
+    assert all(r.n_links == (0 if r.doc_id == 99 else 22 if r.doc_id == 50 else 11) for r in got)
+
+
 def test_substring(docs):
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in substring_dedup.dedup(docs).collect()}
     assert got == brute.windows(corpus())
