@@ -12,8 +12,21 @@ from ..operators import detect_inter, detect_intra  # noqa: F401  they register
 from ..sources import scan
 
 
+def typed_edges(slots: DataFrame, owner: DataFrame, types: DataFrame) -> DataFrame:
+    """``declares-type`` edges from owners of written types: of one file's own type or the only one of that name declared, of several ambiguous.
+
+    slots: file, scope, type; owner: file, path, _owner; types: _file, type, type_id. Names that no type has give no edge.
+    """
+    named = types.groupBy("type").agg(F.count("*").alias("_n"), F.min("type_id").alias("_any"))
+    here = types.groupBy(F.col("_file").alias("file"), "type").agg(F.min("type_id").alias("_here"))
+    s = slots.withColumn("path", F.array_join("scope", ".")).groupBy("file", "path", "type").agg(F.count("*").alias("weight"))
+    j = s.join(owner, ["file", "path"]).join(named, "type").join(here, ["file", "type"], "left")
+    sure = F.col("_here").isNotNull() | (F.col("_n") == 1)
+    return j.select(F.col("_owner").alias("src"), F.coalesce("_here", "_any").alias("dst"), F.lit("declares-type").alias("kind"), F.when(sure, F.lit("declared")).otherwise(F.lit("ambiguous")).alias("provenance"), "weight").filter("src <> dst")
+
+
 def build_graph(facts: dict[str, DataFrame], files: DataFrame) -> dict[str, DataFrame]:
-    """Adds nodes and edges to extracted facts: containment, imports, resolved references, inheritance."""
+    """Adds nodes and edges to extracted facts: containment, imports, resolved references, inheritance, constructor calls, written types, functions as values, matching signatures."""
     symbols = occurrence(facts["symbols"]).join(files.select(F.col("path").alias("file"), "language"), "file", "left_semi")
     targets = resolve.import_targets(facts["imports"], files)
     imports = targets.select(F.concat(F.lit("file:"), "file").alias("src"), F.concat(F.lit("file:"), "target").alias("dst"), F.lit("imports").alias("kind"), F.lit("declared").alias("provenance"), F.lit(1).cast("long").alias("weight"))
@@ -22,12 +35,20 @@ def build_graph(facts: dict[str, DataFrame], files: DataFrame) -> dict[str, Data
     owner = symbols.select("file", F.array_join(F.concat("container", F.array("name")), ".").alias("path"), F.col("id").alias("_owner")).groupBy("file", "path").agg(F.min("_owner").alias("_owner"))
     refs = refs.withColumn("path", F.array_join("scope", ".")).join(owner, ["file", "path"], "left").withColumn("from_id", F.coalesce("_owner", F.concat(F.lit("file:"), "file"))).drop("_owner", "path")
     reach = resolve.closure(targets.select("file", "target")) if "imports" in facts else None
-    resolved = resolve.edges_of(refs, symbols, reach).select("src", "dst", "kind", "provenance", "weight")
+    resolved = cut(resolve.edges_of(refs, symbols, reach).select("src", "dst", "kind", "provenance", "weight"))
     kin = facts["supertypes"].withColumn("base", F.element_at(F.split("base", r"\."), -1)).join(symbols.filter("family = 'class'").select("file", F.col("name").alias("type"), F.col("id").alias("src")), ["file", "type"]).join(symbols.filter("family = 'class'").select(F.col("name").alias("base"), F.col("id").alias("dst")), "base").select("src", "dst", F.lit("extends").alias("kind"), F.lit("declared").alias("provenance"), F.lit(1).cast("long").alias("weight"))
+    types = symbols.filter("family = 'class'").select(F.col("file").alias("_file"), F.col("name").alias("type"), F.col("id").alias("type_id"))
+    made = resolved.filter("kind = 'calls'").join(types.select(F.col("type_id").alias("dst")).distinct(), "dst", "left_semi").withColumn("kind", F.lit("instantiates"))
+    written = typed_edges(facts["typed_slots"], owner, types)
+    members = facts["members"].join(types.select(F.col("_file").alias("file"), "type", "type_id").groupBy("file", "type").agg(F.min("type_id").alias("type_id")), ["file", "type"], "left")
+    answers = resolve.satisfies(members.filter("kind = 'method' AND type_id IS NOT NULL AND name NOT LIKE '\\_\\_%'").select(F.col("type_id").alias("type"), "name", "arity")).withColumns({"kind": F.lit("satisfies"), "weight": F.lit(1).cast("long")})
+    derived = [x.select("src", "dst", "kind", "provenance", "weight") for x in (made, resolve.carries(resolved, symbols), written, answers)]
     edges = graph.containment(files).unionByName(graph.symbol_containment(symbols)).unionByName(imports).unionByName(resolved).unionByName(kin)
+    for x in derived:
+        edges = edges.unionByName(x)
     file_nodes = files.select(F.concat(F.lit("file:"), "path").alias("id"), F.lit("file").alias("kind"), F.col("path").alias("file"), F.regexp_replace("path", "/?[^/]*$", "").alias("folder"), F.col("path").alias("name"))
     nodes = file_nodes.unionByName(symbols.select("id", F.lit("symbol").alias("kind"), "file", F.regexp_replace("file", "/?[^/]*$", "").alias("folder"), "name", "family", "arity", "exported", "member_of_class_like", "start_line", "end_line"), allowMissingColumns=True)
-    return facts | {"nodes": cut(nodes), "edges": cut(graph.merge_edges(edges)), "files": files.select("path", "language")}
+    return facts | {"members": members, "nodes": cut(nodes), "edges": cut(graph.merge_edges(edges)), "files": files.select("path", "language")}
 
 
 def analyze(spark: SparkSession, files: DataFrame, two_pass: bool = True) -> dict[str, DataFrame]:

@@ -5,7 +5,7 @@ import pytest
 import __spark_entry__ as entry
 from pyspark.sql import functions as F
 
-from basalt.operators import diff, extract, navigate, quality, ranking, resolve
+from basalt.operators import detect, diff, extract, navigate, quality, ranking, resolve
 from basalt.plans import analyze, facts, queries
 from basalt.sources import cache, scan, sheets
 from basalt.streaming import incremental
@@ -181,6 +181,83 @@ def test_extract_and_analyze(spark):
     assert len(extract.SCHEMAS) >= 15
 
 
+DECIDING = '''
+class Shape:
+    side: Canvas
+    _hidden: int = 0
+
+    @property
+    def area(self):
+        return self.side
+
+class Canvas:
+    def draw(self, pen):
+        return pen
+    def wipe(self, all_of_it):
+        return all_of_it
+
+class Wall:
+    def draw(self, pen):
+        return pen
+    def wipe(self, all_of_it):
+        return all_of_it
+    def paint(self):
+        return Canvas()
+
+class Odd(Canvas):
+    def wipe(self, ignored):
+        return 1
+
+def choose(shape, unread, a, b, c):
+    total: int = 0
+    spare: int
+    if a:
+        total = 1
+    if b:
+        total += 2
+    if c:
+        total = total * 3
+    if isinstance(shape, Shape):
+        return total
+    elif isinstance(shape, Canvas):
+        return 2
+    return each(shape, choose)
+
+def each(value: "Canvas", call):
+    return call(value)
+'''
+
+
+def test_python_facts_of_decisions():
+    facts = {}
+    for kind, row in extract.python_facts("s.py", DECIDING):
+        facts.setdefault(kind, []).append(row)
+    name = lambda r: r["fn_id"].split("#")[1].split("@")[0]
+    used = {(name(r), r["variable"]) for r in facts["uses"]}
+    left = {(name(r), r["variable"], r["is_parameter"]) for r in facts["declarations"] if not r["imposed"] and (name(r), r["variable"]) not in used}
+    assert left == {("choose", "unread", True), ("choose", "spare", False)}
+    assert {name(r) for r in facts["declarations"] if r["imposed"]} == {"Odd.wipe"}
+    assert [(r["target"], r["condition_names"]) for r in facts["guarded_assignments"]] == [("total", ["a"]), ("total", ["b"]), ("total", ["c"])]
+    assert [(r["subject"], r["form"]) for r in facts["type_tests"]] == [("shape", "escalera")] * 2
+    assert {(r["name"], r["kind"], r["exposed"]) for r in facts["members"] if r["type"] == "Shape"} == {("side", "field", True), ("_hidden", "field", False), ("area", "accessor", True)}
+    assert {(".".join(r["scope"]), r["type"]) for r in facts["typed_slots"]} == {("Shape", "Canvas"), ("each", "Canvas")}
+    for kind, rows in facts.items():
+        assert {c.split()[0] for c in extract.SCHEMAS[kind].split(", ")} >= {c for r in rows for c in r}, kind
+
+
+def test_edges_of_types(spark):
+    files = spark.createDataFrame([("pkg/s.py", DECIDING)], "path string, content string")
+    kept = scan.classify(files).filter("language IS NOT NULL")
+    facts_ = extract.facts_of(extract.extract(kept))
+    out = analyze.build_graph(facts_, kept)
+    sym = "sym:pkg/s.py#"
+    got = {(r.src.replace(sym, ""), r.dst.replace(sym, ""), r.kind, r.provenance) for r in out["edges"].collect() if r.kind in ("instantiates", "carries", "declares-type", "satisfies")}
+    assert {("Wall.paint", "Canvas", "instantiates", "resolved"), ("Shape", "Canvas", "declares-type", "declared"), ("each", "Canvas", "declares-type", "declared"), ("Wall", "Canvas", "satisfies", "inferred")} <= got
+    assert not any(k == "satisfies" and (a, b) == ("Canvas", "Wall") for a, b, k, _ in got)
+    found, _ = detect.run_detectors(spark, out, only=("flag-accumulator", "type-switch", "unused-variable", "scattered-instantiation"), extra=True)
+    assert {(r.detector_id, r.symbol) for r in found.collect()} == {("flag-accumulator", "choose"), ("type-switch", "choose"), ("unused-variable", "choose")}
+
+
 def test_streams(spark, tmp_path):
     src, facts = str(tmp_path / "in"), str(tmp_path / "facts")
     t = datetime.datetime(2024, 1, 1)
