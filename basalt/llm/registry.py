@@ -1,6 +1,6 @@
 """Queries of the training-data operators, and the DuckDB SQL of those that SQL can express."""
 
-from . import chat_format, embedding_dedup, jaccard_join, lm_scoring, mixing, packing, quality_rules, substring_dedup, suffix_dedup, toxicity
+from . import chat_format, embedding_dedup, jaccard_join, language_id, lm_scoring, mixing, packing, quality_rules, substring_dedup, suffix_dedup, toxicity, whitening
 
 QUERIES = {
     "op1_ngram_jaccard_join": jaccard_join.query,
@@ -13,6 +13,8 @@ QUERIES = {
     "op8_source_mixing": mixing.query,
     "op9_toxicity": toxicity.query,
     "op10_suffix_dedup": suffix_dedup.query,
+    "op11_embedding_whitening": whitening.query,
+    "op12_language_id": language_id.query,
 }
 ORACLES = {
     "op2_quality_rules": quality_rules.SQL,
