@@ -1,6 +1,6 @@
 """Queries of the training-data operators, and the DuckDB SQL of those that SQL can express."""
 
-from . import chat_format, embedding_dedup, jaccard_join, language_id, lm_scoring, mixing, packing, quality_rules, substring_dedup, suffix_dedup, toxicity, whitening
+from . import chat_format, embedding_dedup, jaccard_join, language_id, lm_scoring, mixing, packing, phrases, quality_rules, substring_dedup, suffix_dedup, toxicity, whitening
 
 QUERIES = {
     "op1_ngram_jaccard_join": jaccard_join.query,
@@ -15,9 +15,11 @@ QUERIES = {
     "op10_suffix_dedup": suffix_dedup.query,
     "op11_embedding_whitening": whitening.query,
     "op12_language_id": language_id.query,
+    "op13_phrase_mining": phrases.query,
 }
 ORACLES = {
     "op2_quality_rules": quality_rules.SQL,
     "op3_chat_format": chat_format.SQL,
     "op6_substring_dedup": substring_dedup.SQL,
+    "op13_phrase_mining": phrases.SQL,
 }
