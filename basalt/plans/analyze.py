@@ -12,17 +12,22 @@ from ..operators import detect_inter, detect_intra  # noqa: F401  they register
 from ..sources import scan
 
 
-def typed_edges(slots: DataFrame, owner: DataFrame, types: DataFrame) -> DataFrame:
-    """``declares-type`` edges from owners of written types: of one file's own type or the only one of that name declared, of several ambiguous.
+def by_name(rows: DataFrame, types: DataFrame, kind: str) -> DataFrame:
+    """Edges from _owner to the type of a name: of one file's own type or the only one of that name declared, of several ambiguous.
 
-    slots: file, scope, type; owner: file, path, _owner; types: _file, type, type_id. Names that no type has give no edge.
+    rows: file, _owner, type, weight; types: _file, type, type_id. Names that no type has give no edge.
     """
     named = types.groupBy("type").agg(F.count("*").alias("_n"), F.min("type_id").alias("_any"))
     here = types.groupBy(F.col("_file").alias("file"), "type").agg(F.min("type_id").alias("_here"))
-    s = slots.withColumn("path", F.array_join("scope", ".")).groupBy("file", "path", "type").agg(F.count("*").alias("weight"))
-    j = s.join(owner, ["file", "path"]).join(named, "type").join(here, ["file", "type"], "left")
+    j = rows.join(named, "type").join(here, ["file", "type"], "left")
     sure = F.col("_here").isNotNull() | (F.col("_n") == 1)
-    return j.select(F.col("_owner").alias("src"), F.coalesce("_here", "_any").alias("dst"), F.lit("declares-type").alias("kind"), F.when(sure, F.lit("declared")).otherwise(F.lit("ambiguous")).alias("provenance"), "weight").filter("src <> dst")
+    return j.select(F.col("_owner").alias("src"), F.coalesce("_here", "_any").alias("dst"), F.lit(kind).alias("kind"), F.when(sure, F.lit("declared")).otherwise(F.lit("ambiguous")).alias("provenance"), "weight").filter("src <> dst")
+
+
+def typed_edges(slots: DataFrame, owner: DataFrame, types: DataFrame) -> DataFrame:
+    """``declares-type`` edges from owners of written types. slots: file, scope, type; owner: file, path, _owner."""
+    s = slots.withColumn("path", F.array_join("scope", ".")).groupBy("file", "path", "type").agg(F.count("*").alias("weight"))
+    return by_name(s.join(owner, ["file", "path"]), types, "declares-type")
 
 
 def build_graph(facts: dict[str, DataFrame], files: DataFrame) -> dict[str, DataFrame]:
@@ -30,14 +35,15 @@ def build_graph(facts: dict[str, DataFrame], files: DataFrame) -> dict[str, Data
     symbols = occurrence(facts["symbols"]).join(files.select(F.col("path").alias("file"), "language"), "file", "left_semi")
     targets = resolve.import_targets(facts["imports"], files)
     imports = targets.select(F.concat(F.lit("file:"), "file").alias("src"), F.concat(F.lit("file:"), "target").alias("dst"), F.lit("imports").alias("kind"), F.lit("declared").alias("provenance"), F.lit(1).cast("long").alias("weight"))
-    refs = facts["references"].withColumns({"ref_id": F.concat_ws(":", "file", F.col("line").cast("string"), "name", F.coalesce("qualifier", F.lit("")), F.array_join("scope", ".")), "qualifier_is_bare_constant": F.coalesce(F.col("qualifier").rlike("^[A-Z]\\w*$"), F.lit(False)), "shadowed_locally": F.lit(False), "in_type_slot": F.lit(False)}).dropDuplicates(["ref_id", "is_callee"])
+    refs = facts["references"].withColumns({"ref_id": F.concat_ws(":", "file", F.col("line").cast("string"), F.col("column").cast("string"), "name", F.coalesce("qualifier", F.lit("")), F.array_join("scope", ".")), "qualifier_is_bare_constant": F.coalesce(F.col("qualifier").rlike("^[A-Z]\\w*$"), F.lit(False)), "shadowed_locally": F.lit(False), "in_type_slot": F.lit(False)}).dropDuplicates(["ref_id", "is_callee"])
     refs = refs.withColumn("ref_id", F.concat_ws(":", "ref_id", F.col("is_callee").cast("string")))
     owner = symbols.select("file", F.array_join(F.concat("container", F.array("name")), ".").alias("path"), F.col("id").alias("_owner")).groupBy("file", "path").agg(F.min("_owner").alias("_owner"))
     refs = refs.withColumn("path", F.array_join("scope", ".")).join(owner, ["file", "path"], "left").withColumn("from_id", F.coalesce("_owner", F.concat(F.lit("file:"), "file"))).drop("_owner", "path")
     reach = resolve.closure(targets.select("file", "target")) if "imports" in facts else None
     resolved = cut(resolve.edges_of(refs, symbols, reach).select("src", "dst", "kind", "provenance", "weight"))
-    kin = facts["supertypes"].withColumn("base", F.element_at(F.split("base", r"\."), -1)).join(symbols.filter("family = 'class'").select("file", F.col("name").alias("type"), F.col("id").alias("src")), ["file", "type"]).join(symbols.filter("family = 'class'").select(F.col("name").alias("base"), F.col("id").alias("dst")), "base").select("src", "dst", F.lit("extends").alias("kind"), F.lit("declared").alias("provenance"), F.lit(1).cast("long").alias("weight"))
     types = symbols.filter("family = 'class'").select(F.col("file").alias("_file"), F.col("name").alias("type"), F.col("id").alias("type_id"))
+    bases = facts["supertypes"].withColumn("base", F.element_at(F.split("base", r"\."), -1)).join(types.select(F.col("_file").alias("file"), "type", F.col("type_id").alias("_owner")), ["file", "type"])
+    kin = by_name(bases.select("file", "_owner", F.col("base").alias("type"), F.lit(1).cast("long").alias("weight")), types, "extends")
     made = resolved.filter("kind = 'calls'").join(types.select(F.col("type_id").alias("dst")).distinct(), "dst", "left_semi").withColumn("kind", F.lit("instantiates"))
     written = typed_edges(facts["typed_slots"], owner, types)
     members = facts["members"].join(types.select(F.col("_file").alias("file"), "type", "type_id").groupBy("file", "type").agg(F.min("type_id").alias("type_id")), ["file", "type"], "left")

@@ -258,6 +258,39 @@ def test_edges_of_types(spark):
     assert {(r.detector_id, r.symbol) for r in found.collect()} == {("flag-accumulator", "choose"), ("type-switch", "choose"), ("unused-variable", "choose")}
 
 
+def test_whole_edge_sets(spark):
+    """Calls are read once, weigh what is written, and several bases of a name are ambiguous."""
+    one = "class Base:\n    pass\n\ndef g(x):\n    return x\n\ndef f(a):\n    g(a); g(a)\n    return g(a)\n\nclass Own(Base):\n    pass\n"
+    two, three = "class Base:\n    pass\n", "class Far(Base):\n    pass\n\ndef user():\n    return each(g)\n\ndef each(h):\n    return h\n"
+    files = spark.createDataFrame([("p/one.py", one), ("p/two.py", two), ("p/three.py", three)], "path string, content string")
+    kept = scan.classify(files).filter("language IS NOT NULL")
+    got = analyze.build_graph(extract.facts_of(extract.extract(kept)), kept)["edges"].filter("kind <> 'contains'").collect()
+    strip = lambda x: x.replace("sym:p/", "").replace(".py#", ".")
+    assert {(strip(r.src), strip(r.dst), r.kind, r.provenance, r.weight) for r in got} == {
+        ("one.f", "one.g", "calls", "resolved", 3),
+        ("one.Own", "one.Base", "extends", "declared", 1),
+        ("three.Far", "one.Base", "extends", "ambiguous", 1),
+        ("three.user", "three.each", "calls", "resolved", 1),
+        ("three.user", "one.g", "references", "resolved", 1),
+        ("three.user", "one.g", "carries", "resolved", 1),
+        ("one.Own", "one.Base", "references", "resolved", 1),
+        ("three.Far", "one.Base", "references", "ambiguous", 1),
+    }
+
+
+def test_deep_sources_do_not_fail(spark):
+    terms = "x = " + "+".join(["1"] * 2000) + "\n"
+    ladder = "def f(a):\n    if a == 0:\n        return 0\n" + "".join(f"    elif a == {i}:\n        return {i}\n" for i in range(1, 1500))
+    kinds = {}
+    for kind, row in extract.python_facts("deep.py", terms + ladder):
+        kinds.setdefault(kind, []).append(row)
+    assert [(r["chain"], r["branches"], r["max_nesting"]) for r in kinds["functions"]] == [(1500, 1500, 1500)]
+    assert len(kinds["returns"]) == 1500 and len(kinds["clones"]) == 1
+    files = spark.createDataFrame([("a.py", "python", terms + ladder), ("b.py", "python", "def (")], "path string, language string, content string")
+    out = extract.facts_of(extract.extract(files), ("functions", "unparsed"))
+    assert out["functions"].count() == 1 and [tuple(r) for r in out["unparsed"].collect()] == [("b.py", "SyntaxError")]
+
+
 def test_streams(spark, tmp_path):
     src, facts = str(tmp_path / "in"), str(tmp_path / "facts")
     t = datetime.datetime(2024, 1, 1)
