@@ -472,7 +472,7 @@ def resolution_cascade(spark, d):
     rows = li.select(F.concat_ws(".", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("ref_id"), "l_linenumber", part(F.col("l_partkey")).alias("id"), part(1 + F.col("l_suppkey") % 100).alias("origin"))
     named = rows.join(p.select("id", "name", "module"), "id").join(p.select(F.col("id").alias("origin"), F.col("file")), "origin")
     refs = named.select("ref_id", "file", F.when(F.col("l_linenumber") % 2 == 1, F.col("name")).otherwise(F.col("module")).alias("name"), F.lit("read").alias("role"), F.array().cast("array<string>").alias("scope"), F.lit(None).cast("string").alias("qualifier"), *(F.lit(False).alias(c) for c in ("qualifier_is_bare_constant", "shadowed_locally", "is_callee", "in_type_slot")))
-    f = resolve.funnel(resolve.resolve_contexts(resolve.contexts(refs), one("name").unionByName(one("module"))))
+    f = resolve.funnel(resolve.decide(resolve.contexts(refs), one("name").unionByName(one("module"))))
     return f.select("stage", "outcome", "n", F.round("share", 9).alias("share"))
 
 
