@@ -34,25 +34,3 @@ def range_cuts(h: np.ndarray, ranges: int) -> np.ndarray:
     """Where ascending 64-bit hashes pass from one of the equal ranges to the next: ranges + 1 positions."""
     edges = (np.arange(1, ranges, dtype=np.float64) * (2.0**64 / ranges)).astype(np.uint64)
     return np.concatenate(([0], np.searchsorted(h, edges), [len(h)]))
-
-
-def scatter(ids: np.ndarray, columns: list[np.ndarray], buckets: int) -> list[tuple]:
-    """(bucket of the id, packed ids, packed columns) with one entry for each bucket that has any."""
-    from .textnp import mix
-
-    bucket = (mix(ids.view(np.uint64) + np.uint64(3)) % np.uint64(buckets)).astype(np.int64)
-    order = np.lexsort((columns[0], ids, bucket))
-    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    return [(int(b), pack(ids[order[x:y]]), *(pack(c[order[x:y]]) for c in columns)) for b, (x, y) in enumerate(zip(cuts[:-1], cuts[1:])) if y > x]
-
-
-def gather(ids: list[bytes], columns: list[list[bytes]], dtypes: list) -> tuple[np.ndarray, list[bytes]]:
-    """Of one bucket: distinct ids, and for each its entries as interleaved int32 bytes, ascending."""
-    key = np.concatenate([unpack(x, np.int64) for x in ids])
-    cols = [np.concatenate([unpack(x, t) for x in c]) for c, t in zip(columns, dtypes)]
-    order = np.lexsort((cols[0], key))
-    key = key[order]
-    data = np.stack([c[order] for c in cols], 1).astype("<i4").tobytes()
-    at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-    width = 4 * len(cols)
-    return key[at], [data[width * a : width * b] for a, b in zip(at.tolist(), np.append(at[1:], len(key)).tolist())]

@@ -164,3 +164,15 @@ def test_suffix_rows_that_share_an_id(spark):
     rows = [(1, a), (2, a), (2, b), (None, c), (None, c + " more"), (None, b[:150]), (-(2**63), " ".join(reversed(c.split())))]
     got, want = suffix_rows(spark, rows)
     assert got == want and (2, len(b), 0, 0, b.encode()) in got
+
+
+def test_substring_rows_that_share_an_id(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    low = -(2**63)
+    rows = [(1, a), (2, a), (2, b), (None, c), (None, f"{c} z"), (low, "x y"), (5, b + " q"), (7, a), (7, a)]
+    got = {}
+    for r in substring_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect():
+        got.setdefault(r.doc_id, []).append((r.n_words, r.n_removed))
+    assert got[1] == [(60, 0)] and sorted(got[2]) == [(60, 0), (60, 60)] and got[5] == [(61, 60)] and got[7] == [(60, 60)] * 2
+    # One of the two texts without id has the window first, whichever sorts first.
+    assert sorted(got[None]) in ([(60, 0), (61, 60)], [(60, 60), (61, 0)]) and got[low] == [(2, 0)]
