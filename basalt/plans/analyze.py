@@ -43,7 +43,8 @@ def build_graph(facts: dict[str, DataFrame], files: DataFrame) -> dict[str, Data
     resolved = cut(resolve.edges_of(refs, symbols, reach).select("src", "dst", "kind", "provenance", "weight"))
     types = symbols.filter("family = 'class'").select(F.col("file").alias("_file"), F.col("name").alias("type"), F.col("id").alias("type_id"))
     bases = facts["supertypes"].withColumn("base", F.element_at(F.split("base", r"\."), -1)).join(types.select(F.col("_file").alias("file"), "type", F.col("type_id").alias("_owner")), ["file", "type"])
-    kin = by_name(bases.select("file", "_owner", F.col("base").alias("type"), F.lit(1).cast("long").alias("weight")), types, "extends")
+    form = lambda kind: by_name(bases.filter(F.coalesce("form", F.lit("extends")) == kind).select("file", "_owner", F.col("base").alias("type"), F.lit(1).cast("long").alias("weight")), types, kind)
+    kin = form("extends").unionByName(form("implements"))
     made = resolved.filter("kind = 'calls'").join(types.select(F.col("type_id").alias("dst")).distinct(), "dst", "left_semi").withColumn("kind", F.lit("instantiates"))
     written = typed_edges(facts["typed_slots"], owner, types)
     members = facts["members"].join(types.select(F.col("_file").alias("file"), "type", "type_id").groupBy("file", "type").agg(F.min("type_id").alias("type_id")), ["file", "type"], "left")
@@ -54,14 +55,22 @@ def build_graph(facts: dict[str, DataFrame], files: DataFrame) -> dict[str, Data
         edges = edges.unionByName(x)
     file_nodes = files.select(F.concat(F.lit("file:"), "path").alias("id"), F.lit("file").alias("kind"), F.col("path").alias("file"), F.regexp_replace("path", "/?[^/]*$", "").alias("folder"), F.col("path").alias("name"))
     nodes = file_nodes.unionByName(symbols.select("id", F.lit("symbol").alias("kind"), "file", F.regexp_replace("file", "/?[^/]*$", "").alias("folder"), "name", "family", "arity", "exported", "member_of_class_like", "start_line", "end_line"), allowMissingColumns=True)
-    return facts | {"members": members, "nodes": cut(nodes), "edges": cut(graph.merge_edges(edges)), "files": files.select("path", "language")}
+    ids = types.groupBy(F.col("_file").alias("file"), "type").agg(F.min("type_id").alias("type_id"))
+    told = {}
+    if "products" in facts:
+        told["products"] = facts["products"].join(ids, ["file", "type"])
+        told["call_sequences"] = facts["call_sequences"].join(ids, ["file", "type"], "left")
+    if "member_uses" in facts:  # a type that is declared once, or in the client's own file
+        one = types.groupBy("type").agg(F.count("*").alias("_n"), F.min("type_id").alias("_any"))
+        told["member_uses"] = facts["member_uses"].join(one, "type").join(ids, ["file", "type"], "left").filter("type_id IS NOT NULL OR _n = 1").select("file", F.coalesce("type_id", "_any").alias("type_id"), "member")
+    return facts | told | {"members": members, "nodes": cut(nodes), "edges": cut(graph.merge_edges(edges)), "files": files.select("path", "language")}
 
 
 def analyze(spark: SparkSession, files: DataFrame, two_pass: bool = True) -> dict[str, DataFrame]:
     """files: path, content. Tables: files, facts of each kind, nodes, edges, findings (scored, grouped), coverage."""
     classified = cut(scan.classify(files))
     kept = classified.filter("excluded IS NULL AND language IS NOT NULL")
-    facts = extract.facts_of(cut(extract.extract(kept)))
+    facts = extract.facts_of_files(kept)
     if two_pass:
         facts = build_graph(facts, kept)
     found, coverage = detect.run_detectors(spark, facts)
