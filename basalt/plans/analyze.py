@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.ids import occurrence
 from ..functions.session import cut
-from ..operators import detect, extract, graph, hypotheses, metrics, ranking, resolve
+from ..operators import detect, extract, flow, graph, hypotheses, metrics, ranking, resolve
 from ..operators import detect_inter, detect_intra  # noqa: F401  they register detectors
 from ..sources import scan
 
@@ -30,6 +30,41 @@ def typed_edges(slots: DataFrame, owner: DataFrame, types: DataFrame) -> DataFra
     return by_name(s.join(owner, ["file", "path"]), types, "declares-type")
 
 
+def flowing_types(facts: dict[str, DataFrame], types: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(origins, flows) of ``flow.propagate``: sites are ``file#scope:name`` for variables, results (``return``) and fields (of the class).
+
+    Written types are declared, made values are resolved. A call flows from the result of the function of that name, in its own file or the only one there is.
+    """
+    fields = lambda c: F.col(c).startswith(".")
+    site = lambda scope, name: F.concat(F.col("file"), F.lit("#"), F.array_join(scope, "."), F.lit(":"), name)
+    outer = F.when(F.size("scope") > 0, F.slice("scope", 1, F.size("scope") - 1)).otherwise(F.col("scope"))
+    at = lambda c: F.when(fields(c), site(outer, F.col(c))).otherwise(site(F.col("scope"), F.col(c)))
+    v = facts["value_flows"].withColumn("dst", at("target"))
+    known = types.select(F.col("type").alias("source")).distinct()
+    made = v.filter("form = 'call'").join(known, "source", "left_semi").select(F.col("dst").alias("site"), F.col("source").alias("type"), F.lit("resolved").alias("provenance"))
+    last = F.element_at(F.split(F.regexp_replace("type", r"[<\[ ].*$", ""), r"\."), -1)
+    owned = facts["members"].filter("kind = 'field' AND declared_type IS NOT NULL").select("file", F.col("type").alias("owner"), "name", F.col("declared_type").alias("type"))
+    written = owned.join(types.select(F.col("_file").alias("file"), F.col("type").alias("owner"), "path"), ["file", "owner"]).select(F.concat("file", F.lit("#"), "path", F.lit(":."), "name").alias("site"), last.alias("type"))
+    scoped = facts["params"].filter("type IS NOT NULL").select("file", F.concat(F.regexp_replace(F.regexp_replace("fn_id", r"@\d+$", ""), r"^(.*?)#(.*)$", "$1#$2"), F.lit(":"), "name").alias("site"), last.alias("type"))
+    written = written.unionByName(scoped.select("site", "type")).join(known.withColumnRenamed("source", "type"), "type", "left_semi").select("site", "type", F.lit("declared").alias("provenance"))
+    slots = v.filter("form = 'slot'").select(at("source").alias("src"), "dst")
+    functions = facts["symbols"].filter("family IN ('function', 'method')").select("file", F.col("name").alias("source"), F.concat("file", F.lit("#"), F.array_join(F.concat("container", F.array("name")), "."), F.lit(":return")).alias("src")).distinct()
+    here = functions.groupBy("file", "source").agg(F.min("src").alias("_here"), F.count("*").alias("_n")).filter("_n = 1").drop("_n")
+    only = functions.groupBy("source").agg(F.min("src").alias("_only"), F.count("*").alias("_n")).filter("_n = 1").drop("_n")
+    calls = v.filter("form = 'call'").join(known, "source", "left_anti").join(here, ["file", "source"], "left").join(only, "source", "left").select(F.coalesce("_here", "_only").alias("src"), "dst").filter("src IS NOT NULL")
+    return made.unionByName(written), slots.unionByName(calls)
+
+
+def propagated_edges(reached: DataFrame, origins: DataFrame, owner: DataFrame, types: DataFrame) -> DataFrame:
+    """``declares-type`` edges for what reached sites without a written type, from the function or class that has the site; several types of a site are ambiguous."""
+    fixed = origins.filter("provenance = 'declared'").select("site").distinct()
+    r = reached.filter(F.col("type") != flow.ANY).join(fixed, "site", "left_anti").withColumn("_k", F.count("*").over(Window.partitionBy("site")))  # at most flow.MOST rows to a site
+    parts = r.select(F.regexp_extract("site", r"^(.*?)#", 1).alias("file"), F.regexp_extract("site", r"#(.*):[^:]*$", 1).alias("path"), "type", "_k")
+    g = parts.join(owner, ["file", "path"]).groupBy("file", "_owner", "type").agg(F.count("*").alias("weight"), F.max("_k").alias("_k"))
+    e = by_name(g.filter("_k = 1").select("file", "_owner", "type", "weight"), types, "declares-type").withColumn("provenance", F.when(F.col("provenance") == "declared", F.lit("inferred")).otherwise(F.col("provenance")))
+    return e.unionByName(by_name(g.filter("_k > 1").select("file", "_owner", "type", "weight"), types, "declares-type").withColumn("provenance", F.lit("ambiguous")))
+
+
 def build_graph(facts: dict[str, DataFrame], files: DataFrame) -> dict[str, DataFrame]:
     """Adds nodes and edges to extracted facts: containment, imports, resolved references, inheritance, constructor calls, written types, functions as values, matching signatures."""
     symbols = occurrence(facts["symbols"]).join(files.select(F.col("path").alias("file"), "language"), "file", "left_semi")
@@ -41,12 +76,16 @@ def build_graph(facts: dict[str, DataFrame], files: DataFrame) -> dict[str, Data
     refs = refs.withColumn("path", F.array_join("scope", ".")).join(owner, ["file", "path"], "left").withColumn("from_id", F.coalesce("_owner", F.concat(F.lit("file:"), "file"))).drop("_owner", "path")
     reach = resolve.closure(targets.select("file", "target")) if "imports" in facts else None
     resolved = cut(resolve.edges_of(refs, symbols, reach).select("src", "dst", "kind", "provenance", "weight"))
-    types = symbols.filter("family = 'class'").select(F.col("file").alias("_file"), F.col("name").alias("type"), F.col("id").alias("type_id"))
+    types = symbols.filter("family = 'class'").select(F.col("file").alias("_file"), F.col("name").alias("type"), F.col("id").alias("type_id"), F.array_join(F.concat("container", F.array("name")), ".").alias("path"))
     bases = facts["supertypes"].withColumn("base", F.element_at(F.split("base", r"\."), -1)).join(types.select(F.col("_file").alias("file"), "type", F.col("type_id").alias("_owner")), ["file", "type"])
     form = lambda kind: by_name(bases.filter(F.coalesce("form", F.lit("extends")) == kind).select("file", "_owner", F.col("base").alias("type"), F.lit(1).cast("long").alias("weight")), types, kind)
     kin = form("extends").unionByName(form("implements"))
     made = resolved.filter("kind = 'calls'").join(types.select(F.col("type_id").alias("dst")).distinct(), "dst", "left_semi").withColumn("kind", F.lit("instantiates"))
     written = typed_edges(facts["typed_slots"], owner, types)
+    if "value_flows" in facts:
+        origins, flows = flowing_types(facts, types)
+        origins = cut(origins)
+        written = written.unionByName(propagated_edges(flow.propagate(origins, flows), origins, owner, types))
     members = facts["members"].join(types.select(F.col("_file").alias("file"), "type", "type_id").groupBy("file", "type").agg(F.min("type_id").alias("type_id")), ["file", "type"], "left")
     answers = resolve.satisfies(members.filter("kind = 'method' AND type_id IS NOT NULL AND name NOT LIKE '\\_\\_%'").select(F.col("type_id").alias("type"), "name", "arity")).withColumns({"kind": F.lit("satisfies"), "weight": F.lit(1).cast("long")})
     derived = [x.select("src", "dst", "kind", "provenance", "weight") for x in (made, resolve.carries(resolved, symbols), written, answers)]

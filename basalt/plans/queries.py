@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats
 from ..functions.session import table
-from ..operators import detect, diff, graph, metrics, navigate, quality, ranking, resolve
+from ..operators import braces, detect, diff, flow, graph, metrics, navigate, quality, ranking, resolve
 from ..operators import detect_inter, detect_intra  # noqa: F401  they register detectors
 from ..sources import cache
 from . import facts as fx
@@ -476,6 +476,41 @@ def resolution_cascade(spark, d):
     return f.select("stage", "outcome", "n", F.round("share", 9).alias("share"))
 
 
+@q("propagated_types", """WITH RECURSIVE li AS (SELECT l_orderkey || '.' || l_linenumber AS site, l_orderkey || '.' || (l_linenumber + 1) AS after, * FROM lineitem JOIN part ON p_partkey = l_partkey),
+o AS (SELECT DISTINCT site, p_brand AS type, CASE WHEN l_discount < 0.01 THEN 3 WHEN l_discount < 0.06 THEN 2 ELSE 0 END AS s FROM li WHERE l_returnflag = 'R'),
+f AS (SELECT site AS src, after AS dst FROM li UNION SELECT after, site FROM li WHERE l_linestatus = 'F'), a AS (SELECT * FROM f WHERE dst NOT IN (SELECT site FROM o WHERE s = 3)),
+t(site, type, s) AS (SELECT * FROM o UNION SELECT dst, type, least(s, 1) FROM t JOIN a ON src = site),
+k AS (SELECT site, type, max(s) AS s FROM t GROUP BY ALL), n AS (SELECT *, count(*) OVER (PARTITION BY site) > 3 AS many FROM k)
+SELECT DISTINCT site, CASE WHEN many THEN '*' ELSE type END AS type, CASE WHEN many OR s = 0 THEN 'ambiguous' WHEN s = 1 THEN 'inferred' WHEN s = 2 THEN 'resolved' ELSE 'declared' END AS provenance FROM n""")
+def propagated_types(spark, d):
+    """Lines are sites: returned ones hold their part's brand, and values flow along an order, in finished ones back as well."""
+    li = table(spark, d, "lineitem").join(table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey")
+    at = lambda n: F.concat_ws(".", F.col("l_orderkey").cast("string"), n.cast("string"))
+    li = li.withColumns({"site": at(F.col("l_linenumber")), "after": at(F.col("l_linenumber") + 1)})
+    known = F.when(F.col("l_discount") < 0.01, "declared").when(F.col("l_discount") < 0.06, "resolved").otherwise("ambiguous")
+    flows = li.select(F.col("site").alias("src"), F.col("after").alias("dst")).unionByName(li.filter("l_linestatus = 'F'").select(F.col("after").alias("src"), F.col("site").alias("dst")))
+    return flow.propagate(li.filter("l_returnflag = 'R'").select("site", F.col("p_brand").alias("type"), known.alias("provenance")), flows, most=3)
+
+
+@q("java_functions", """WITH m AS (SELECT 'o' || l_orderkey || '.java' AS file, 'f' || l_linenumber AS name, (l_suppkey % 8)::INTEGER AS parameters, (l_linenumber % 4)::INTEGER AS deep, (l_partkey % 7)::INTEGER AS arms, l_returnflag = 'R' AS made FROM lineitem)
+SELECT file, name, parameters, deep + arms AS branches, greatest(arms, CASE WHEN deep > 0 THEN 1 ELSE 0 END)::INTEGER AS chain, (deep * (deep + 1) // 2 + arms)::INTEGER AS cognitive, greatest(deep, CASE WHEN arms > 0 THEN 1 ELSE 0 END)::INTEGER AS max_nesting,
+  (4 + 2 * deep + CASE WHEN arms > 0 THEN 2 * arms + 1 ELSE 0 END)::INTEGER AS lines, made AS chain_instantiates FROM m""")
+def java_functions(spark, d):
+    """Every order as a Java class, a method to a line: facts of the text against the numbers that it was written from."""
+    n = {"parameters": F.col("l_suppkey") % 8, "deep": F.col("l_linenumber") % 4, "arms": F.col("l_partkey") % 7}
+    li = table(spark, d, "lineitem").withColumns({k: v.cast("int") for k, v in n.items()})
+    each = lambda k, f: F.array_join(F.when(F.col(k) > 0, F.transform(F.sequence(F.lit(1), F.greatest(F.col(k), F.lit(1))), f)).otherwise(F.array().cast("array<string>")), "")
+    text = lambda *x: F.concat(*(F.lit(y) if isinstance(y, str) else y.cast("string") for y in x))
+    params = F.regexp_replace(each("parameters", lambda i: text(", int p", i)), "^, ", "")
+    arms = F.regexp_replace(each("arms", lambda i: text(" else if (q == ", i, ") {\n return ", i, ";\n}")), "^ else ", "")
+    made = F.when(F.col("l_returnflag") == "R", "x(new Y(p)); // if (z) {\n").otherwise('x("{ if");\n')
+    method = text("int f", F.col("l_linenumber"), "(", params, ") {\n", each("deep", lambda i: text("if (p > ", i, ") {\n")), made, each("deep", lambda i: F.lit("}\n")), F.when(F.col("arms") > 0, text(arms, "\n")).otherwise(""), "return 0;\n}\n")
+    files = li.withColumn("m", method).groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_list("m")), "\n").alias("m"))  # the lines of one order
+    files = files.select(text("o", F.col("l_orderkey"), ".java").alias("path"), text("/* { */ class O", F.col("l_orderkey"), " {\n", F.col("m"), "}\n").alias("content"))
+    f = braces.functions(braces.Sources(files))
+    return f.select("file", "name", "parameters", F.col("branches").cast("int").alias("branches"), F.col("chain").cast("int").alias("chain"), F.col("cognitive").cast("int").alias("cognitive"), F.col("max_nesting").cast("int").alias("max_nesting"), (F.col("end_line") - F.col("start_line") + 1).alias("lines"), "chain_instantiates")
+
+
 @q("find_similar_tfidf", """WITH t AS (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS term FROM documents), c AS (SELECT id, term, count(*) AS c FROM t GROUP BY ALL), n AS (SELECT count(DISTINCT id) AS n FROM c), df AS (SELECT term, count(*) AS df FROM c GROUP BY term),
 w0 AS (SELECT id, term, (1 + ln(c)) * (ln((n + 1) / (df + 1)) + 1) AS w FROM c JOIN df USING (term), n), no AS (SELECT id, sqrt(sum(w * w)) AS norm FROM w0 GROUP BY id), w AS (SELECT id, term, w / norm AS w FROM w0 JOIN no USING (id))
 SELECT a.id, round(sum(a.w * b.w), 6) AS score FROM w a JOIN w b USING (term) WHERE b.id = 1 AND a.id <> 1 GROUP BY a.id HAVING sum(a.w * b.w) >= 0.15 ORDER BY sum(a.w * b.w) DESC, a.id LIMIT 20""")
