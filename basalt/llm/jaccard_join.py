@@ -283,37 +283,82 @@ def forest(links: np.ndarray, ids: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def _linked(sets: list[np.ndarray], ids: np.ndarray, weights: np.ndarray, side: np.ndarray, t: Fraction) -> pd.DataFrame:
+    """Links between different sides: a spanning forest (a, b), and the weight that each set links with (a, n)."""
+    n = np.array([len(s) for s in sets], np.int64)
+    flat, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
+    u, inv, c = np.unique(flat, return_inverse=True, return_counts=True)
+    col = np.cumsum(c > 1) - 1
+    keep = c[inv] > 1
+    of, at = of[keep], col[inv[keep]]
+    overlap, width = np.zeros((len(sets), len(sets)), np.float32), 4096
+    order = np.argsort(at, kind="stable")
+    of, at = of[order], at[order]
+    for w in range(0, int(at[-1]) + 1 if len(at) else 0, width):
+        s = slice(np.searchsorted(at, w), np.searchsorted(at, w + width))
+        m = np.zeros((len(sets), width), np.float32)
+        m[of[s], at[s] - w] = 1
+        overlap += m @ m.T
+    links = np.empty(overlap.shape, bool)
+    for w in range(0, len(sets), 256):  # a strip at a time in whole numbers
+        links[w : w + 256] = similar(overlap[w : w + 256].astype(np.int64), n[w : w + 256, None], n[None, :], t)
+    del overlap
+    np.fill_diagonal(links, False)
+    links &= side[:, None] != side[None, :]
+    pairs, n_links = forest(links, ids), links @ weights
+    rows = [(x, y, None) for x, y in pairs] + [(int(ids[i]), None, int(n_links[i])) for i in np.flatnonzero(n_links)]
+    return pd.DataFrame({"a": pd.Series([x[0] for x in rows], dtype="int64"), "b": pd.Series([x[1] for x in rows], dtype="Int64"), "n": pd.Series([x[2] for x in rows], dtype="Int64")})
+
+
+def _distinct(group: pd.DataFrame) -> pd.DataFrame:
+    return group if group["doc_id"].is_unique else group.drop_duplicates(["doc_id", "shingles"])
+
+
+def _compare_group(t: Fraction):
+    """A small group of candidates, whose sets come one by one."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        g = _distinct(group)
+        return _linked([unpack_sorted(x) for x in g["shingles"]], g["doc_id"].to_numpy(), g["weight"].to_numpy(), g["side"].to_numpy(), t)
+
+    return run
+
+
+def _pack_block(group: pd.DataFrame) -> pd.DataFrame:
+    """A block of a crowd in one row: its shingles once, and each set by its places among them, which for near copies are mostly neighbours."""
+    g = _distinct(group)
+    sets = [unpack_sorted(x) for x in g["shingles"]]
+    u, place = np.unique(np.concatenate(sets), return_inverse=True)
+    n = np.array([len(s) for s in sets], np.int32)
+    step = np.diff(place, prepend=0).astype(np.int32)
+    start = np.concatenate(([0], np.cumsum(n)[:-1]))
+    step[start] = place[start]
+    out = {c: [g[c].iloc[0]] for c in ("crowd_id", "level", "i", "nb", "na", "nu")}
+    packed = (pack(g["doc_id"].to_numpy(np.int64)), pack(n), pack(g["weight"].to_numpy(np.int64)), pack_sorted(u), pack(step))
+    return pd.DataFrame(out | {c: [x] for c, x in zip(("docs", "sizes", "weights", "shingles", "places"), packed)})
+
+
+def _unpack_block(row) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    n, u, step = unpack(row.sizes, np.int32), unpack_sorted(row.shingles), unpack(row.places, np.int32)
+    sets = [u[np.cumsum(x)] for x in np.split(step, np.cumsum(n)[:-1])]
+    return unpack(row.docs, np.int64), sets, unpack(row.weights, np.int64)
+
+
 def _compare(t: Fraction):
-    """Links between different sides of a task: a spanning forest (a, b), and the weight that each set links with (a, n)."""
+    """Two blocks of a crowd, or one with itself."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        g = group if group["doc_id"].is_unique else group.drop_duplicates(["doc_id", "shingles"])
-        sets = [unpack_sorted(x) for x in g["shingles"]]
-        n = np.array([len(s) for s in sets], np.int64)
-        flat, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
-        u, inv, c = np.unique(flat, return_inverse=True, return_counts=True)
-        col = np.cumsum(c > 1) - 1
-        keep = c[inv] > 1
-        of, at = of[keep], col[inv[keep]]
-        overlap, width = np.zeros((len(sets), len(sets)), np.float32), 4096
-        order = np.argsort(at, kind="stable")
-        of, at = of[order], at[order]
-        for w in range(0, int(at[-1]) + 1 if len(at) else 0, width):
-            s = slice(np.searchsorted(at, w), np.searchsorted(at, w + width))
-            m = np.zeros((len(sets), width), np.float32)
-            m[of[s], at[s] - w] = 1
-            overlap += m @ m.T
-        links = np.empty(overlap.shape, bool)
-        for w in range(0, len(sets), 256):  # a strip at a time in whole numbers
-            links[w : w + 256] = similar(overlap[w : w + 256].astype(np.int64), n[w : w + 256, None], n[None, :], t)
-        del overlap
-        np.fill_diagonal(links, False)
-        side = g["side"].to_numpy()
-        links &= side[:, None] != side[None, :]
-        ids = g["doc_id"].to_numpy()
-        pairs, n_links = forest(links, ids), links @ g["weight"].to_numpy()
-        rows = [(x, y, None) for x, y in pairs] + [(int(ids[i]), None, int(n_links[i])) for i in np.flatnonzero(n_links)]
-        return pd.DataFrame({"a": pd.Series([x[0] for x in rows], dtype="int64"), "b": pd.Series([x[1] for x in rows], dtype="Int64"), "n": pd.Series([x[2] for x in rows], dtype="Int64")})
+        ids, sets, weights, side = [], [], [], []
+        for row in group.itertuples():
+            d, x, w = _unpack_block(row)
+            ids.append(d)
+            sets += x
+            weights.append(w)
+            # A side is not compared with itself: blocks of two have other tasks for that.
+            kind, i, j = row.t["kind"], row.t["i"], row.t["j"]
+            side.append(np.full(len(d), row.level) if kind == 1 else d if i == j else np.full(len(d), row.i))
+        ids, weights, side = (np.concatenate(x) for x in (ids, weights, side))
+        return _linked(sets, ids, weights, side, t)
 
     return run
 
@@ -374,11 +419,14 @@ def links(docs: DataFrame, k: int = 4, threshold: Fraction = Fraction(85, 100))
         F.transform(upto("na"), lambda j: task(F.col("level"), 1, F.col("i"), j)),
         F.transform(upto("nu"), lambda j: task(F.col("level") - 1, 1, j, F.col("i"))),
     )
-    # A side is not compared with itself: blocks of two have other tasks for that, and pairs within a crowd the crowd's.
-    side = F.when(F.col("t.kind") == 1, F.col("level")).when(F.col("t.i") == F.col("t.j"), F.col("doc_id")).otherwise(F.col("i")).cast("long")
-    crowded = placed.select("doc_id", "n", "weight", "crowd_id", "level", "i", F.explode(tasks).alias("t")).select("doc_id", "n", "weight", "crowd_id", "t", side.alias("side"))
-    whole = grouped.join(small, "group_id", "left_semi").join(in_crowd, F.col("doc_id") == F.col("id"), "left").select("doc_id", "n", "weight", F.col("group_id").alias("crowd_id"), task(F.lit(0), 2, F.lit(0), F.lit(0)).alias("t"), F.coalesce("crowd_id", "doc_id").alias("side"))
-    compared = cut(crowded.unionByName(whole).join(packed.select("doc_id", "n", "shingles"), ["doc_id", "n"]).groupBy("crowd_id", "t").applyInPandas(_compare(t), "a long, b long, n long"))
+    keys = ("crowd_id", "level", "i", "nb", "na", "nu")
+    sets_of = packed.select("doc_id", "n", "shingles")
+    for_block = placed.select("doc_id", "n", "weight", *keys).na.fill(0, ["na", "nu"]).join(sets_of, ["doc_id", "n"])
+    blocks = cut(for_block.groupBy(*keys).applyInPandas(_pack_block, "crowd_id long, level int, i int, nb int, na int, nu int, docs binary, sizes binary, weights binary, shingles binary, places binary"))
+    crowded = blocks.withColumn("t", F.explode(tasks)).groupBy("crowd_id", "t").applyInPandas(_compare(t), "a long, b long, n long")
+    # Pairs within a crowd are compared there.
+    whole = grouped.join(small, "group_id", "left_semi").join(in_crowd, F.col("doc_id") == F.col("id"), "left").select("doc_id", "n", "weight", "group_id", F.coalesce("crowd_id", "doc_id").alias("side"))
+    compared = cut(crowded.unionByName(whole.join(sets_of, ["doc_id", "n"]).groupBy("group_id").applyInPandas(_compare_group(t), "a long, b long, n long")))
     edges = components(linked.unionByName(compared.filter("b IS NOT NULL").select("a", "b")))
     ends = linked.unionByName(linked.select(F.col("b").alias("a"), F.col("a").alias("b")))
     single = ends.join(weights.select(F.col("rep").alias("b"), "weight"), "b", "left").select("a", F.coalesce("weight", F.lit(1)).alias("n"))
