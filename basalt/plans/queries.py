@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import stats
-from ..functions.session import table
+from ..functions.session import checkpoint_dir, table
 from ..operators import braces, detect, diff, flow, graph, metrics, navigate, quality, ranking, resolve
 from ..operators import detect_inter, detect_intra  # noqa: F401  they register detectors
 from ..sources import cache
+from ..streaming import incremental_graph as incremental_graph_module
 from . import facts as fx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -476,6 +478,29 @@ def resolution_cascade(spark, d):
     return f.select("stage", "outcome", "n", F.round("share", 9).alias("share"))
 
 
+@q("incremental_graph", g(""", rf AS (SELECT DISTINCT l.l_orderkey || '.' || l.l_linenumber || '.' || l.l_partkey || '.' || l.l_suppkey AS ref_id, t.name AS name, o.id AS src, o.dir, o.folder FROM lineitem l JOIN nodes t ON t.id = 'part:' || l.l_partkey JOIN nodes o ON o.id = 'part:' || (1 + l.l_suppkey % 100)),
+c AS (SELECT ref_id, src, s.id, CASE WHEN s.dir = r.dir THEN 0 WHEN s.folder = r.folder THEN 2 ELSE 4 END AS d FROM rf r JOIN nodes s USING (name)),
+m AS (SELECT *, count(*) OVER (PARTITION BY ref_id) AS n, min(d) OVER (PARTITION BY ref_id) AS lo FROM c),
+k AS (SELECT ref_id, src, max(n) AS n, count(*) FILTER (d = lo) AS nearest, min(id) AS least, min(id) FILTER (d = lo) AS near FROM m GROUP BY ALL),
+e AS (SELECT src, CASE WHEN n > 1 AND nearest = 1 THEN near ELSE least END AS dst, CASE WHEN n = 1 THEN 2 WHEN nearest = 1 THEN 1 ELSE 0 END AS s FROM k),
+b AS (SELECT *, max(s) OVER (PARTITION BY src, dst) AS top FROM e)
+SELECT src, dst, 'references' AS kind, CASE top WHEN 2 THEN 'resolved' WHEN 1 THEN 'inferred' ELSE 'ambiguous' END AS provenance, count(*) AS weight FROM b WHERE s = top GROUP BY ALL"""))
+def incremental_graph(spark, d):
+    """Lines refer to parts by name. The graph is built without the lines since 1996, with small parts under an old name and without the large ones, and then brought up to date."""
+    p = fx.nodes(spark, d).join(table(spark, d, "part").select(F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("id"), "p_size"), "id").withColumn("container", F.array().cast("array<string>"))
+    small, large = p.filter("p_size <= 5"), p.filter("p_size >= 45")
+    former = small.withColumn("name", F.concat(F.lit("old "), "name"))
+    part = lambda n: F.concat(F.lit("part:"), n.cast("string"))
+    li = table(spark, d, "lineitem").select(F.concat_ws(".", *(F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))).alias("ref_id"), part(F.col("l_partkey")).alias("id"), part(1 + F.col("l_suppkey") % 100).alias("from_id"), "l_shipdate")
+    refs = li.join(p.select("id", "name"), "id").join(p.select(F.col("id").alias("from_id"), "file"), "from_id").withColumns({"role": F.lit("read"), "scope": F.array().cast("array<string>"), "qualifier": F.lit(None).cast("string")} | {c: F.lit(False) for c in ("qualifier_is_bare_constant", "shadowed_locally", "is_callee", "in_type_slot")})
+    late = F.col("l_shipdate") >= F.lit("1996-01-01").cast("timestamp_ntz")
+    wrong = refs.filter(~late).withColumns({"ref_id": F.concat(F.lit("x"), "ref_id"), "name": F.concat(F.lit("old "), "name")})
+    kept = incremental_graph_module.Graph(spark, f"{checkpoint_dir(spark)}/graph-{uuid.uuid4().hex}")
+    kept.build(p.filter("p_size BETWEEN 6 AND 44").unionByName(former), refs.filter(~late).unionByName(wrong).dropDuplicates(["ref_id"]))
+    kept.update(former, small.unionByName(large), wrong, refs.filter(late))
+    return kept.edges()
+
+
 @q("propagated_types", """WITH RECURSIVE li AS (SELECT l_orderkey || '.' || l_linenumber AS site, l_orderkey || '.' || (l_linenumber + 1) AS after, * FROM lineitem JOIN part ON p_partkey = l_partkey),
 o AS (SELECT DISTINCT site, p_brand AS type, CASE WHEN l_discount < 0.01 THEN 3 WHEN l_discount < 0.06 THEN 2 ELSE 0 END AS s FROM li WHERE l_returnflag = 'R'),
 f AS (SELECT site AS src, after AS dst FROM li UNION SELECT after, site FROM li WHERE l_linestatus = 'F'), a AS (SELECT * FROM f WHERE dst NOT IN (SELECT site FROM o WHERE s = 3)),
