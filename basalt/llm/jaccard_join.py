@@ -338,6 +338,21 @@ def _pack_block(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out | {c: [x] for c, x in zip(("docs", "sizes", "weights", "shingles", "places"), packed)})
 
 
+_PLACE = ("level", "i", "nb", "na", "nu")
+_GATHERED = "crowd_id long, level int, i int, nb int, na int, nu int, docs binary, sizes binary, weights binary, shingles binary, places binary, a long, b long, n_links long"
+
+
+def _gathered(t: Fraction):
+    """A block of a crowd packed, or the links of a small group."""
+    names = [c.split()[0] for c in _GATHERED.split(", ")]
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        out = _compare_group(t)(group).rename(columns={"n": "n_links"}) if group["whole"].iloc[0] else _pack_block(group)
+        return out.reindex(columns=names)
+
+    return run
+
+
 def _unpack_block(row) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
     n, u, step = unpack(row.sizes, np.int32), unpack_sorted(row.shingles), unpack(row.places, np.int32)
     sets = [u[np.cumsum(x)] for x in np.split(step, np.cumsum(n)[:-1])]
@@ -406,7 +421,8 @@ def links(docs: DataFrame, k: int = 4, threshold: Fraction = Fraction(85, 100))
     group = cut(components(pairs).select("id", F.col("component").alias("group_id")))
     grouped = sized.join(group, F.col("doc_id") == F.col("id")).select("doc_id", "n", "weight", "group_id")
     small = cut(grouped.groupBy("group_id").agg(F.sum("n").alias("n"), F.count("*").alias("c")).filter((F.col("n") <= BLOCK_SHINGLES) & (F.col("c") <= GROUP_SETS)).select("group_id"))
-    linked = verified(pairs.join(group.select(F.col("id").alias("a"), "group_id"), "a").join(small, "group_id", "left_anti").select("a", "b"))
+    large = cut(pairs.join(group.select(F.col("id").alias("a"), "group_id"), "a").join(small, "group_id", "left_anti").select("a", "b"))
+    linked = large if large.isEmpty() else verified(large)
     # Crowds: blocks by (crowd, size level, hash); a task has block i of a level with block j >= i of it, or with one of the next level.
     sized = sized.join(in_crowd, F.col("doc_id") == F.col("id")).select("doc_id", "n", "weight", "crowd_id").withColumn("level", F.floor(F.log("n") / F.lit(prefixes.base)).cast("int"))
     n_blocks = sized.groupBy("crowd_id", "level").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_SETS)).cast("int").alias("blocks"))
@@ -419,14 +435,14 @@ def links(docs: DataFrame, k: int = 4, threshold: Fraction = Fraction(85, 100))
         F.transform(upto("na"), lambda j: task(F.col("level"), 1, F.col("i"), j)),
         F.transform(upto("nu"), lambda j: task(F.col("level") - 1, 1, j, F.col("i"))),
     )
-    keys = ("crowd_id", "level", "i", "nb", "na", "nu")
-    sets_of = packed.select("doc_id", "n", "shingles")
-    for_block = placed.select("doc_id", "n", "weight", *keys).na.fill(0, ["na", "nu"]).join(sets_of, ["doc_id", "n"])
-    blocks = cut(for_block.groupBy(*keys).applyInPandas(_pack_block, "crowd_id long, level int, i int, nb int, na int, nu int, docs binary, sizes binary, weights binary, shingles binary, places binary"))
-    crowded = blocks.withColumn("t", F.explode(tasks)).groupBy("crowd_id", "t").applyInPandas(_compare(t), "a long, b long, n long")
-    # Pairs within a crowd are compared there.
-    whole = grouped.join(small, "group_id", "left_semi").join(in_crowd, F.col("doc_id") == F.col("id"), "left").select("doc_id", "n", "weight", "group_id", F.coalesce("crowd_id", "doc_id").alias("side"))
-    compared = cut(crowded.unionByName(whole.join(sets_of, ["doc_id", "n"]).groupBy("group_id").applyInPandas(_compare_group(t), "a long, b long, n long")))
+    # Pairs within a crowd are compared there, not in a group of candidates.
+    whole = grouped.join(small, "group_id", "left_semi").join(in_crowd, F.col("doc_id") == F.col("id"), "left").select("doc_id", "n", "weight", F.col("group_id").alias("crowd_id"), F.coalesce("crowd_id", "doc_id").alias("side"), F.lit(True).alias("whole"), *(F.lit(0).alias(c) for c in _PLACE))
+    parts = placed.select("doc_id", "n", "weight", "crowd_id", F.lit(0).cast("long").alias("side"), F.lit(False).alias("whole"), *_PLACE).na.fill(0, ["na", "nu"]).unionByName(whole)
+    # A set meets all its places in one join.
+    met_ = parts.join(packed.select("doc_id", "n", "shingles"), ["doc_id", "n"]).groupBy("whole", "crowd_id", *_PLACE).applyInPandas(_gathered(t), _GATHERED)
+    met_ = cut(met_)
+    crowded = met_.filter("docs IS NOT NULL").drop("a", "b", "n_links").withColumn("t", F.explode(tasks)).groupBy("crowd_id", "t").applyInPandas(_compare(t), "a long, b long, n long")
+    compared = cut(crowded.unionByName(met_.filter("docs IS NULL").select("a", "b", F.col("n_links").alias("n"))))
     edges = components(linked.unionByName(compared.filter("b IS NOT NULL").select("a", "b")))
     ends = linked.unionByName(linked.select(F.col("b").alias("a"), F.col("a").alias("b")))
     single = ends.join(weights.select(F.col("rep").alias("b"), "weight"), "b", "left").select("a", F.coalesce("weight", F.lit(1)).alias("n"))
