@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.session import cut
+from .communities import louvain
 from .components import components
 from .graph import degrees
 
+__all__ = ["clustering", "connected_components", "crosses_folders", "instability", "louvain", "pagerank", "scc", "vertices"]
+
 #: Fixed values of the metrics.
 DAMPING, TOLERANCE, MOST_ITERATIONS = 0.85, 1e-6, 100
-MOST_PASSES, MOST_LEVELS, GAIN = 100, 20, 1e-12
 
 
 def vertices(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
@@ -125,78 +126,3 @@ def clustering(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     k = F.coalesce("degree", F.lit(0))
     t = F.coalesce("triangles", F.lit(0))
     return v.join(tri, "id", "left").select("id", k.cast("long").alias("degree"), t.cast("long").alias("triangles"), F.when(k < 2, F.lit(0.0)).otherwise(2.0 * t / (k * (k - 1))).alias("clustering"))
-
-
-def _communities(src: list, dst: list, weight: list, nodes: list) -> dict:
-    """Louvain at resolution 1 in the order of sorted ids."""
-    names = sorted(set(nodes))
-    at = {v: i for i, v in enumerate(names)}
-    adj: list[dict[int, float]] = [dict() for _ in names]
-    for a, b, w in zip(src, dst, weight):
-        i, j = at[a], at[b]
-        if i != j:
-            adj[i][j] = adj[i].get(j, 0.0) + w
-            adj[j][i] = adj[j].get(i, 0.0) + w
-    own = [0.0] * len(names)
-    member = list(range(len(names)))
-    for _ in range(MOST_LEVELS):
-        k = [sum(d.values()) + 2 * s for d, s in zip(adj, own)]
-        m2 = sum(k)
-        if m2 == 0:
-            break
-        com, tot = list(range(len(adj))), k[:]
-        moved_any = False
-        for _ in range(MOST_PASSES):
-            moved = False
-            for i in range(len(adj)):
-                links: dict[int, float] = {}
-                for j, w in adj[i].items():
-                    links[com[j]] = links.get(com[j], 0.0) + w
-                c = com[i]
-                tot[c] -= k[i]
-                best, gain = c, links.get(c, 0.0) - tot[c] * k[i] / m2
-                for d in sorted(links):
-                    g = links[d] - tot[d] * k[i] / m2
-                    if g > gain + GAIN:
-                        best, gain = d, g
-                tot[best] += k[i]
-                if best != c:
-                    com[i], moved, moved_any = best, True, True
-            if not moved:
-                break
-        if not moved_any:
-            break
-        order = {c: n for n, c in enumerate(sorted(set(com)))}
-        new_adj: list[dict[int, float]] = [dict() for _ in order]
-        new_own = [0.0] * len(order)
-        for i, d in enumerate(adj):
-            a = order[com[i]]
-            new_own[a] += own[i]
-            for j, w in d.items():
-                b = order[com[j]]
-                if a == b:
-                    new_own[a] += w / 2
-                else:
-                    new_adj[a][b] = new_adj[a].get(b, 0.0) + w
-        member = [order[com[c]] for c in member]
-        adj, own = new_adj, new_own
-    least: dict[int, str] = {}
-    for v, c in zip(names, member):
-        least.setdefault(c, v)
-    return {v: least[c] for v, c in zip(names, member)}
-
-
-def louvain(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
-    """id, community (its smallest id). The module graph is small by construction (folders, not files) and goes to one task; each
-    connected component is its own group, as modularity moves never leave one, but the total weight is the whole graph's only
-    for a connected graph, so a disconnected graph's components are resolved apart."""
-    cc = connected_components(edges, nodes)
-    rows = edges.join(cc.select(F.col("id").alias("src"), "component"), "src").select("component", "src", "dst", F.col("weight").cast("double").alias("weight"))
-    alone = cc.select("component", F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(0.0).alias("weight"))
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        found = _communities(g["src"].tolist(), g["dst"].tolist(), g["weight"].tolist(), g["src"].tolist() + g["dst"].tolist())
-        return pd.DataFrame({"id": list(found), "community": list(found.values())})
-
-    kind = dict(edges.dtypes)["src"]
-    return rows.unionByName(alone).groupBy("component").applyInPandas(run, f"id {kind}, community {kind}")

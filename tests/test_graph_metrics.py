@@ -1,8 +1,10 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from basalt.functions import ids, stats, text
-from basalt.operators import graph, metrics
+from basalt.operators import communities, graph, metrics
 
 EDGE = "src string, dst string, weight long"
 
@@ -72,3 +74,103 @@ def test_columns(spark):
     assert sorted(r.id for r in ids.occurrence(sym).collect()) == ["sym:f#C.m", "sym:f#a", "sym:f#a@2"]
     dup = spark.createDataFrame([("i", "f", 2, 3, "t"), ("i", "f", 1, 3, "t")], "id string, file string, start_line int, end_line int, title string")
     assert {r.start_line: r.id for r in ids.disambiguate(dup).collect()} == {1: "i", 2: "i dup 2"}
+
+
+def plain_louvain(src: list, dst: list, weight: list, nodes: list) -> dict:
+    """Louvain at resolution 1, one vertex after the other in the order of ids."""
+    names = sorted(set(nodes))
+    at = {v: i for i, v in enumerate(names)}
+    adj: list[dict[int, float]] = [dict() for _ in names]
+    for a, b, w in zip(src, dst, weight):
+        i, j = at[a], at[b]
+        if i != j:
+            adj[i][j] = adj[i].get(j, 0.0) + w
+            adj[j][i] = adj[j].get(i, 0.0) + w
+    own = [0.0] * len(names)
+    member = list(range(len(names)))
+    for _ in range(20):
+        k = [sum(d.values()) + 2 * s for d, s in zip(adj, own)]
+        m2 = sum(k)
+        if m2 == 0:
+            break
+        com, tot = list(range(len(adj))), k[:]
+        moved_any = False
+        for _ in range(100):
+            moved = False
+            for i in range(len(adj)):
+                links: dict[int, float] = {}
+                for j, w in adj[i].items():
+                    links[com[j]] = links.get(com[j], 0.0) + w
+                c = com[i]
+                tot[c] -= k[i]
+                best, gain = c, links.get(c, 0.0) - tot[c] * k[i] / m2
+                for d in sorted(links):
+                    g = links[d] - tot[d] * k[i] / m2
+                    if g > gain + 1e-12:
+                        best, gain = d, g
+                tot[best] += k[i]
+                if best != c:
+                    com[i], moved, moved_any = best, True, True
+            if not moved:
+                break
+        if not moved_any:
+            break
+        order = {c: n for n, c in enumerate(sorted(set(com)))}
+        new_adj: list[dict[int, float]] = [dict() for _ in order]
+        new_own = [0.0] * len(order)
+        for i, d in enumerate(adj):
+            a = order[com[i]]
+            new_own[a] += own[i]
+            for j, w in d.items():
+                b = order[com[j]]
+                if a == b:
+                    new_own[a] += w / 2
+                else:
+                    new_adj[a][b] = new_adj[a].get(b, 0.0) + w
+        member = [order[com[c]] for c in member]
+        adj, own = new_adj, new_own
+    least: dict[int, str] = {}
+    for v, c in zip(names, member):
+        least.setdefault(c, v)
+    return {v: least[c] for v, c in zip(names, member)}
+
+
+def plain_modularity(links, community):
+    m2, inside, total = 0.0, 0.0, {}
+    for a, b, w in links:
+        if a != b:
+            m2 += 2 * w
+            inside += 2 * w * (community[a] == community[b])
+            for v in (a, b):
+                total[community[v]] = total.get(community[v], 0.0) + w
+    return inside / m2 - sum(t * t for t in total.values()) / (m2 * m2)
+
+
+def clique(name, n, w=1):
+    return [(f"{name}{i}", f"{name}{j}", w) for i in range(n) for j in range(i + 1, n)]
+
+
+def test_louvain_on_the_whole_graph(spark):
+    """Disconnected graphs are resolved with the weight of the whole, as the plain version does."""
+    ring = [x for k in "abcdef" for x in clique(k, 5)] + [("a0", "b1", 1), ("b0", "c1", 1), ("c0", "d1", 1), ("d0", "e1", 1), ("e0", "f1", 1), ("f0", "a1", 1)]
+    pairs = [("p0", "p1", 1), ("p1", "p2", 1), ("q0", "q1", 3), ("z", "z", 9)]
+    for links in (ring, [*clique("x", 4), *clique("y", 6, 2), *pairs], [*ring, *pairs, *clique("w", 8)]):
+        df = edges(spark, links)
+        found = metrics.louvain(df)
+        got = {r.id: r.community for r in found.collect()}
+        src, dst, w = zip(*links)
+        want = plain_louvain(list(src), list(dst), list(w), [*src, *dst])
+        assert got == want
+        assert communities.modularity(df, found) == pytest.approx(plain_modularity(links, want))
+    assert metrics.louvain(edges(spark, [("a", "a", 2)])).collect() == [("a", "a")] and metrics.louvain(edges(spark, []), spark.createDataFrame([("s",)], "id string")).collect() == [("s", "s")]
+
+
+def test_louvain_is_as_good_as_one_by_one(spark):
+    r = random.Random(3)
+    links = [(f"v{a:02}", f"v{b:02}", r.randrange(1, 5)) for a, b in {tuple(sorted(r.sample(range(24), 2))) for _ in range(40)}]
+    links += [(f"v{a:02}", f"v{b:02}", 9) for g in range(3) for a in range(g * 8, g * 8 + 8) for b in range(a + 1, g * 8 + 8) if r.random() < 0.5]
+    df = edges(spark, links)
+    got = {x.id: x.community for x in metrics.louvain(df).collect()}
+    src, dst, w = zip(*links)
+    assert plain_modularity(links, got) >= plain_modularity(links, plain_louvain(list(src), list(dst), list(w), [*src, *dst])) - 0.02
+    assert all(got[c] == c and min(v for v in got if got[v] == c) == c for c in set(got.values()))
