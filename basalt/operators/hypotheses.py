@@ -6,6 +6,7 @@ columns); one projection evaluates a builder for all its anchors.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -76,28 +77,38 @@ _add("unify-alternative-interfaces", R, ["homonymous-divergent-sequence", "homon
 _add("value-object", R, ["primitive-obsession"], "media", {"spread": "signatures >= 2"}, {"validated": "repeated_checks >= 1", "files": "files >= 2"})
 
 
-def _truth(expression: str, columns: set[str]) -> Column:
-    """The condition, false where a column that it names is not in the evidence."""
-    import re
+def _named(expression: str) -> set[str]:
+    """Columns that a condition names."""
+    return set(re.findall(r"\b[a-z_]+\b", expression)) - {"false", "true"}
 
-    names = {x for x in re.findall(r"\b[a-z_]+\b", expression)} - {"false", "true"}
-    return F.coalesce(F.expr(expression), F.lit(False)) if names <= columns else F.lit(False)
+
+def _truth(expression: str) -> Column:
+    """The condition, false where the evidence of a finding is null."""
+    return F.coalesce(F.expr(expression), F.lit(False))
+
+
+def missing_evidence(spec: Hypothesis, columns: set[str]) -> list[str]:
+    """Columns without which a builder cannot decide: those of its required checks and of its states."""
+    return sorted({c for x in (*spec.required.values(), spec.applied, spec.eluded, spec.partial) for c in _named(x)} - columns)
 
 
 def build(spec: Hypothesis, evidence: DataFrame) -> DataFrame:
     """finding_id, pattern, layer, state, confidence, checks of every anchor that passes all required checks.
 
-    evidence: finding_id, kind, and the columns that the conditions name.
+    evidence: finding_id, kind, and the columns that the conditions name. Without a column of a required check or a state it raises an error; a discriminator
+    without its columns is null in ``checks``, neither true nor false, and confirms nothing.
     """
     cols = set(evidence.columns)
+    if lost := missing_evidence(spec, cols):
+        raise ValueError(f"{spec.id}: no evidence of {', '.join(lost)}")
     required = F.lit(True)
     for c in spec.required.values():
-        required = required & _truth(c, cols)
-    found = {k: _truth(c, cols) for k, c in spec.discriminators.items()}
+        required = required & _truth(c)
+    found = {k: _truth(c) if _named(c) <= cols else F.lit(None).cast("boolean") for k, c in spec.discriminators.items()}
     confirmed = F.lit(0)
     for c in found.values():
-        confirmed = confirmed + c.cast("int")
-    state = F.when(_truth(spec.eluded, cols), F.lit(STATES[3])).when(_truth(spec.applied, cols), F.lit(STATES[2])).when(_truth(spec.partial, cols), F.lit(STATES[1])).otherwise(F.lit(STATES[0]))
+        confirmed = confirmed + F.coalesce(c, F.lit(False)).cast("int")
+    state = F.when(_truth(spec.eluded), F.lit(STATES[3])).when(_truth(spec.applied), F.lit(STATES[2])).when(_truth(spec.partial), F.lit(STATES[1])).otherwise(F.lit(STATES[0]))
     step = F.least(confirmed, F.lit(LADDER.index(spec.ceiling)))
     confidence = F.when(F.col("state").isin("ausente", "parcial"), F.element_at(F.array(*map(F.lit, LADDER)), step + 1))
     checks = F.create_map(*[x for k, c in found.items() for x in (F.lit(k), c)]) if found else F.create_map().cast("map<string,boolean>")
@@ -109,15 +120,28 @@ def missing_capability(spec: Hypothesis, evidence: DataFrame) -> DataFrame:
     return evidence.filter(F.col("kind").isin(*spec.anchors)).select("finding_id", F.lit(spec.id).alias("pattern"), F.lit(spec.layer).alias("layer"), F.lit("ausente").alias("state"), F.lit(None).cast("string").alias("confidence"), F.create_map().cast("map<string,boolean>").alias("checks"))
 
 
-def attach(evidence: DataFrame, capabilities: set[str] = frozenset(), extra: bool = False) -> DataFrame:
-    """Hypotheses of all registered builders."""
-    out = None
+HYPOTHESIS = "finding_id string, pattern string, layer string, state string, confidence string, checks map<string,boolean>"
+
+
+def attach(evidence: DataFrame, capabilities: set[str] = frozenset(), extra: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(hypotheses, coverage) of all registered builders. coverage: pattern, status, missing.
+
+    A builder runs (``corrio``) where the evidence has its columns, and else gives nothing but a row of coverage
+    (``sin-evidencia``) that names what is missing; where the language lacks a capability its anchors are marked absent (``sin-capacidad``).
+    """
+    out, cover, cols = evidence.sparkSession.createDataFrame([], HYPOTHESIS), [], set(evidence.columns)
     for spec in HYPOTHESES.values():
         if not (spec.registered or extra):
             continue
-        h = build(spec, evidence) if set(spec.needs) <= set(capabilities) else missing_capability(spec, evidence)
-        out = h if out is None else out.unionByName(h)
-    return out
+        if not set(spec.needs) <= set(capabilities):
+            cover.append((spec.id, "sin-capacidad", sorted(set(spec.needs) - set(capabilities))))
+            out = out.unionByName(missing_capability(spec, evidence))
+        elif lost := missing_evidence(spec, cols):
+            cover.append((spec.id, "sin-evidencia", lost))
+        else:
+            cover.append((spec.id, "corrio", sorted({c for x in spec.discriminators.values() for c in _named(x)} - cols)))
+            out = out.unionByName(build(spec, evidence))
+    return out, evidence.sparkSession.createDataFrame(cover, "pattern string, status string, missing array<string>")
 
 
 def arbitrate(hypotheses: DataFrame, places: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import seeded
 from ..functions.stats import percent_rank_of_ties
 
 #: Weights of a score and of reach, tiers, group thresholds.
@@ -112,7 +113,6 @@ def coverage_rollup(coverage: DataFrame) -> DataFrame:
     return coverage.groupBy("detector_id", "language").agg(F.min_by("status", order).alias("status"), F.sum("units").cast("long").alias("units"), F.sum("findings").cast("long").alias("findings"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("missing")))).alias("missing"))
 
 
-def sample_for_judgement(findings: DataFrame, n: int, seed: int) -> DataFrame:
-    """At most n findings of each kind in a seeded order."""
-    k = F.row_number().over(Window.partitionBy("kind").orderBy(F.xxhash64("id", F.lit(seed)), "id"))
-    return findings.withColumn("_k", k).filter(F.col("_k") <= n).drop("_k")
+def sample_for_judgement(findings: DataFrame, n: int, seed: int, slug: str = "") -> DataFrame:
+    """At most n findings of each kind, the first in the order that the seed, the repository and the kind give (``turn``)."""
+    return findings.join(seeded.sample(findings, n, seed, slug), ["kind", "id"])

@@ -10,6 +10,7 @@ from ..functions.session import cut
 from ..operators import detect, extract, flow, graph, hypotheses, metrics, ranking, resolve
 from ..operators import detect_inter, detect_intra  # noqa: F401  they register detectors
 from ..sources import scan
+from .evidence import evidence
 
 
 def by_name(rows: DataFrame, types: DataFrame, kind: str) -> DataFrame:
@@ -65,6 +66,40 @@ def propagated_edges(reached: DataFrame, origins: DataFrame, owner: DataFrame, t
     return e.unionByName(by_name(g.filter("_k > 1").select("file", "_owner", "type", "weight"), types, "declares-type").withColumn("provenance", F.lit("ambiguous")))
 
 
+def stores(facts: dict[str, DataFrame], owner: DataFrame, types: DataFrame) -> DataFrame:
+    """``stores`` edges from a class to the types that it makes and keeps in a field of its own.
+
+    A value may pass through variables of the function on its way: names are followed back to the call that made it, by doubling what
+    each name stands for; a name that is assigned from several places stands for none.
+    """
+    v = facts["value_flows"].withColumn("path", F.array_join("scope", ".")).select("file", "path", "target", "form", "source").distinct()
+    once = v.join(v.groupBy("file", "path", "target").agg(F.count("*").alias("_n")).filter("_n = 1").drop("_n"), ["file", "path", "target"])
+    alias = cut(once.filter("NOT startswith(target, '.')"))
+    ends = v.filter("startswith(target, '.')")
+    while True:
+        back = alias.select("file", "path", F.col("target").alias("source"), F.col("form").alias("_form"), F.col("source").alias("_source"))
+        step = lambda df, back=back: df.join(back.filter("source <> _source"), ["file", "path", "source"], "left").withColumns({"new": F.coalesce("_source", "source"), "newer": F.coalesce("_form", "form")})
+        slots = alias.filter("form = 'slot'")
+        longer = cut(step(slots).select("file", "path", "target", F.col("newer").alias("form"), F.col("new").alias("source")).unionByName(alias.filter("form = 'call'").select("file", "path", "target", "form", "source")))
+        # Names that follow each other in a circle never come to a call and are left out once nothing else moves.
+        if longer.exceptAll(alias.select(*longer.columns)).filter("form = 'call'").isEmpty():
+            break
+        alias = longer
+    made = ends.filter("form = 'slot'").join(alias.filter("form = 'call'").select("file", "path", F.col("target").alias("source"), F.col("source").alias("made")), ["file", "path", "source"]).select("file", "path", "made")
+    made = made.unionByName(ends.filter("form = 'call'").select("file", "path", F.col("source").alias("made")))
+    at = made.withColumn("path", F.regexp_replace("path", r"\.[^.]*$", "")).join(owner, ["file", "path"])
+    return by_name(at.groupBy("file", "_owner", F.col("made").alias("type")).agg(F.count("*").alias("weight")), types, "stores").filter("src <> dst").withColumn("provenance", F.when(F.col("provenance") == "declared", F.lit("resolved")).otherwise(F.col("provenance")))
+
+
+def indirect_calls(calls: DataFrame, members: DataFrame, symbols: DataFrame) -> DataFrame:
+    """``invokes-indirect`` edges from a member to the carrier ``carrier:file#type.field`` of an own field on which it calls what its own type does not declare."""
+    own = members.filter("kind = 'field'").select("file", "type", F.col("name").alias("receiver")).distinct()
+    here = members.filter("kind <> 'field'").select("file", "type", "name").distinct()
+    at = symbols.filter("family = 'method'").select("file", F.element_at("container", -1).alias("type"), F.col("name").alias("member"), F.col("id").alias("src"))
+    c = calls.join(own, ["file", "type", "receiver"], "left_semi").join(here, ["file", "type", "name"], "left_anti").join(at, ["file", "type", "member"])
+    return c.groupBy("src", F.concat(F.lit("carrier:"), "file", F.lit("#"), "type", F.lit("."), "receiver").alias("dst")).agg(F.count("*").alias("weight")).select("src", "dst", F.lit("invokes-indirect").alias("kind"), F.lit("inferred").alias("provenance"), "weight")
+
+
 def build_graph(facts: dict[str, DataFrame], files: DataFrame) -> dict[str, DataFrame]:
     """Adds nodes and edges to extracted facts: containment, imports, resolved references, inheritance, constructor calls, written types, functions as values, matching signatures."""
     symbols = occurrence(facts["symbols"]).join(files.select(F.col("path").alias("file"), "language"), "file", "left_semi")
@@ -88,12 +123,25 @@ def build_graph(facts: dict[str, DataFrame], files: DataFrame) -> dict[str, Data
         written = written.unionByName(propagated_edges(flow.propagate(origins, flows), origins, owner, types))
     members = facts["members"].join(types.select(F.col("_file").alias("file"), "type", "type_id").groupBy("file", "type").agg(F.min("type_id").alias("type_id")), ["file", "type"], "left")
     answers = resolve.satisfies(members.filter("kind = 'method' AND type_id IS NOT NULL AND name NOT LIKE '\\_\\_%'").select(F.col("type_id").alias("type"), "name", "arity")).withColumns({"kind": F.lit("satisfies"), "weight": F.lit(1).cast("long")})
+    extra_nodes = None
+    if "value_flows" in facts:
+        stored = stores(facts, owner, types)
+        told_calls = facts["member_calls"].select("file", "type", "member", "receiver", F.col("callee").alias("name")) if "member_calls" in facts else None
+        if told_calls is not None:
+            indirect = indirect_calls(told_calls, facts["members"], symbols)
+            extra_nodes = indirect.select(F.col("dst").alias("id"), F.lit("carrier").alias("kind"), F.regexp_extract("dst", r"^carrier:(.*)#", 1).alias("file"), F.regexp_extract("dst", r"([^.]*)$", 1).alias("name")).distinct()
+            stored = stored.unionByName(indirect.select(*stored.columns))
+        resolved_more = stored
+    else:
+        resolved_more = None
     derived = [x.select("src", "dst", "kind", "provenance", "weight") for x in (made, resolve.carries(resolved, symbols), written, answers)]
     edges = graph.containment(files).unionByName(graph.symbol_containment(symbols)).unionByName(imports).unionByName(resolved).unionByName(kin)
-    for x in derived:
+    for x in derived + ([resolved_more] if resolved_more is not None else []):
         edges = edges.unionByName(x)
     file_nodes = files.select(F.concat(F.lit("file:"), "path").alias("id"), F.lit("file").alias("kind"), F.col("path").alias("file"), F.regexp_replace("path", "/?[^/]*$", "").alias("folder"), F.col("path").alias("name"))
     nodes = file_nodes.unionByName(symbols.select("id", F.lit("symbol").alias("kind"), "file", F.regexp_replace("file", "/?[^/]*$", "").alias("folder"), "name", "family", "arity", "exported", "member_of_class_like", "start_line", "end_line"), allowMissingColumns=True)
+    if extra_nodes is not None:
+        nodes = nodes.unionByName(extra_nodes.withColumn("folder", F.regexp_replace("file", "/?[^/]*$", "")), allowMissingColumns=True)
     ids = types.groupBy(F.col("_file").alias("file"), "type").agg(F.min("type_id").alias("type_id"))
     told = {}
     if "products" in facts:
@@ -106,7 +154,7 @@ def build_graph(facts: dict[str, DataFrame], files: DataFrame) -> dict[str, Data
 
 
 def analyze(spark: SparkSession, files: DataFrame, two_pass: bool = True) -> dict[str, DataFrame]:
-    """files: path, content. Tables: files, facts of each kind, nodes, edges, findings (scored, grouped), coverage."""
+    """files: path, content. Tables: files, facts of each kind, nodes, edges, findings (scored, grouped), coverage, hypotheses (arbitrated), hypothesis_coverage."""
     classified = cut(scan.classify(files))
     kept = classified.filter("excluded IS NULL AND language IS NOT NULL")
     facts = extract.facts_of_files(kept)
@@ -124,4 +172,7 @@ def analyze(spark: SparkSession, files: DataFrame, two_pass: bool = True) -> dic
         found = found.withColumn("reach", F.lit(0.5))
     scored = ranking.score(found.withColumn("confidence", F.lit(1.0)))
     grouped = ranking.group_key(scored.withColumn("declared_key", F.lit(None).cast("string")))
-    return facts | {"scanned": classified, "findings": hypotheses.advise(grouped), "coverage": coverage}
+    known = cut(evidence(facts, found))
+    proposed, lacking = hypotheses.attach(known)
+    places = proposed.join(known.select("finding_id", "file", "start_line", "end_line"), "finding_id").select("finding_id", "pattern", "file", "start_line", "end_line")
+    return facts | {"scanned": classified, "findings": hypotheses.advise(grouped), "coverage": coverage, "hypotheses": hypotheses.arbitrate(proposed, places), "hypothesis_coverage": lacking}
