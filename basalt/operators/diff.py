@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.session import cut
+from ..functions.text import normalized_source
 
 
 def _unique(df: DataFrame, key: str) -> DataFrame:
@@ -38,6 +39,28 @@ def compare(base: DataFrame, head: DataFrame, keys: tuple[str, ...] = ("id", "co
     return carried.unionByName(new).unionByName(old)
 
 
+def with_content(findings: DataFrame, files: DataFrame) -> DataFrame:
+    """Adds content_key: the kind and the normalised source of a finding's lines, which a move or a rename of its file leaves as it is.
+
+    findings: file, kind, start_line, end_line; files: path, content. Null where the file or the lines are not known.
+    """
+    lines = F.slice(F.split("content", "\n"), F.greatest(F.col("start_line"), F.lit(1)), F.greatest(F.col("end_line") - F.col("start_line") + 1, F.lit(0)))
+    text = normalized_source(F.array_join(lines, "\n"))
+    j = findings.join(files.select(F.col("path").alias("file"), "content"), "file", "left")
+    return j.withColumn("content_key", F.when(text != "", F.sha1(F.concat_ws("\n", "kind", text).cast("binary")))).drop("content")
+
+
+def partially_introduced(pairs: DataFrame, base: DataFrame, head: DataFrame) -> DataFrame:
+    """row, new_places: findings that were carried over and have places in the head that the base's finding had not, or not as often.
+
+    pairs: base_row, head_row; base and head: row, place, one row to a place of a finding. Places are compared as multisets, by a key that the caller
+    chooses (content, or file and symbol).
+    """
+    count = lambda d, side, n: d.join(pairs.select(F.col(f"{side}_row").alias("row"), F.col("head_row").alias("_of")), "row").groupBy("_of", "place").agg(F.count("*").alias(n))
+    j = count(head, "head", "h").join(count(base, "base", "b"), ["_of", "place"], "left").withColumn("more", F.col("h") - F.coalesce("b", F.lit(0))).filter("more > 0")
+    return j.groupBy(F.col("_of").alias("row")).agg(F.sum("more").cast("long").alias("new_places"))
+
+
 def touched(findings: DataFrame, changed: DataFrame) -> DataFrame:
     """Findings in changed files."""
     return findings.join(changed.select("file").distinct(), "file", "left_semi")

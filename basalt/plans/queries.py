@@ -415,6 +415,28 @@ def snapshot_compare(spark, d):
     return diff.pair(f.filter("row % 2 = 0"), f.filter("row % 2 = 1").withColumn("id", (F.col("id") + 1) % 1000))
 
 
+@q("moved_content", r"""WITH f AS (SELECT doc_id, sha1('text' || chr(10) || n) AS ck, doc_id % 2 AS side FROM (SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '/\*.*?\*/', ' ', 'gs'), '(?m)(//|#).*$', ' ', 'g'), '\s+', ' ', 'g')) AS n FROM documents) WHERE n <> ''),
+u AS (SELECT ck, side, min(doc_id) AS doc_id FROM f GROUP BY ALL HAVING count(*) = 1)
+SELECT b.doc_id AS base_row, h.doc_id AS head_row, 'content_key' AS by FROM u b JOIN u h USING (ck) WHERE b.side = 0 AND h.side = 1""")
+def moved_content(spark, d):
+    """Two halves of the documents as the findings of two snapshots, each a file of its own: what moved is told by its content."""
+    t = table(spark, d, "documents")
+    files = t.select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"))
+    rows = t.select(F.col("doc_id").alias("row"), F.col("doc_id").cast("string").alias("file"), F.col("doc_id").alias("id"), F.lit("text").alias("kind"), F.lit(1).alias("start_line"), F.lit(1 << 30).alias("end_line"))
+    found = diff.with_content(rows, files)
+    return diff.pair(found.filter("row % 2 = 0"), found.filter("row % 2 = 1"), keys=("id", "content_key"))
+
+
+@q("partially_introduced", """WITH b AS (SELECT l_orderkey AS o, l_partkey AS p, count(*) AS b FROM lineitem WHERE l_shipdate < TIMESTAMP '1997-01-01' GROUP BY ALL), h AS (SELECT l_orderkey AS o, l_partkey AS p, count(*) AS h FROM lineitem GROUP BY ALL)
+SELECT o AS row, sum(h - coalesce(b, 0))::BIGINT AS new_places FROM h LEFT JOIN b USING (o, p) WHERE o IN (SELECT o FROM b) AND h > coalesce(b, 0) GROUP BY o""")
+def partially_introduced(spark, d):
+    """Orders as findings whose places are their parts: carried over from 1997 with places that are new."""
+    li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("row"), F.col("l_partkey").alias("place"), "l_shipdate")
+    base = li.filter(F.col("l_shipdate") < F.lit("1997-01-01").cast("timestamp_ntz"))
+    one = lambda x: x.select("row", F.col("row").alias("id")).distinct()
+    return diff.partially_introduced(diff.pair(one(base), one(li), keys=("id",)), base, li)
+
+
 @q("edge_diff", g(", b AS (SELECT DISTINCT src, dst, kind FROM raw WHERE roles = 1), h AS (SELECT DISTINCT src, dst, kind FROM raw WHERE roles = 2) (SELECT *, 'added' AS status FROM (SELECT * FROM h EXCEPT SELECT * FROM b)) UNION ALL (SELECT *, 'removed' FROM (SELECT * FROM b EXCEPT SELECT * FROM h))"))
 def edge_diff(spark, d):
     e = fx.edges(spark, d)

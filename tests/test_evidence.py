@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from basalt.functions import seeded
-from basalt.operators import detect, detect_inter, detect_intra, extract, hypotheses  # noqa: F401
+from basalt.operators import detect, detect_inter, detect_intra, diff, extract, hypotheses  # noqa: F401
 from basalt.plans import analyze
 from basalt.plans.evidence import cohesion, evidence
 from basalt.sources import scan
@@ -81,3 +81,17 @@ def test_seeded_orders(spark):
     df = spark.createDataFrame([("k", i) for i in items] + [("l", "x")], "kind string, id string").repartition(3)
     got = {(r.kind, r.turn): r.id for r in seeded.sample(df, 5, 42, "repo").collect()}
     assert [got["k", i] for i in range(1, 6)] == seeded.shuffled(sorted(items), seeded.fnv1a32("42:repo:k"))[:5] and got["l", 1] == "x" and len(got) == 6
+
+
+def test_moved_code_is_carried_over(spark):
+    old, new = "int a;\nint f() {\n  return 1; // one\n}\n", "int zero;\nint one;\n\nint f() {\n    return   1;\n}\nint g() {\n  return 2;\n}\n"
+    files = lambda rows: spark.createDataFrame(rows, "path string, content string")
+    found = lambda rows: spark.createDataFrame(rows, "row int, id string, file string, kind string, start_line int, end_line int")
+    b = diff.with_content(found([(1, "x", "a.java", "long", 2, 4), (2, "y", "gone.java", "long", 1, 3), (3, "p", "t.java", "long", 1, 1), (4, "q", "t.java", "long", 2, 2)]), files([("a.java", old), ("t.java", "same();\nsame();\n")]))
+    h = diff.with_content(found([(11, "m", "b/renamed.java", "long", 4, 6), (12, "n", "b/renamed.java", "long", 7, 9), (13, "r", "t.java", "long", 5, 5)]), files([("b/renamed.java", new), ("t.java", "\n\n\n\nsame();\n")]))
+    assert [tuple(r) for r in diff.pair(b, h, keys=("id", "content_key")).collect()] == [(1, 11, "content_key")]  # ties are refused
+    assert b.filter("row = 2").first().content_key is None
+    place = lambda rows: spark.createDataFrame(rows, "row int, place string")
+    pairs = spark.createDataFrame([(1, 11), (2, 12), (3, 13)], "base_row int, head_row int")
+    got = diff.partially_introduced(pairs, place([(1, "a"), (1, "b"), (2, "a"), (3, "a"), (3, "a")]), place([(11, "a"), (11, "b"), (12, "a"), (12, "a"), (12, "z"), (13, "a"), (14, "q")]))
+    assert [tuple(r) for r in got.collect()] == [(12, 2)]
