@@ -6,6 +6,8 @@ the tables and edge kinds that it needs; the runner gates on what is there and r
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -13,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ids import finding_id
+from ..functions.session import written
 from .ranking import TIER
 
 Facts = dict[str, DataFrame]
@@ -30,6 +33,8 @@ class Detector:
     cap: int | None = None
     registered: bool = True
     edge_kinds: tuple[str, ...] = ()
+    #: Edge kinds that it reads, for ``kept_findings``; none: all.
+    reads: tuple[str, ...] = ()
 
 
 REGISTRY: dict[str, Detector] = {}
@@ -69,8 +74,74 @@ def with_ids(found: DataFrame) -> DataFrame:
     return found.withColumns({"id": finding_id(F.col("detector_id"), F.col("variant"), place), "kind": F.col("detector_id"), "impact": tier})
 
 
-def run_detectors(spark: SparkSession, facts: Facts, only: tuple[str, ...] | None = None, extra: bool = False, thresholds: dict[str, dict[str, float]] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(findings with ids, coverage). The gates look at table names and at the distinct edge kinds, a handful of values."""
+def fingerprints(facts: Facts) -> dict[str, str]:
+    """A hash of the rows of every fact table, whatever their order; of edges one to a kind (``edges:kind``). One aggregation to a table."""
+    out = {}
+    for name, df in facts.items():
+        row = F.xxhash64(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}))
+        sums = (F.count("*").alias("n"), F.sum(row.cast("decimal(38,0)")).alias("s"), F.bit_xor(row).alias("x"))
+        if name == "edges":
+            out |= {f"edges:{r.kind}": f"{r.n}:{r.s}:{r.x}" for r in df.groupBy("kind").agg(*sums).collect()}  # a row for each kind
+        else:
+            r = df.agg(*sums).first()
+            out[name] = f"{r.n}:{r.s}:{r.x}"
+    return out
+
+
+class _Noting(dict):
+    """Facts that note which tables were asked for, whether there or not."""
+
+    def __init__(self, facts: Facts):
+        super().__init__(facts)
+        self.asked: set[str] = set()
+
+    def __getitem__(self, name):
+        self.asked.add(name)
+        return super().__getitem__(name)
+
+    def __contains__(self, name):
+        self.asked.add(name)
+        return super().__contains__(name)
+
+    def get(self, name, default=None):
+        self.asked.add(name)
+        return super().get(name, default)
+
+
+def kept_findings(spark: SparkSession, facts: Facts, path: str, version: str) -> Callable[[Detector, dict[str, float], Callable[[Facts], DataFrame]], DataFrame]:
+    """For ``run_detectors(keep=...)``: what a detector found before, where the part of the facts that it reads has not changed.
+
+    Findings are stored below the path by detector and by a hash of the version, its thresholds and the fingerprints of the tables that it asked
+    for when it last ran (noted beside them); of edges those of the kinds that it declares to read, else of all. A table that was not
+    written to its end does not count.
+    """
+    prints = fingerprints(facts)
+
+    def keep(d: Detector, thresholds: dict[str, float], run: Callable[[Facts], DataFrame]) -> DataFrame:
+        place = f"{path}/{d.id}/{hashlib.sha1(version.encode()).hexdigest()}"
+
+        def at(asked: list[str]) -> str:
+            parts = [(t, prints.get(t)) for t in asked if t != "edges"]
+            if "edges" in asked:
+                parts += sorted((k, v) for k, v in prints.items() if k.startswith("edges:") and (not d.reads or k[6:] in d.reads))
+            return f"{place}/{hashlib.sha1(json.dumps([sorted(thresholds.items()), parts]).encode()).hexdigest()}"
+
+        if written(spark, f"{place}/asked"):
+            known = at(sorted(r.table for r in spark.read.schema("table string").parquet(f"{place}/asked").collect()))  # names of tables
+            if written(spark, known):
+                return spark.read.schema(FINDING).parquet(known)
+        noting = _Noting(facts)
+        found = run(noting)
+        asked = sorted(noting.asked)
+        found.write.mode("overwrite").parquet(at(asked))
+        spark.createDataFrame([(t,) for t in asked], "table string").coalesce(1).write.mode("overwrite").parquet(f"{place}/asked")
+        return spark.read.schema(FINDING).parquet(at(asked))
+
+    return keep
+
+
+def run_detectors(spark: SparkSession, facts: Facts, only: tuple[str, ...] | None = None, extra: bool = False, thresholds: dict[str, dict[str, float]] | None = None, keep: Callable[[Detector, dict[str, float], Callable[[Facts], DataFrame]], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(findings with ids, coverage). The gates look at table names and at the distinct edge kinds, a handful of values. ``keep``: see ``kept_findings``."""
     from .ranking import capped
 
     kinds = {r[0] for r in facts["edges"].select("kind").distinct().collect()} if "edges" in facts else set()
@@ -84,8 +155,13 @@ def run_detectors(spark: SparkSession, facts: Facts, only: tuple[str, ...] | Non
             cover.append((d.id, "no-aplicable" if missing else "sin-aristas", missing + lost))
             continue
         cover.append((d.id, "corrio", []))
-        f = d.run(facts, d.thresholds | (thresholds or {}).get(d.id, {}))
-        f = f if d.cap is None else capped(f.withColumn("id", F.concat_ws("#", "file", "symbol", "variant")), d.cap).drop("id")
+        limits = d.thresholds | (thresholds or {}).get(d.id, {})
+
+        def run(facts: Facts, d=d, limits=limits) -> DataFrame:
+            f = d.run(facts, limits)
+            return f if d.cap is None else capped(f.withColumn("id", F.concat_ws("#", "file", "symbol", "variant")), d.cap).drop("id")
+
+        f = keep(d, limits, run) if keep else run(facts)
         out = f if out is None else out.unionByName(f)
     if out is None:
         out = spark.createDataFrame([], FINDING)

@@ -95,3 +95,44 @@ def test_moved_code_is_carried_over(spark):
     pairs = spark.createDataFrame([(1, 11), (2, 12), (3, 13)], "base_row int, head_row int")
     got = diff.partially_introduced(pairs, place([(1, "a"), (1, "b"), (2, "a"), (3, "a"), (3, "a")]), place([(11, "a"), (11, "b"), (12, "a"), (12, "a"), (12, "z"), (13, "a"), (14, "q")]))
     assert [tuple(r) for r in got.collect()] == [(12, 2)]
+
+
+def test_unchanged_facts_skip_their_detectors(spark, tmp_path):
+    rows = [("a", "f", "A"), ("b", "f", "A"), ("a", "f", "A")]
+    table = lambda r: spark.createDataFrame(r, "name string, file string, type string")
+    edge = lambda k, n: spark.createDataFrame([("s", f"d{i}", k) for i in range(n)], "src string, dst string, kind string")
+    ran = []
+
+    def counting(id, table_name, **more):
+        def run(facts, t):
+            ran.append(id)
+            rows = facts[table_name].filter("kind = 'calls'") if id == "own-calls" else facts[table_name]
+            if id == "own-y" and "also" in facts:
+                rows = rows.limit(0)
+            return detect.findings(rows.groupBy("file" if table_name != "edges" else "kind").count(), id, 1.0, file="file" if table_name != "edges" else "kind", n="count")
+
+        return detect.register(detect.Detector(id, "intra-file", None, (table_name,), run, **more))
+
+    gone = [counting("own-x", "x"), counting("own-y", "y"), counting("own-calls", "edges", reads=("calls",)), counting("own-all", "edges")]
+    try:
+        def found(facts, version="1", thresholds=None):
+            ran.clear()
+            only = ("own-x", "own-y", "own-calls", "own-all")
+            keep = detect.kept_findings(spark, facts, str(tmp_path / "kept"), version)
+            got, _ = detect.run_detectors(spark, facts, only=only, thresholds=thresholds, keep=keep)
+            plain, _ = detect.run_detectors(spark, facts, only=only, thresholds=thresholds)
+            again = list(ran)
+            assert sorted(map(str, got.collect())) == sorted(map(str, plain.collect()))
+            return set(again[:-4])
+
+        facts = {"x": table(rows), "y": table(rows[:1]), "edges": edge("calls", 2).unionByName(edge("imports", 3))}
+        assert found(facts) == {"own-x", "own-y", "own-calls", "own-all"}
+        assert found({**facts, "x": table(rows[::-1]).repartition(3)}) == set()
+        assert found({**facts, "x": table(rows[:2])}) == {"own-x"}  # one of equal rows less
+        assert found({**facts, "edges": edge("calls", 2).unionByName(edge("imports", 4))}) == {"own-all"}
+        assert found(facts, thresholds={"own-y": {"n": 2}}) == {"own-y"}
+        assert found({**facts, "also": table(rows[:1])}) == {"own-y"}  # which only asks whether it is there
+        assert found(facts, "2") == {"own-x", "own-y", "own-calls", "own-all"}
+    finally:
+        for g in gone:
+            g()
