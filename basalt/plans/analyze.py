@@ -101,7 +101,7 @@ def indirect_calls(calls: DataFrame, members: DataFrame, symbols: DataFrame) ->
 
 
 def build_graph(facts: dict[str, DataFrame], files: DataFrame) -> dict[str, DataFrame]:
-    """Adds nodes and edges to extracted facts: containment, imports, resolved references, inheritance, constructor calls, written types, functions as values, matching signatures."""
+    """Adds nodes and edges to extracted facts: containment, imports, resolved references, inheritance, constructor calls, written and propagated types, stored ones, functions as values, calls on own fields, matching signatures."""
     symbols = occurrence(facts["symbols"]).join(files.select(F.col("path").alias("file"), "language"), "file", "left_semi")
     targets = resolve.import_targets(facts["imports"], files)
     imports = targets.select(F.concat(F.lit("file:"), "file").alias("src"), F.concat(F.lit("file:"), "target").alias("dst"), F.lit("imports").alias("kind"), F.lit("declared").alias("provenance"), F.lit(1).cast("long").alias("weight"))
@@ -123,25 +123,21 @@ def build_graph(facts: dict[str, DataFrame], files: DataFrame) -> dict[str, Data
         written = written.unionByName(propagated_edges(flow.propagate(origins, flows), origins, owner, types))
     members = facts["members"].join(types.select(F.col("_file").alias("file"), "type", "type_id").groupBy("file", "type").agg(F.min("type_id").alias("type_id")), ["file", "type"], "left")
     answers = resolve.satisfies(members.filter("kind = 'method' AND type_id IS NOT NULL AND name NOT LIKE '\\_\\_%'").select(F.col("type_id").alias("type"), "name", "arity")).withColumns({"kind": F.lit("satisfies"), "weight": F.lit(1).cast("long")})
-    extra_nodes = None
+    more, carriers = [], None
     if "value_flows" in facts:
-        stored = stores(facts, owner, types)
-        told_calls = facts["member_calls"].select("file", "type", "member", "receiver", F.col("callee").alias("name")) if "member_calls" in facts else None
-        if told_calls is not None:
-            indirect = indirect_calls(told_calls, facts["members"], symbols)
-            extra_nodes = indirect.select(F.col("dst").alias("id"), F.lit("carrier").alias("kind"), F.regexp_extract("dst", r"^carrier:(.*)#", 1).alias("file"), F.regexp_extract("dst", r"([^.]*)$", 1).alias("name")).distinct()
-            stored = stored.unionByName(indirect.select(*stored.columns))
-        resolved_more = stored
-    else:
-        resolved_more = None
-    derived = [x.select("src", "dst", "kind", "provenance", "weight") for x in (made, resolve.carries(resolved, symbols), written, answers)]
+        more.append(stores(facts, owner, types))
+    if "member_calls" in facts:
+        indirect = indirect_calls(facts["member_calls"].withColumnRenamed("callee", "name"), facts["members"], symbols)
+        more.append(indirect)
+        carriers = indirect.select(F.col("dst").alias("id"), F.lit("carrier").alias("kind"), F.regexp_extract("dst", r"^carrier:(.*)#", 1).alias("file"), F.regexp_extract("dst", r"([^.]*)$", 1).alias("name")).distinct()
+    derived = [x.select("src", "dst", "kind", "provenance", "weight") for x in (made, resolve.carries(resolved, symbols), written, answers, *more)]
     edges = graph.containment(files).unionByName(graph.symbol_containment(symbols)).unionByName(imports).unionByName(resolved).unionByName(kin)
-    for x in derived + ([resolved_more] if resolved_more is not None else []):
+    for x in derived:
         edges = edges.unionByName(x)
     file_nodes = files.select(F.concat(F.lit("file:"), "path").alias("id"), F.lit("file").alias("kind"), F.col("path").alias("file"), F.regexp_replace("path", "/?[^/]*$", "").alias("folder"), F.col("path").alias("name"))
     nodes = file_nodes.unionByName(symbols.select("id", F.lit("symbol").alias("kind"), "file", F.regexp_replace("file", "/?[^/]*$", "").alias("folder"), "name", "family", "arity", "exported", "member_of_class_like", "start_line", "end_line"), allowMissingColumns=True)
-    if extra_nodes is not None:
-        nodes = nodes.unionByName(extra_nodes.withColumn("folder", F.regexp_replace("file", "/?[^/]*$", "")), allowMissingColumns=True)
+    if carriers is not None:
+        nodes = nodes.unionByName(carriers.withColumn("folder", F.regexp_replace("file", "/?[^/]*$", "")), allowMissingColumns=True)
     ids = types.groupBy(F.col("_file").alias("file"), "type").agg(F.min("type_id").alias("type_id"))
     told = {}
     if "products" in facts:
