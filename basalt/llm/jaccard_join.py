@@ -378,6 +378,25 @@ def _compare(t: Fraction):
     return run
 
 
+def _some(wanted: np.ndarray):
+    """Rows whose document may be wanted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield b.filter(pa.array(bloom.maybe(wanted, b.column("doc_id").to_numpy(zero_copy_only=False)), pa.bool_()))
+
+    return run
+
+
+def _verified(pairs: DataFrame, packed: DataFrame, t: Fraction) -> DataFrame:
+    """The pairs that are similar; of the packed sets only those of the pairs are moved, and few others that the filter passes."""
+    ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    few = packed.select("doc_id", "shingles").mapInArrow(lean(_some(bloom.build(ends))), "doc_id long, shingles binary")
+    x, y = few.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), few.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
+    return cut(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(lean(_verify(t)), "a long, b long"))
+
+
 def join(docs: DataFrame, k: int = 4, threshold: Fraction = Fraction(85, 100)) -> DataFrame:
     """doc_id, n_shingles, component_id."""
     return links(docs, k, threshold).drop("n_links")
@@ -411,8 +430,6 @@ def links(docs: DataFrame, k: int = 4, threshold: Fraction = Fraction(85, 100))
     packed = cut(cols.mapInArrow(lean(_packed_sets(k, bits)), "doc_id long, n long, cells binary, shingles binary").join(wanted, F.col("doc_id") == wanted["id"], "left_semi"))
     x, y = (packed.select(F.col("doc_id").alias(c), F.col("n").alias(f"n{d}"), F.col("cells").alias(f"c{d}")) for c, d in (("a", "x"), ("b", "y")))
     pairs = cut(pairs.join(x, "a").join(y, "b").select("a", "b", "nx", "ny", "cx", "cy").mapInArrow(lean(_possible(t)), "a long, b long").distinct())
-    x, y = packed.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), packed.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
-    verified = lambda p: cut(p.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(lean(_verify(t)), "a long, b long"))
     # Classes of equal sets by their smallest document, with their rows.
     names = sets.filter("n > 0 AND doc_id IS NOT NULL")
     classes = cut(names.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).filter("c > 1"))
@@ -422,7 +439,7 @@ def links(docs: DataFrame, k: int = 4, threshold: Fraction = Fraction(85, 100))
     grouped = sized.join(group, F.col("doc_id") == F.col("id")).select("doc_id", "n", "weight", "group_id")
     small = cut(grouped.groupBy("group_id").agg(F.sum("n").alias("n"), F.count("*").alias("c")).filter((F.col("n") <= BLOCK_SHINGLES) & (F.col("c") <= GROUP_SETS)).select("group_id"))
     large = cut(pairs.join(group.select(F.col("id").alias("a"), "group_id"), "a").join(small, "group_id", "left_anti").select("a", "b"))
-    linked = large if large.isEmpty() else verified(large)
+    linked = large if large.isEmpty() else _verified(large, packed, t)
     # Crowds: blocks by (crowd, size level, hash); a task has block i of a level with block j >= i of it, or with one of the next level.
     sized = sized.join(in_crowd, F.col("doc_id") == F.col("id")).select("doc_id", "n", "weight", "crowd_id").withColumn("level", F.floor(F.log("n") / F.lit(prefixes.base)).cast("int"))
     n_blocks = sized.groupBy("crowd_id", "level").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_SETS)).cast("int").alias("blocks"))
