@@ -10,6 +10,8 @@ from ..functions.text import identifier_words
 
 #: Costs and bounds of the searches.
 CONTAINS_COST, PATH_HOPS, IMPACT_DEPTH, HIERARCHY_DEPTH, SIMILAR, NAME_WEIGHT = 3, 12, 3, 6, 0.15, 3
+#: Digits of a similarity that order results.
+SCORE_DIGITS = 12
 HIERARCHY = ("extends", "implements", "mixes-in", "satisfies")
 
 
@@ -109,10 +111,13 @@ def tfidf(terms: DataFrame) -> DataFrame:
 
 
 def find_similar(terms: DataFrame, probe: str | int, k: int = 20, least: float = SIMILAR) -> DataFrame:
-    """id, score of the k entries most like the probe by cosine: only the probe's few terms go into the join."""
+    """id, score of the k entries most like the probe by cosine: only the probe's few terms go into the join.
+
+    Sums that differ by the order of their addends alone, as those of copies do, are one score: the id decides.
+    """
     w = tfidf(terms)
     p = w.filter(F.col("id") == probe).select("term", F.col("w").alias("_w"))
-    return w.filter(F.col("id") != probe).join(p, "term").groupBy("id").agg(F.sum(F.col("w") * F.col("_w")).alias("score")).filter(F.col("score") >= least).orderBy(F.col("score").desc(), "id").limit(k)
+    return w.filter(F.col("id") != probe).join(p, "term").groupBy("id").agg(F.sum(F.col("w") * F.col("_w")).alias("score")).filter(F.col("score") >= least).orderBy(F.round("score", SCORE_DIGITS).desc(), "id").limit(k)
 
 
 def symbol_terms(nodes: DataFrame, neighbours: DataFrame) -> DataFrame:
