@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable
 from fractions import Fraction
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basalt.llm import jaccard_join, mixing, packing, suffix_dedup, toxicity
-from basalt.llm.common import checkpoint_dir, remove, table
+from basalt.llm.common import checkpoint_dir, remove, table, trim
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -72,4 +73,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             if before is not None:  # its successor is written; the last one feeds the result and stays with the checkpoints
                 remove(spark, before)
             before = f"{place}/{name}"
+            # What a stage held on the driver, by Python or by the checkpoints of its plans, goes before the next one.
+            gc.collect()
+            trim()
+            spark._jvm.System.gc()
     return docs

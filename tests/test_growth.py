@@ -1,7 +1,13 @@
 """Results and amounts of work where tables grow by copies."""
 
 import random
+from fractions import Fraction
 
+import numpy as np
+import pyarrow as pa
+
+from basalt.llm import jaccard_join
+from basalt.llm.packed import unpack_sorted
 from basalt.operators import navigate, resolve
 
 
@@ -25,3 +31,14 @@ def test_division_between_classes(spark):
     assert resolve.satisfying_classes(classes).count() == 7  # 4 with themselves, 3 others: not a row for each of 40 x 40 copies
     want = {(a, b, "ambiguous" if m[a] == m[b] else "inferred") for a in m for b in m if a != b and len(m[b]) >= 2 and m[b] <= m[a]}
     assert sorted(tuple(r) for r in resolve.satisfies(members).collect()) == sorted(want)
+
+
+def test_entries_of_the_join_are_small():
+    r = np.random.default_rng(3)
+    texts = [" ".join(f"w{x}" for x in r.integers(0, 5000, 400)) for _ in range(1500)]
+    docs = pa.RecordBatch.from_arrays([pa.array(range(1500), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    prefixes = jaccard_join.Prefixes(np.ones(jaccard_join.SKETCH, np.float32), Fraction(85, 100))
+    out = pa.Table.from_batches(jaccard_join._entries(4, prefixes, 4)([docs])).to_pylist()
+    n = sum(len(unpack_sorted(x["keys"])) for x in out)
+    assert n > 50_000
+    assert sum(len(x[c]) for x in out for c in ("keys", "sets", "ids", "sizes")) < 14 * n
