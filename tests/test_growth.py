@@ -8,7 +8,7 @@ import pyarrow as pa
 
 from basalt.llm import jaccard_join
 from basalt.llm.packed import unpack_sorted
-from basalt.operators import navigate, resolve
+from basalt.operators import braces, navigate, resolve
 
 
 def test_equal_scores_are_ordered_by_id(spark):
@@ -42,3 +42,9 @@ def test_entries_of_the_join_are_small():
     n = sum(len(unpack_sorted(x["keys"])) for x in out)
     assert n > 50_000
     assert sum(len(x[c]) for x in out for c in ("keys", "sets", "ids", "sizes")) < 14 * n
+
+
+def test_texts_are_dealt_before_they_are_tokens(spark):
+    files = spark.createDataFrame([("A.java", "class A {\n}\n"), ("B.java", "class B { int f() { return 1; } }\n")], "path string, content string")
+    plan = braces.tokens(files)[0]._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and 0 < plan.index("posexplode") < plan.index("Exchange")
