@@ -73,10 +73,11 @@ def unreliable(base: DataFrame, head: DataFrame, anchor: str = "anchor") -> Data
 
 
 def edge_diff(base: DataFrame, head: DataFrame) -> DataFrame:
-    """src, dst, kind, status of edges that are on one side only."""
+    """src, dst, kind, status of edges that are on one side only: one aggregation that notes the sides of every edge."""
     k = ["src", "dst", "kind"]
-    b, h = base.select(*k).distinct(), head.select(*k).distinct()
-    return h.join(b, k, "left_anti").withColumn("status", F.lit("added")).unionByName(b.join(h, k, "left_anti").withColumn("status", F.lit("removed")))
+    both = base.select(*k, F.lit(1).alias("_side")).unionByName(head.select(*k, F.lit(2).alias("_side")))
+    sides = both.groupBy(*k).agg(F.bit_or("_side").alias("_sides")).filter("_sides <> 3")
+    return sides.select(*k, F.when(F.col("_sides") == 2, F.lit("added")).otherwise(F.lit("removed")).alias("status"))
 
 
 def census(findings: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ import pyarrow as pa
 
 from basalt.llm import jaccard_join
 from basalt.llm.packed import unpack_sorted
-from basalt.operators import braces, navigate, resolve
+from basalt.operators import braces, diff, navigate, resolve
 
 
 def test_equal_scores_are_ordered_by_id(spark):
@@ -48,3 +48,15 @@ def test_texts_are_dealt_before_they_are_tokens(spark):
     files = spark.createDataFrame([("A.java", "class A {\n}\n"), ("B.java", "class B { int f() { return 1; } }\n")], "path string, content string")
     plan = braces.tokens(files)[0]._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and 0 < plan.index("posexplode") < plan.index("Exchange")
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_edges_of_snapshots_meet_in_one_aggregation(spark):
+    rows = lambda r: spark.createDataFrame(r, "src string, dst string, kind string")
+    base, head = rows([("a", "b", "calls")] * 2 + [("a", "c", "calls"), ("n", None, "calls")]), rows([("a", "b", "calls"), ("a", "b", "imports"), ("n", None, "calls")])
+    got = diff.edge_diff(base, head)
+    assert "Join" not in _plan(got) and _plan(got).count("Exchange") == 1
+    assert sorted(tuple(r) for r in got.collect()) == [("a", "b", "imports", "added"), ("a", "c", "calls", "removed")]  # a null is equal to itself, as in EXCEPT
