@@ -144,11 +144,10 @@ def run_detectors(spark: SparkSession, facts: Facts, only: tuple[str, ...] | Non
     """(findings with ids, coverage). The gates look at table names and at the distinct edge kinds, a handful of values. ``keep``: see ``kept_findings``."""
     from .ranking import capped
 
-    kinds = {r[0] for r in facts["edges"].select("kind").distinct().collect()} if "edges" in facts else set()
+    chosen = [d for d in REGISTRY.values() if not (only and d.id not in only) and (d.registered or extra or only)]
+    kinds = {r[0] for r in facts["edges"].select("kind").distinct().collect()} if "edges" in facts and any(d.edge_kinds for d in chosen) else set()
     out, cover = None, []
-    for d in REGISTRY.values():
-        if only and d.id not in only or not (d.registered or extra or only):
-            continue
+    for d in chosen:
         missing = [t for t in d.needs if t not in facts]
         lost = [k for k in d.edge_kinds if k not in kinds]
         if missing or lost:

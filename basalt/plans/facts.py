@@ -55,10 +55,12 @@ und AS (SELECT src AS a, dst AS b FROM thin UNION SELECT dst, src FROM thin)
 """
 
 
-def facts(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+def facts(spark: SparkSession, d: str, merged: bool = True) -> dict[str, DataFrame]:
+    """Without ``merged``, edges as they come: the distinct ends of trusted edges are the same, as the strongest of equal edges is one of them; weights are not."""
     from ..operators.graph import merge_edges
 
-    return {"nodes": nodes(spark, d), "edges": merge_edges(edges(spark, d)), "files": nodes(spark, d).select(F.col("file").alias("path"))}
+    e = edges(spark, d)
+    return {"nodes": nodes(spark, d), "edges": merge_edges(e) if merged else e, "files": nodes(spark, d).select(F.col("file").alias("path"))}
 
 
 def thin(f: dict[str, DataFrame]) -> DataFrame:
@@ -69,7 +71,7 @@ def thin(f: dict[str, DataFrame]) -> DataFrame:
 
 
 def all_files(f: dict[str, DataFrame]) -> DataFrame:
-    """The whole file graph."""
+    """The whole file graph; its pairs (not its weights) also over edges that are not merged."""
     from ..operators.graph import project
 
     return project(f["nodes"], f["edges"], "file")

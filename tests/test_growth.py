@@ -1,6 +1,7 @@
 """Results and amounts of work where tables grow by copies."""
 
 import random
+import re
 from fractions import Fraction
 
 import numpy as np
@@ -9,6 +10,7 @@ import pyarrow as pa
 from basalt.llm import jaccard_join
 from basalt.llm.packed import unpack_sorted
 from basalt.operators import braces, diff, navigate, resolve
+from basalt.plans import facts, queries
 
 
 def test_equal_scores_are_ordered_by_id(spark):
@@ -60,3 +62,12 @@ def test_edges_of_snapshots_meet_in_one_aggregation(spark):
     got = diff.edge_diff(base, head)
     assert "Join" not in _plan(got) and _plan(got).count("Exchange") == 1
     assert sorted(tuple(r) for r in got.collect()) == [("a", "b", "imports", "added"), ("a", "c", "calls", "removed")]  # a null is equal to itself, as in EXCEPT
+
+
+def test_pairs_of_files_need_no_merged_edges(spark):
+    d = "/root/testdata/sf0.001"
+    merged, raw = (facts.facts(spark, d, merged=m) for m in (True, False))
+    pairs = lambda f: sorted(tuple(r) for r in facts.all_files(f).select("src", "dst").collect())
+    assert pairs(merged) == pairs(raw)
+    for q in ("fan_in_out", "risky_files", "orphan_file", "shotgun_surgery", "modulo_envy", "inappropriate_intimacy"):
+        assert not re.search(r"keys=\[src#\d+, dst#\d+, kind#\d+\]", _plan(queries.QUERIES[q](spark, d))), q
