@@ -2,15 +2,15 @@
 
 The value of a site is a set of types, each with the strength of what is known of it, or ``ANY`` once the set would hold more than ``most`` types.
 Sets only grow and strengths only rise, so that the least fix point is unique, also on cycles. Each round joins what
-the last one has changed with the flows (semi-naive); a site holds at most ``most`` rows, which bounds the state whatever the number of types that could reach it.
+the last one has changed with the flows (semi-naive), and what is known moves once; a site holds at most ``most`` rows, which bounds the state whatever the number of types that could reach it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.session import cut
+from ..functions.session import stored
 from .graph import STRENGTH, strength
 
 #: The type of a site that more types reach than are told apart.
@@ -18,11 +18,17 @@ ANY = "*"
 MOST = 8
 
 
-def _widened(rows: DataFrame, most: int) -> DataFrame:
-    """(site, type, s) with one row ``ANY`` for sites of too many types."""
-    one = rows.groupBy("site", "type").agg(F.max("s").alias("s"))
-    many = one.groupBy("site").agg(((F.count("*") > most) | F.max(F.col("type") == ANY)).alias("many")).filter("many").select("site")
-    return one.join(many, "site", "left_anti").unionByName(many.select("site", F.lit(ANY).alias("type"), F.lit(0).alias("s")))
+def _met(rows: DataFrame, most: int) -> DataFrame:
+    """(site, type, s, fresh) of rows (site, type, had, got): one row ``ANY`` for sites of too many types; fresh is what was not known, or less well.
+
+    One shuffle by site; all that follows stays within it.
+    """
+    w = Window.partitionBy("site")
+    one = rows.repartition("site").groupBy("site", "type").agg(F.max("had").alias("had"), F.max("got").alias("got"))
+    any_ = F.col("type") == ANY
+    one = one.withColumns({"_many": (F.count("*").over(w) > most) | F.max(any_).over(w), "_was": F.max(any_ & F.col("had").isNotNull()).over(w), "_first": F.min("type").over(w) == F.col("type")})
+    fresh = F.when(F.col("_many"), ~F.col("_was")).otherwise(F.col("had").isNull() | F.coalesce(F.col("got") > F.col("had"), F.lit(False)))
+    return one.filter(~F.col("_many") | F.col("_first")).select("site", F.when(F.col("_many"), F.lit(ANY)).otherwise(F.col("type")).alias("type"), F.when(F.col("_many"), F.lit(0)).otherwise(F.greatest("had", "got")).alias("s"), fresh.alias("fresh"))
 
 
 def propagate(origins: DataFrame, flows: DataFrame, most: int = MOST, rounds: int = 10_000) -> DataFrame:
@@ -33,21 +39,14 @@ def propagate(origins: DataFrame, flows: DataFrame, most: int = MOST, rounds: in
     """
     start = origins.select("site", "type", strength(F.col("provenance")).alias("s")).filter("site IS NOT NULL AND type IS NOT NULL")
     declared = start.filter(F.col("s") == STRENGTH["declared"]).select(F.col("site").alias("dst")).distinct()
-    arcs = cut(flows.select("src", "dst").filter("src <> dst").distinct().join(declared, "dst", "left_anti"))
-    known = cut(_widened(start, most))
-    delta = known
+    arcs = stored(flows.select("src", "dst").filter("src <> dst").distinct().join(declared, "dst", "left_anti"))
+    known = stored(_met(start.select("site", "type", F.lit(None).cast("int").alias("had"), F.col("s").alias("got")), most))
     for _ in range(rounds):
-        came = delta.join(arcs, F.col("site") == F.col("src")).groupBy(F.col("dst").alias("site"), "type").agg(F.max(F.least("s", F.lit(STRENGTH["inferred"]))).alias("s"))
-        full = known.filter(F.col("type") == ANY).select("site")
-        came = came.join(full, "site", "left_anti").join(known.withColumnRenamed("s", "had"), ["site", "type"], "left").filter("had IS NULL OR s > had").drop("had")
-        came = cut(came)
-        if came.isEmpty():
+        delta = known.filter("fresh").select("site", "type", "s")
+        if delta.isEmpty():
             return known.select("site", "type", _provenance())
-        # Only the sites that something came to are looked at again.
-        at = came.select("site").distinct()
-        changed = cut(_widened(known.join(at, "site", "left_semi").unionByName(came), most))
-        delta = changed.join(known.withColumnRenamed("s", "had"), ["site", "type"], "left").filter("had IS NULL OR s > had").drop("had")
-        known, delta = cut(known.join(at, "site", "left_anti").unionByName(changed)), cut(delta)
+        came = delta.join(arcs, F.col("site") == F.col("src")).groupBy(F.col("dst").alias("site"), "type").agg(F.max(F.least("s", F.lit(STRENGTH["inferred"]))).alias("got"))
+        known = stored(_met(known.select("site", "type", F.col("s").alias("had"), F.lit(None).cast("int").alias("got")).unionByName(came.withColumn("had", F.lit(None).cast("int"))), most))
     raise RuntimeError(f"propagate: types still spread after {rounds} rounds")
 
 

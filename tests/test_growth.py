@@ -9,7 +9,7 @@ import pyarrow as pa
 
 from basalt.llm import jaccard_join
 from basalt.llm.packed import unpack_sorted
-from basalt.operators import braces, diff, navigate, resolve
+from basalt.operators import braces, diff, flow, navigate, resolve
 from basalt.plans import facts, queries
 
 
@@ -71,3 +71,12 @@ def test_pairs_of_files_need_no_merged_edges(spark):
     assert pairs(merged) == pairs(raw)
     for q in ("fan_in_out", "risky_files", "orphan_file", "shotgun_surgery", "modulo_envy", "inappropriate_intimacy"):
         assert not re.search(r"keys=\[src#\d+, dst#\d+, kind#\d+\]", _plan(queries.QUERIES[q](spark, d))), q
+
+
+def test_known_types_move_once_a_round(spark):
+    rows = spark.createDataFrame([("a", "T", 2, None), ("a", "T", None, 1), ("b", "T", 1, None), ("b", "T", None, 2), ("c", "U", None, 0)], "site string, type string, had int, got int")
+    met = flow._met(rows, 1)
+    assert _plan(met).count("Exchange") == 1
+    assert sorted(tuple(r) for r in met.collect()) == [("a", "T", 2, False), ("b", "T", 2, True), ("c", "U", 0, True)]
+    more = rows.unionByName(spark.createDataFrame([("a", "V", None, 1)], rows.schema))
+    assert sorted(tuple(r) for r in flow._met(more, 1).collect())[0] == ("a", flow.ANY, 0, True)
