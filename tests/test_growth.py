@@ -73,6 +73,16 @@ def test_pairs_of_files_need_no_merged_edges(spark):
         assert not re.search(r"keys=\[src#\d+, dst#\d+, kind#\d+\]", _plan(queries.QUERIES[q](spark, d))), q
 
 
+def test_declarations_that_nothing_tells_apart_are_counted_as_one(spark):
+    symbols = spark.createDataFrame([(f"s{i:03}", f"d{i % 3}/f{i}.src", "run", [], "function", True, False) for i in range(300)] + [("m", "d0/own.src", "run", ["A"], "method", True, True)], "id string, file string, name string, container array<string>, family string, exported boolean, member_of_class_like boolean")
+    refs = spark.createDataFrame([(f"r{i}", f"d{i}/own.src", "run", "read", ["A"], q, False, False, True, False) for i in range(2) for q in ("self",)], "ref_id string, file string, name string, role string, scope array<string>, qualifier string, qualifier_is_bare_constant boolean, shadowed_locally boolean, is_callee boolean, in_type_slot boolean")
+    contexts = resolve.contexts(refs)
+    assert resolve._alike(contexts, symbols, None).count() == 4
+    assert sum(r.n for r in resolve._alike(contexts, symbols, None).collect()) == 301
+    full = resolve.resolve(refs, symbols).groupBy("ref_id").agg({"*": "count", "stage": "min"}).collect()
+    assert {r.ref_id: (r["min(stage)"], r["count(1)"]) for r in full}["r0"] == ("self-receiver", 1)
+
+
 def test_known_types_move_once_a_round(spark):
     rows = spark.createDataFrame([("a", "T", 2, None), ("a", "T", None, 1), ("b", "T", 1, None), ("b", "T", None, 2), ("c", "U", None, 0)], "site string, type string, had int, got int")
     met = flow._met(rows, 1)
