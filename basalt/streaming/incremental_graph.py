@@ -14,7 +14,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.session import cut
+from ..functions.session import stored
 from ..operators import graph, resolve
 
 BUCKETS = 64
@@ -66,30 +66,30 @@ class Graph:
     def build(self, symbols: DataFrame, references: DataFrame) -> None:
         """The whole graph anew."""
         s, r = self._placed(symbols, SYMBOL), self._placed(references, REFERENCE)
-        decided = cut(self._decided(r, s))
+        decided = stored(self._decided(r, s))
         self._commit({"symbols": s, "references": r, "decided": decided, "merged": self._merged(decided)}, {}, list(range(self.buckets)), 0)
 
     def update(self, removed_symbols: DataFrame, added_symbols: DataFrame, removed_references: DataFrame, added_references: DataFrame) -> list[int]:
         """Facts that go and that come; a fact that changes does both. The buckets that were written."""
         heads = self.heads()
-        s0, s1 = (cut(self._placed(x, SYMBOL)) for x in (removed_symbols, added_symbols))
-        r0, r1 = (cut(self._placed(x, REFERENCE)) for x in (removed_references, added_references))
-        dirty = cut(s0.exceptAll(s1).unionByName(s1.exceptAll(s0)).select("bucket", "name").distinct())
+        s0, s1 = (stored(self._placed(x, SYMBOL)) for x in (removed_symbols, added_symbols))
+        r0, r1 = (stored(self._placed(x, REFERENCE)) for x in (removed_references, added_references))
+        dirty = stored(s0.exceptAll(s1).unionByName(s1.exceptAll(s0)).select("bucket", "name").distinct())
         touched = sorted(r[0] for r in dirty.select("bucket").unionByName(r0.select("bucket")).unionByName(r1.select("bucket")).distinct().collect())  # at most ``buckets``
         if not touched:
             return []
         old = {t: self.table(t, heads, touched) for t in TABLES}
         # Rows are told apart by all their columns: of an edit that removes and adds the same row, one stays.
-        symbols = cut(old["symbols"].exceptAll(s0.filter(F.col("bucket").isin(touched))).unionByName(s1.filter(F.col("bucket").isin(touched))))
+        symbols = stored(old["symbols"].exceptAll(s0.filter(F.col("bucket").isin(touched))).unionByName(s1.filter(F.col("bucket").isin(touched))))
         gone = r0.select("ref_id").distinct()
         kept = old["references"].join(gone, "ref_id", "left_anti").select(*REFERENCE, "bucket")
-        references = cut(kept.unionByName(r1).dropDuplicates(["ref_id"]))
+        references = stored(kept.unionByName(r1).dropDuplicates(["ref_id"]))
         names = dirty.select("name")
         again = references.join(names, "name", "left_semi").unionByName(references.join(r1.select("ref_id").distinct(), "ref_id", "left_semi")).dropDuplicates(["ref_id"])
-        again = cut(again)
+        again = stored(again)
         new = self._decided(again, symbols.join(again.select("name").distinct(), "name", "left_semi"))
         decided = old["decided"].join(gone.unionByName(again.select("ref_id")).distinct(), "ref_id", "left_anti").unionByName(new)
-        decided = cut(decided)
+        decided = stored(decided)
         self._commit({"symbols": symbols, "references": references, "decided": decided, "merged": self._merged(decided)}, heads, touched, int(heads[-1]) + 1)
         return touched
 
