@@ -90,3 +90,21 @@ def test_known_types_move_once_a_round(spark):
     assert sorted(tuple(r) for r in met.collect()) == [("a", "T", 2, False), ("b", "T", 2, True), ("c", "U", 0, True)]
     more = rows.unionByName(spark.createDataFrame([("a", "V", None, 1)], rows.schema))
     assert sorted(tuple(r) for r in flow._met(more, 1).collect())[0] == ("a", flow.ANY, 0, True)
+
+
+def test_shingles_that_occur_once_hide_no_common_ones(monkeypatch):
+    monkeypatch.setattr(jaccard_join, "SKETCH_BITS", 8)  # as full as the table of a large corpus
+    monkeypatch.setattr(jaccard_join, "SKETCH", 1 << 8)
+    r = random.Random(7)
+    common = [" ".join(f"c{p}x{i}" for i in range(20)) for p in range(5)]
+    texts = [" ".join(f"w{r.random()}" for _ in range(300)) + (f" {common[i % 5]}" if i < 100 else "") for i in range(400)]
+    docs = pa.RecordBatch.from_arrays([pa.array(range(400), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    rows = pa.Table.from_batches(jaccard_join._first_pass(4, 4)([docs])).to_pandas()
+    blocks = rows[rows["range"].notna()]
+    counts = jaccard_join._table(x for _, g in blocks.groupby("range") for x in jaccard_join._most(g).itertuples())
+    assert len(rows) == 400 + len(blocks) and sorted(set(counts)) == [1, 20]
+    sets = jaccard_join.shingle_sets([x.encode() for x in texts], 4)
+    shared = lambda table: max(np.unique(np.concatenate([jaccard_join.Prefixes(table, Fraction(4, 5)).keys(s) for s in sets]), return_counts=True)[1])
+    assert shared(counts) <= jaccard_join.FEW  # unlike documents form no crowd
+    sums = np.bincount((np.concatenate(sets) & np.uint64(255)).astype(np.int64), minlength=256).astype(np.float32)
+    assert shared(sums) > jaccard_join.FEW  # the counts of before
