@@ -9,7 +9,7 @@ import pyarrow as pa
 
 from basalt.llm import jaccard_join
 from basalt.llm.packed import unpack_sorted
-from basalt.operators import braces, diff, flow, navigate, resolve
+from basalt.operators import braces, diff, flow, graph, navigate, resolve
 from basalt.plans import facts, queries
 
 
@@ -108,3 +108,14 @@ def test_shingles_that_occur_once_hide_no_common_ones(monkeypatch):
     assert shared(counts) <= jaccard_join.FEW  # unlike documents form no crowd
     sums = np.bincount((np.concatenate(sets) & np.uint64(255)).astype(np.int64), minlength=256).astype(np.float32)
     assert shared(sums) > jaccard_join.FEW  # the counts of before
+
+
+def test_suffixes_are_dealt_before_they_are_counted(spark):
+    files = spark.createDataFrame([("a/b/x.py",), ("a/c/x.py",), ("a/c/y.ts",), ("a/c/y.py",), ("z.py",)], "path string")
+    imports = spark.createDataFrame([("m", "./x"), ("m", "c/x"), ("m", "c/y"), ("n", "c/y"), ("n", "z"), ("o", "z"), ("o", "z"), ("m", "no")], "file string, specifier string")
+    got = resolve.import_targets(imports, files)
+    plan = _plan(got)
+    assert sorted(tuple(r) for r in got.collect()) == [("m", "c/x", "a/c/x.py"), ("m", "c/y", "a/c/y.ts"), ("n", "c/y", "a/c/y.ts"), ("n", "z", "z.py")]
+    assert "Broadcast" not in plan
+    counted = plan.index("functions=[count(1)")
+    assert plan.index("functions=[partial_count(1)") < plan.index("Exchange", counted)  # no task counts all it reads of the files
