@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.session import dealt
 from ..functions.text import segments
 
 #: Provenances by strength, and the roles of an edge as bits.
@@ -27,7 +28,7 @@ def strength(provenance: Column) -> Column:
 def merge_edges(edges: DataFrame) -> DataFrame:
     """One edge for (src, dst, kind): the strongest provenance replaces weaker ones; equals add weights, or roles and unite alternatives.
 
-    One aggregation with map-side sums by strength; the strongest is chosen afterwards.
+    One aggregation with sums by strength, over edges dealt by their ends and kind; the strongest is chosen afterwards.
     """
     s = strength(F.col("provenance"))
     has_roles, has_alt = "roles" in edges.columns, "alternatives" in edges.columns
@@ -38,7 +39,7 @@ def merge_edges(edges: DataFrame) -> DataFrame:
             aggs.append(F.bit_or(F.when(s == n, F.col("roles"))).alias(f"_r{n}"))
         if has_alt:
             aggs.append(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(s == n, F.col("alternatives")))))).alias(f"_a{n}"))
-    out = edges.groupBy("src", "dst", "kind").agg(F.max(s).alias("_s"), *aggs)
+    out = dealt(edges, "src", "dst", "kind").groupBy("src", "dst", "kind").agg(F.max(s).alias("_s"), *aggs)
 
     def pick(prefix: str) -> Column:
         c = F.col(f"{prefix}0")

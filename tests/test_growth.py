@@ -119,3 +119,11 @@ def test_suffixes_are_dealt_before_they_are_counted(spark):
     assert "Broadcast" not in plan
     counted = plan.index("functions=[count(1)")
     assert plan.index("functions=[partial_count(1)") < plan.index("Exchange", counted)  # no task counts all it reads of the files
+
+
+def test_edges_are_dealt_before_they_are_merged(spark):
+    rows = [("a", "b", "calls", "declared", 2, 1), ("a", "b", "calls", "declared", 3, 2), ("a", "b", "calls", "inferred", 9, 4), ("a", "c", "calls", "ambiguous", 1, 1)]
+    got = graph.merge_edges(spark.createDataFrame(rows, "src string, dst string, kind string, provenance string, weight long, roles int"))
+    plan = _plan(got)
+    assert sorted(tuple(r) for r in got.collect()) == [("a", "b", "calls", "declared", 5, 3), ("a", "c", "calls", "ambiguous", 1, 1)]
+    assert plan.count("Exchange") == 1 and "REPARTITION_BY_NUM" in plan and plan.rindex("HashAggregate") < plan.index("Exchange")
