@@ -127,3 +127,16 @@ def test_edges_are_dealt_before_they_are_merged(spark):
     plan = _plan(got)
     assert sorted(tuple(r) for r in got.collect()) == [("a", "b", "calls", "declared", 5, 3), ("a", "c", "calls", "ambiguous", 1, 1)]
     assert plan.count("Exchange") == 1 and "REPARTITION_BY_NUM" in plan and plan.rindex("HashAggregate") < plan.index("Exchange")
+
+
+def test_token_tables_are_read_in_the_buckets_of_their_files(spark):
+    odd = "} class A { int f(int p) { if (p > 1) { } } int z; } }\nint g() { while (true) { if (x) { h(); }\n"  # braces too many and too few
+    files = spark.createDataFrame([("A.java", "class A { int f() { class B { int g() { if (a) { return 1; } return 2; } } return 3; } }\n"), ("B.java", odd)], "path string, content string")
+    s = braces.Sources(files)
+    for df in (s.tokens, s.statements, s.blocks):
+        assert "Exchange" not in _plan(df.groupBy("file", "text" if "text" in df.columns else "open").count().join(df.groupBy("file").count(), "file"))
+    at = {(r.file, r.text): (r.fn, r.cls, r.nest) for r in s.tokens.filter("text IN ('1', '2', '3', 'z', 'h')").collect()}
+    f, b, g = (s.blocks.filter(f"file = 'A.java' AND name = '{n}'").first().open for n in ("f", "B", "g"))
+    a = s.blocks.filter("file = 'A.java' AND name = 'A'").first().open
+    assert {k[1]: v for k, v in at.items() if k[0] == "A.java"} == {"1": (g, b, 1), "2": (g, b, 0), "3": (f, a, 0)}
+    assert at["B.java", "z"] == (None, s.blocks.filter("file = 'B.java' AND name = 'A'").first().open, 0) and at["B.java", "h"] == (None, None, 1)
