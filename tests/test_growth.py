@@ -7,6 +7,7 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 
+from basalt.functions import session
 from basalt.llm import jaccard_join
 from basalt.llm.packed import unpack_sorted
 from basalt.operators import braces, diff, flow, graph, navigate, resolve
@@ -140,3 +141,14 @@ def test_token_tables_are_read_in_the_buckets_of_their_files(spark):
     a = s.blocks.filter("file = 'A.java' AND name = 'A'").first().open
     assert {k[1]: v for k, v in at.items() if k[0] == "A.java"} == {"1": (g, b, 1), "2": (g, b, 0), "3": (f, a, 0)}
     assert at["B.java", "z"] == (None, s.blocks.filter("file = 'B.java' AND name = 'A'").first().open, 0) and at["B.java", "h"] == (None, None, 1)
+
+
+def test_stored_tables_are_never_broadcast(spark, monkeypatch):
+    kept, whole = [], flow.stored_by
+    monkeypatch.setattr(flow, "stored_by", lambda df, *a: kept.append(_plan(df)) or whole(df, *a))
+    origins = spark.createDataFrame([("a", "T", "declared"), ("b", "U", "resolved")], "site string, type string, provenance string")
+    got = flow.propagate(origins, spark.createDataFrame([("a", "b"), ("b", "c"), ("b", "a")], "src string, dst string"))
+    assert sorted(tuple(r) for r in got.collect()) == [("a", "T", "declared"), ("b", "T", "inferred"), ("b", "U", "resolved"), ("c", "T", "inferred"), ("c", "U", "inferred")]
+    assert len(kept) > 3 and not any("Broadcast" in p for p in kept)
+    small = session.stored(spark.range(5))  # of a few bytes as files
+    assert "Broadcast" not in _plan(spark.range(5).join(small.groupBy("id").count(), "id"))
