@@ -14,7 +14,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.session import stored
+from ..functions.session import discard, dropping_shuffles, stored
 from ..operators import graph, resolve
 
 BUCKETS = 64
@@ -58,16 +58,18 @@ class Graph:
 
     def _commit(self, tables: dict[str, DataFrame], heads: dict[int, str], touched: list[int], n: int) -> None:
         version = f"v{n}-{uuid.uuid4().hex[:8]}"
-        for name, df in tables.items():
-            df.repartition("bucket").write.partitionBy("bucket").parquet(f"{self.root}/{version}/{name}")
+        with dropping_shuffles(self.spark):
+            for name, df in tables.items():
+                df.repartition("bucket").write.option("compression", "zstd").partitionBy("bucket").parquet(f"{self.root}/{version}/{name}")
         new = {b: v for b, v in heads.items() if b >= 0} | dict.fromkeys(touched, version)
         self.spark.createDataFrame([(n, b, v) for b, v in new.items()] or [(n, -2, version)], "n int, bucket int, version string").coalesce(1).write.mode("append").parquet(f"{self.root}/commits")
 
     def build(self, symbols: DataFrame, references: DataFrame) -> None:
         """The whole graph anew."""
-        s, r = self._placed(symbols, SYMBOL), self._placed(references, REFERENCE)
+        s, r = stored(self._placed(symbols, SYMBOL)), stored(self._placed(references, REFERENCE))
         decided = stored(self._decided(r, s))
         self._commit({"symbols": s, "references": r, "decided": decided, "merged": self._merged(decided)}, {}, list(range(self.buckets)), 0)
+        discard(s, r, decided)
 
     def update(self, removed_symbols: DataFrame, added_symbols: DataFrame, removed_references: DataFrame, added_references: DataFrame) -> list[int]:
         """Facts that go and that come; a fact that changes does both. The buckets that were written."""
@@ -91,6 +93,7 @@ class Graph:
         decided = old["decided"].join(gone.unionByName(again.select("ref_id")).distinct(), "ref_id", "left_anti").unionByName(new)
         decided = stored(decided)
         self._commit({"symbols": symbols, "references": references, "decided": decided, "merged": self._merged(decided)}, heads, touched, int(heads[-1]) + 1)
+        discard(s0, s1, r0, r1, dirty, symbols, references, again, decided)
         return touched
 
     def _placed(self, df: DataFrame, columns: tuple[str, ...]) -> DataFrame:

@@ -143,12 +143,20 @@ def test_token_tables_are_read_in_the_buckets_of_their_files(spark):
     assert at["B.java", "z"] == (None, s.blocks.filter("file = 'B.java' AND name = 'A'").first().open, 0) and at["B.java", "h"] == (None, None, 1)
 
 
-def test_stored_tables_are_never_broadcast(spark, monkeypatch):
+def test_tables_in_buckets_are_never_broadcast(spark, monkeypatch):
     kept, whole = [], flow.stored_by
     monkeypatch.setattr(flow, "stored_by", lambda df, *a: kept.append(_plan(df)) or whole(df, *a))
     origins = spark.createDataFrame([("a", "T", "declared"), ("b", "U", "resolved")], "site string, type string, provenance string")
     got = flow.propagate(origins, spark.createDataFrame([("a", "b"), ("b", "c"), ("b", "a")], "src string, dst string"))
     assert sorted(tuple(r) for r in got.collect()) == [("a", "T", "declared"), ("b", "T", "inferred"), ("b", "U", "resolved"), ("c", "T", "inferred"), ("c", "U", "inferred")]
     assert len(kept) > 3 and not any("Broadcast" in p for p in kept)
-    small = session.stored(spark.range(5))  # of a few bytes as files
+    small = session.stored_by(spark.range(5), 2, "id")  # of a few bytes as files
     assert "Broadcast" not in _plan(spark.range(5).join(small.groupBy("id").count(), "id"))
+
+
+def test_references_move_with_short_keys(spark):
+    ref = "ref_id string, from_id string, file string, name string, role string, scope array<string>, qualifier string, qualifier_is_bare_constant boolean, shadowed_locally boolean, is_callee boolean, in_type_slot boolean"
+    refs = spark.createDataFrame([(i, "u", f, "run", "read", [], None, False, False, True, False) for i, f in (("r", "a/x"), ("r", "b/x"), ("q", "a/x"))], ref)
+    symbols = spark.createDataFrame([("s", "a/y", "run", [], "function", True, False)], "id string, file string, name string, container array<string>, family string, exported boolean, member_of_class_like boolean")
+    assert {len(r.context_id) for r in resolve.contexts(refs).collect()} == {16}
+    assert sorted(tuple(r) for r in resolve.decisions(refs, symbols).collect()) in ([(i, "run", "u", "s", "calls", "resolved", 1) for i in "qr"], [("q", "run", "u", "s", "calls", "resolved", 1), ("r", "run", "u", "s", "calls", "ambiguous", 1)])
