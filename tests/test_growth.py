@@ -159,4 +159,5 @@ def test_references_move_with_short_keys(spark):
     refs = spark.createDataFrame([(i, "u", f, "run", "read", [], None, False, False, True, False) for i, f in (("r", "a/x"), ("r", "b/x"), ("q", "a/x"))], ref)
     symbols = spark.createDataFrame([("s", "a/y", "run", [], "function", True, False)], "id string, file string, name string, container array<string>, family string, exported boolean, member_of_class_like boolean")
     assert {len(r.context_id) for r in resolve.contexts(refs).collect()} == {16}
-    assert sorted(tuple(r) for r in resolve.decisions(refs, symbols).collect()) in ([(i, "run", "u", "s", "calls", "resolved", 1) for i in "qr"], [("q", "run", "u", "s", "calls", "resolved", 1), ("r", "run", "u", "s", "calls", "ambiguous", 1)])
+    # Of a reference with two contexts the nearer one decides.
+    assert sorted(tuple(r) for r in resolve.decisions(refs, symbols).collect()) == [("q", "run", "u", "s", "calls", "resolved", 1), ("r", "run", "u", "s", "calls", "inferred", 1)]
